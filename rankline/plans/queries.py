@@ -151,3 +151,199 @@ def view_totals(spark, sf_dir):
 def score_band(spark, sf_dir):
     j = jobs(spark, sf_dir)
     return j.select("id", "ai_score", listing.score_band(F.col("ai_score")).alias("band"))
+
+
+# ---------------------------------------------------------------- fetch-shaped operators
+from rankline.operators import fetch as FT  # noqa: E402
+from rankline.operators import maintain as MT  # noqa: E402
+
+# Per-source checkpoints of the take-while query.
+TAKE_WHILE_CHECKPOINTS = [("feed_a", "2024-01-01 00:30:00"), ("feed_b", "2024-01-01 01:00:00")]
+FETCH_LIMIT = 100
+
+
+def _feed_order():
+    """Feed order of the fixture fetches: by url, newest seq first on ties."""
+    return F.struct(F.col("url"), (-F.col("seq")).alias("nseq"))
+
+
+@register(
+    "checkpoint",
+    f"SELECT source, max(created_at) AS checkpoint FROM ({S.STORED}) GROUP BY source",
+)
+def checkpoint(spark, sf_dir):
+    return FT.checkpoints(TD.stored_rows(spark, sf_dir))
+
+
+def _ckpt_values_sql() -> str:
+    vals = ", ".join(f"({S.q(s)}, TIMESTAMP {S.q(t)})" for s, t in TAKE_WHILE_CHECKPOINTS)
+    return f"(VALUES {vals}) AS c(source, ckpt)"
+
+
+@register(
+    "take_while",
+    f"""WITH r AS (
+          SELECT p.*, c.ckpt, row_number() OVER (PARTITION BY p.source, p.search_keyword
+                                                 ORDER BY p.url, p.seq DESC) AS pos
+          FROM ({S.POSTINGS}) p LEFT JOIN {_ckpt_values_sql()} ON c.source = p.source),
+        s AS (SELECT *, min(CASE WHEN created_at <= ckpt THEN pos END)
+                        OVER (PARTITION BY source, search_keyword) AS stop FROM r)
+        SELECT seq, source, search_keyword, created_at FROM s
+        WHERE stop IS NULL OR pos < stop""",
+)
+def take_while(spark, sf_dir):
+    p = TD.postings(spark, sf_dir).select("seq", "source", "search_keyword", "url", "created_at")
+    ck = spark.createDataFrame(TAKE_WHILE_CHECKPOINTS, "source string, checkpoint string").select(
+        "source", F.col("checkpoint").cast("timestamp_ntz").alias("checkpoint")
+    )
+    out = FT.take_while(p, ["source", "search_keyword"], _feed_order(), ck)
+    return out.select("seq", "source", "search_keyword", "created_at")
+
+
+@register(
+    "fetch_limit",
+    f"""WITH d AS (
+          SELECT *, row_number() OVER (PARTITION BY source, search_keyword, external_id
+                                       ORDER BY url, seq DESC) AS rn
+          FROM ({S.POSTINGS}) WHERE external_id IS NOT NULL),
+        l AS (SELECT *, row_number() OVER (PARTITION BY source, search_keyword
+                                           ORDER BY url, seq DESC) AS pos
+              FROM d WHERE rn = 1)
+        SELECT seq, source, search_keyword, external_id, pos FROM l WHERE pos <= {FETCH_LIMIT}""",
+)
+def fetch_limit(spark, sf_dir):
+    p = TD.postings(spark, sf_dir).select("seq", "source", "search_keyword", "external_id", "url")
+    p = p.where(F.col("external_id").isNotNull())
+    fetch = ["source", "search_keyword"]
+    d = FT.first_seen(p, fetch, "external_id", _feed_order())
+    out = FT.fetch_limit(d, fetch, _feed_order(), FETCH_LIMIT)
+    return out.select("seq", "source", "search_keyword", "external_id", "pos")
+
+
+# ---------------------------------------------------------------- maintenance
+@register(
+    "dup_groups",
+    f"""SELECT 'e' AS key_type, source, external_id AS key_value, count(*) AS n
+        FROM ({S.POSTINGS}) WHERE external_id IS NOT NULL
+        GROUP BY source, external_id HAVING count(*) > 1
+        UNION ALL
+        SELECT 'u' AS key_type, source, url AS key_value, count(*) AS n
+        FROM ({S.POSTINGS}) WHERE external_id IS NULL
+        GROUP BY source, url HAVING count(*) > 1""",
+)
+def dup_groups(spark, sf_dir):
+    return MT.duplicate_groups(TD.postings(spark, sf_dir))
+
+
+def _dedup_sql() -> str:
+    prio = ("CASE status WHEN 'analyzed' THEN 3 WHEN 'discarded' THEN 2 "
+            "WHEN 'ready_for_ai' THEN 1 ELSE 0 END")
+    return f"""
+WITH k AS (
+  SELECT *, CASE WHEN external_id IS NOT NULL THEN 'e' ELSE 'u' END AS key_type,
+            coalesce(external_id, url) AS key_value
+  FROM ({S.scored_jobs(INCLUDE, EXCLUDE)})),
+r AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY key_type, source, key_value ORDER BY first_seen_at, id) AS rn_first,
+    row_number() OVER (PARTITION BY key_type, source, key_value
+                       ORDER BY {prio} DESC, first_seen_at, id) AS rn_best,
+    count(*) OVER (PARTITION BY key_type, source, key_value) AS n_merged
+  FROM k),
+e AS (
+  SELECT key_type, source, key_value, kw, first_seen_at, id, pos,
+         row_number() OVER (PARTITION BY key_type, source, key_value, kw
+                            ORDER BY first_seen_at, id, pos) AS rn
+  FROM (SELECT key_type, source, key_value, first_seen_at, id,
+               unnest(search_keywords) AS kw, generate_subscripts(search_keywords, 1) AS pos
+        FROM k)),
+m AS (
+  SELECT key_type, source, key_value,
+         string_agg(kw, ',' ORDER BY first_seen_at, id, pos) AS merged
+  FROM e WHERE rn = 1 AND kw IS NOT NULL AND kw <> ''
+  GROUP BY key_type, source, key_value)
+SELECT f.id, f.external_id, f.source, f.url, f.title, b.status, b.filter_reason, b.ai_score,
+       b.ai_summary, b.ai_analysis_at, f.first_seen_at,
+       CASE WHEN f.n_merged > 1 THEN coalesce(m.merged, '')
+            ELSE array_to_string(f.search_keywords, ',') END AS search_keywords,
+       f.n_merged
+FROM (SELECT * FROM r WHERE rn_first = 1) f
+JOIN (SELECT * FROM r WHERE rn_best = 1) b USING (key_type, source, key_value)
+LEFT JOIN m USING (key_type, source, key_value)
+"""
+
+
+@register("dedup_merge", _dedup_sql())
+def dedup_merge(spark, sf_dir):
+    j = jobs(spark, sf_dir).drop("description_raw")
+    d = MT.dedup_merge(j)
+    return d.select(
+        "id", "external_id", "source", "url", "title", "status", "filter_reason", "ai_score",
+        "ai_summary", "ai_analysis_at", "first_seen_at",
+        F.array_join("search_keywords", ",").alias("search_keywords"), "n_merged",
+    )
+
+
+CLEANUP_THRESHOLD = 3
+
+
+@register(
+    "cleanup",
+    f"""SELECT id, status,
+               CASE WHEN status <> 'analyzed' THEN {S.word_count(S.content(), INCLUDE)} END AS match_count,
+               status <> 'analyzed' AND {S.word_count(S.content(), INCLUDE)} < {CLEANUP_THRESHOLD}
+                 AS deleted
+        FROM ({S.scored_jobs(INCLUDE, EXCLUDE)})""",
+)
+def cleanup(spark, sf_dir):
+    f = MT.cleanup_flags(jobs(spark, sf_dir), INCLUDE, CLEANUP_THRESHOLD)
+    return f.select("id", "status", "match_count", "deleted")
+
+
+# Which latest event type asks for which status (purchase asks for a status
+# that manual changes refuse; other event types ask for nothing).
+EVENT_STATUS = [("signup", "ready_for_ai"), ("error", "discarded"), ("purchase", "analyzed")]
+
+
+def _event_map(col):
+    expr = None
+    for ev, st in EVENT_STATUS:
+        expr = F.when(col == ev, F.lit(st)) if expr is None else expr.when(col == ev, F.lit(st))
+    return expr
+
+
+def _manual_sql() -> str:
+    case = "CASE latest " + " ".join(f"WHEN {S.q(e)} THEN {S.q(s)}" for e, s in EVENT_STATUS) + " END"
+    return f"""
+WITH ev AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS latest
+            FROM events GROUP BY user_id),
+req AS (SELECT id, {case} AS requested FROM ev),
+j AS ({S.scored_jobs(INCLUDE, EXCLUDE)})
+SELECT r.id, r.requested,
+       CASE WHEN r.requested NOT IN ('ready_for_ai', 'discarded') THEN 'invalid_status'
+            WHEN j.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome,
+       CASE WHEN r.requested IN ('ready_for_ai', 'discarded') THEN r.requested ELSE j.status END
+         AS status_after,
+       j.filter_reason AS filter_reason_after
+FROM req r LEFT JOIN j ON j.id = r.id
+WHERE r.requested IS NOT NULL
+"""
+
+
+@register("manual_status", _manual_sql())
+def manual_status(spark, sf_dir):
+    ev = TD.table(spark, sf_dir, "events")
+    latest = ev.groupBy("user_id").agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("latest")
+    )
+    changes = latest.select(F.col("user_id").alias("id"), _event_map(F.col("latest")).alias("status")) \
+        .where(F.col("status").isNotNull())
+    j = jobs(spark, sf_dir).drop("description_raw")
+    new_jobs, outcomes = MT.manual_status(j, changes, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    after = new_jobs.select("id", F.col("status").alias("status_after"),
+                            F.col("filter_reason").alias("filter_reason_after"))
+    o = outcomes.join(after, "id", "left")
+    return o.select("id", "requested", "outcome",
+                    F.when(F.col("outcome") == "not_found", F.lit(None).cast("string"))
+                    .otherwise(F.col("status_after")).alias("status_after"),
+                    "filter_reason_after")
