@@ -75,9 +75,17 @@ def word_hits_in_order(text: Column, keywords: Sequence[str]) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
+# The characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(col: Column) -> Column:
-    """``str.strip()``: remove leading/trailing whitespace (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """``str.strip()``: remove leading/trailing whitespace (Spark ``trim`` only removes
+    spaces). A character-set trim, no regex."""
+    return F.btrim(col, F.lit(PY_WHITESPACE))
 
 
 def blank_to_null(col: Column) -> Column:

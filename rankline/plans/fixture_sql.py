@@ -134,3 +134,59 @@ SELECT seq, external_id,
        CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS salary, created_at
 FROM ({POSTINGS})
 """
+
+
+def strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+
+
+RESPONSES = f"""
+SELECT seq, CASE seq % 9
+  WHEN 0 THEN '{{"score": ' || n || ', "summary": "' || s || '"}}'
+  WHEN 1 THEN 'Resultado: {{"score": ' || n || ', "summary": "' || s || '"}} fim'
+  WHEN 2 THEN '{{"score": "' || n || '", "summary": "' || s || '"}}'
+  WHEN 3 THEN '{{"score": -' || n || ', "summary": "' || s || '"}}'
+  WHEN 4 THEN '{{"score": ' || CAST(seq % 13 + 10 AS VARCHAR) || ', "summary": "' || s || '"}}'
+  WHEN 5 THEN '{{"score": true, "summary": ' || n || '}}'
+  WHEN 6 THEN '{{"score": ' || n || ', "summary": "' || s || '"'
+  WHEN 7 THEN '{{"summary": "   ", "other": ' || n || '.75}}'
+  ELSE 'Resposta: [{{"score": ' || n || '.75, "summary": "' || s || '"}}]'
+END AS response
+FROM (SELECT seq, CAST(seq % 13 AS VARCHAR) AS n,
+             replace(replace(title, '\\', ''), '"', '') AS s FROM ({POSTINGS}))
+"""
+
+NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def parsed_responses(src: str) -> str:
+    """L4-L6 in DuckDB over ``src(seq, response)``."""
+    sc = "json_type(v, '$.score')"
+    sv = "json_extract_string(v, '$.score')"
+    num = f"CAST(trunc(greatest(0, least(10, CAST({{x}} AS DOUBLE)))) AS INTEGER)"
+    return f"""
+WITH b AS (
+  SELECT seq, response,
+         CASE WHEN json_valid(response) THEN
+              CASE WHEN json_type(response) = 'OBJECT' THEN response END END AS v1,
+         regexp_extract(response, '(?s)\\{{.*\\}}', 0) AS sn
+  FROM ({src})),
+c AS (
+  SELECT seq, coalesce(v1, CASE WHEN json_valid(sn) THEN
+                                CASE WHEN json_type(sn) = 'OBJECT' THEN sn END END) AS v
+  FROM b)
+SELECT seq,
+  CASE WHEN v IS NULL THEN NULL
+       WHEN {sc} = 'BOOLEAN' THEN CASE WHEN {sv} = 'true' THEN 1 ELSE 0 END
+       WHEN {sc} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN {num.format(x=sv)}
+       WHEN {sc} = 'VARCHAR' AND regexp_matches({strip(sv)}, {q(NUMBER_RE)})
+            THEN {num.format(x=strip(sv))}
+       ELSE 0 END AS score,
+  CASE WHEN v IS NULL THEN NULL
+       WHEN json_type(v, '$.summary') = 'VARCHAR'
+            AND {strip("json_extract_string(v, '$.summary')")} <> ''
+            THEN substr({strip("json_extract_string(v, '$.summary')")}, 1, 1000)
+       ELSE 'Resumo indisponivel.' END AS summary,
+  v IS NULL AS error
+FROM c
+"""

@@ -347,3 +347,74 @@ def manual_status(spark, sf_dir):
                     F.when(F.col("outcome") == "not_found", F.lit(None).cast("string"))
                     .otherwise(F.col("status_after")).alias("status_after"),
                     "filter_reason_after")
+
+
+# ---------------------------------------------------------------- scoring
+from rankline.operators import scoring as SC  # noqa: E402
+
+
+@register("response_parse", S.parsed_responses(S.RESPONSES))
+def response_parse(spark, sf_dir):
+    r = TD.scorer_responses(spark, sf_dir)
+    return SC.parse_results(r).select("seq", "score", "summary", "error")
+
+
+def _rubric_sql() -> str:
+    t = "t"
+    pts = " + ".join(f"CAST({S.has_sub(t, k)} AS INTEGER)" for k in dict.fromkeys(INCLUDE))
+    exc = " + ".join(f"CAST({S.has_sub(t, k)} AS INTEGER)" for k in dict.fromkeys(EXCLUDE))
+    veto = " OR ".join(S.has_word("ft", k) for k in rules.NON_DEV_KEYWORDS)
+    return f"""
+SELECT seq, points, exclude_hits,
+       CAST(CASE WHEN vetoed THEN 0 ELSE greatest(0, least(10,
+            CASE WHEN points >= 5 THEN 10 WHEN points = 4 THEN 9 WHEN points = 3 THEN 8
+                 WHEN points = 2 THEN 6 ELSE 4 END - exclude_hits)) END AS INTEGER) AS score
+FROM (SELECT seq, ({pts}) AS points, ({exc}) AS exclude_hits, ({veto}) AS vetoed
+      FROM (SELECT seq, {S.content()} AS t, {S.fold('title')} AS ft FROM ({S.POSTINGS})))
+"""
+
+
+@register("rubric_score", _rubric_sql())
+def rubric_score(spark, sf_dir):
+    p = TD.postings(spark, sf_dir)
+    return SC.rubric_score(p, INCLUDE, EXCLUDE).select("seq", "points", "exclude_hits", "score")
+
+
+_WS = "[ \\t\\n\\r]+"
+
+
+def _term_sql() -> str:
+    f = S.fold
+    excl = "[" + ", ".join(S.q(k.casefold()) for k in dict.fromkeys(EXCLUDE)) + "]"
+    return f"""
+WITH w AS (
+  SELECT seq,
+         list_filter(regexp_split_to_array(title, '{_WS}'), lambda x: x <> '') AS o0,
+         list_filter(regexp_split_to_array(description_raw, '{_WS}'), lambda x: x <> '') AS s0
+  FROM ({S.POSTINGS})),
+o AS (SELECT seq, list_filter(o0, lambda x, i: list_position(o0, x) = i) AS orig, s0 FROM w),
+k AS (SELECT seq, orig, s0, list_transform(orig, lambda x: {f('x')}) AS okeys FROM o),
+a AS (SELECT seq, orig,
+             list_slice(list_filter(s0, lambda x: NOT list_contains(okeys, {f('x')})
+                                               AND NOT list_contains({excl}, {f('x')})),
+                        1, 3 * len(orig)) AS added
+      FROM k),
+e AS (SELECT seq, orig, added, list_concat(orig, added) AS allk FROM a),
+g AS (SELECT seq, orig, added, allk, list_transform(allk, lambda y: {f('y')}) AS akeys FROM e)
+SELECT seq, len(orig) AS n_original, array_to_string(added, '|') AS added,
+       array_to_string(list_filter(allk, lambda x, i: list_position(akeys, akeys[i]) = i), '|')
+         AS expanded
+FROM g
+"""
+
+
+@register("term_expansion", _term_sql())
+def term_expansion(spark, sf_dir):
+    p = TD.postings(spark, sf_dir)
+    words = lambda c: F.filter(F.split(F.col(c), _WS), lambda x: x != "")
+    e = SC.expand_terms(p.select("seq", "title", "description_raw"), words("title"),
+                        words("description_raw"), EXCLUDE)
+    return e.select(
+        "seq", F.size("original").alias("n_original"),
+        F.array_join("added", "|").alias("added"), F.array_join("expanded", "|").alias("expanded"),
+    )

@@ -15,8 +15,23 @@ from rankline.operators import rules
 EPOCH = "2024-01-01 00:00:00"
 
 
+# Text-heavy tables: row work per byte is high, so a scan that yields fewer splits than the
+# cluster has cores is spread out before the text work (a no-op at scale, where the scan
+# already has many more splits than cores).
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in TEXT_TABLES else df
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +155,27 @@ def incoming_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("salary"),
         "created_at",
     )
+
+
+def scorer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-like responses, one per posting, in nine shapes chosen by ``seq % 9``: plain
+    object, object inside text, numeric string, negative, above 10, boolean score with a
+    non-string summary, broken JSON, missing score with a blank summary, and an array
+    wrapper with a fractional score. ``n = seq % 13``."""
+    p = postings(spark, sf_dir)
+    n = (F.col("seq") % 13).cast("string")
+    s = F.replace(F.replace(F.col("title"), F.lit("\\"), F.lit("")), F.lit('"'), F.lit(""))
+    obj = lambda score: F.concat(F.lit('{"score": '), score, F.lit(', "summary": "'), s, F.lit('"}'))
+    k = F.col("seq") % 9
+    resp = (
+        F.when(k == 0, obj(n))
+        .when(k == 1, F.concat(F.lit("Resultado: "), obj(n), F.lit(" fim")))
+        .when(k == 2, obj(F.concat(F.lit('"'), n, F.lit('"'))))
+        .when(k == 3, obj(F.concat(F.lit("-"), n)))
+        .when(k == 4, obj(((F.col("seq") % 13) + 10).cast("string")))
+        .when(k == 5, F.concat(F.lit('{"score": true, "summary": '), n, F.lit("}")))
+        .when(k == 6, F.concat(F.lit('{"score": '), n, F.lit(', "summary": "'), s, F.lit('"')))
+        .when(k == 7, F.concat(F.lit('{"summary": "   ", "other": '), n, F.lit(".75}")))
+        .otherwise(F.concat(F.lit("Resposta: ["), obj(F.concat(n, F.lit(".75"))), F.lit("]")))
+    )
+    return p.select("seq", resp.alias("response"))
