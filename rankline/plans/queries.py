@@ -418,3 +418,145 @@ def term_expansion(spark, sf_dir):
         "seq", F.size("original").alias("n_original"),
         F.array_join("added", "|").alias("added"), F.array_join("expanded", "|").alias("expanded"),
     )
+
+
+# ---------------------------------------------------------------- text and feed fields
+from rankline.functions import parse as PR  # noqa: E402
+from rankline.functions import text as TX  # noqa: E402
+
+
+def _redact_sql() -> str:
+    out = "text"
+    for pat, repl in TX.REDACT_RULES:
+        out = f"regexp_replace({out}, {S.q(pat)}, {S.q(repl)}, 'g')"
+    return f"SELECT doc_id, {out} AS redacted, {out} <> text AS changed FROM documents"
+
+
+@register("redact", _redact_sql())
+def redact(spark, sf_dir):
+    d = TD.table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = d.withColumn("redacted", TX.redact(F.col("text")))
+    return r.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
+
+
+def _markup_sql() -> str:
+    out = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?is)<style\\b.*?</style\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    for ent, ch in TX.ENTITIES:
+        out = f"replace({out}, {S.q(ent)}, {S.q(ch)})"
+    out = f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
+    return (f"SELECT page_id, {out} AS plain_text, "
+            f"regexp_matches({S.strip('html')}, {S.q(TX.MARKUP_PATTERN)}) AS is_markup FROM pages")
+
+
+@register("strip_markup", _markup_sql())
+def strip_markup(spark, sf_dir):
+    p = TD.table(spark, sf_dir, "pages").select("page_id", "html")
+    return p.select("page_id", TX.strip_markup(F.col("html")).alias("plain_text"),
+                    TX.looks_like_markup(F.col("html")).alias("is_markup"))
+
+
+def _salary_inputs(spark, sf_dir):
+    d = TD.table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    lo = F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, F.lit(0)).otherwise(F.col("n_chars") * 100)
+    hi = F.when(i % 3 == 0, F.lit(None)).otherwise(F.col("n_chars") * 130)
+    cur = (F.when(i % 5 == 0, F.lit(None)).when(i % 5 == 1, F.lit("")).when(i % 5 == 2, F.lit("usd"))
+           .otherwise(F.lit("brl")))
+    typ = F.when(i % 7 == 0, F.lit("uninformed")).when(i % 7 == 1, F.lit(None)).otherwise(F.lit("monthly"))
+    js = F.when(i % 11 == 0, F.lit(None)).otherwise(
+        F.struct(lo.cast("long").alias("from"), hi.cast("long").alias("to"),
+                 cur.cast("string").alias("currency"), typ.cast("string").alias("type")))
+    title = F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80)
+    return d.select("doc_id", lo.cast("long").alias("salary_min"), hi.cast("long").alias("salary_max"),
+                    js.alias("job_salary"), title.alias("subtitle"), F.col("text").alias("description"))
+
+
+def _salary_sql() -> str:
+    def rng(lo, hi, cur):
+        return (f"CASE WHEN coalesce({lo},0) <> 0 AND coalesce({hi},0) <> 0 "
+                f"THEN {cur} || ' ' || format('{{:,}}', {lo}) || ' - ' || {cur} || ' ' || format('{{:,}}', {hi}) "
+                f"WHEN coalesce({lo},0) <> 0 THEN {cur} || ' ' || format('{{:,}}', {lo}) || '+' "
+                f"WHEN coalesce({hi},0) <> 0 THEN {cur} || ' up to ' || format('{{:,}}', {hi}) END")
+    rx = f"nullif(regexp_extract(subtitle || ' ' || description, {S.q('(?i)' + PR.SALARY_PATTERN)}, 1), '')"
+    cur = "CASE WHEN upper(coalesce(cur, '')) = '' THEN 'BRL' ELSE upper(cur) END"
+    return f"""
+WITH i AS (
+  SELECT doc_id,
+         CAST(CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 0 ELSE n_chars * 100 END AS BIGINT) AS lo,
+         CAST(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars * 130 END AS BIGINT) AS hi,
+         CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 = 2 THEN 'usd' ELSE 'brl' END AS cur,
+         CASE WHEN doc_id % 7 = 0 THEN 'uninformed' WHEN doc_id % 7 = 1 THEN NULL ELSE 'monthly' END AS typ,
+         doc_id % 11 = 0 AS no_struct,
+         substr(split_part(text, chr(10), 1), 1, 80) AS subtitle, text AS description
+  FROM documents)
+SELECT doc_id, {rng('lo', 'hi', "'USD'")} AS salary_a,
+  CASE WHEN NOT no_struct AND lower(coalesce(typ, '')) = 'uninformed'
+            AND coalesce(lo, 0) = 0 AND coalesce(hi, 0) = 0 THEN NULL
+       WHEN NOT no_struct AND ({rng('lo', 'hi', cur)}) IS NOT NULL THEN {rng('lo', 'hi', cur)}
+       ELSE {rx} END AS salary_b
+FROM i
+"""
+
+
+@register("salary_text", _salary_sql())
+def salary_text(spark, sf_dir):
+    d = _salary_inputs(spark, sf_dir)
+    return d.select(
+        "doc_id",
+        PR.salary_feed_a(F.col("salary_min"), F.col("salary_max")).alias("salary_a"),
+        PR.salary_feed_b(F.col("job_salary"), F.col("subtitle"), F.col("description")).alias("salary_b"),
+    )
+
+
+AS_OF = "2025-01-01 00:00:00"
+
+
+def _ts_inputs(spark, sf_dir):
+    e = TD.table(spark, sf_dir, "events").select("event_id", "ts")
+    k = F.col("event_id") % 8
+    fmt = lambda f: F.date_format(F.col("ts"), f)
+    raw = (
+        F.when(k == 0, fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        .when(k == 1, F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .when(k == 2, F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+        .when(k == 3, fmt("yyyy-MM-dd HH:mm:ss"))
+        .when(k == 4, fmt("yyyy-MM-dd"))
+        .when(k == 5, F.lit(""))
+        .when(k == 6, F.lit("not a date"))
+        .otherwise(fmt("yyyy-MM-dd'T'HH:mm"))
+    )
+    return e.select("event_id", raw.alias("raw"))
+
+
+def _ts_sql() -> str:
+    return f"""
+WITH i AS (
+  SELECT event_id, CASE event_id % 8
+    WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+    WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+    WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
+    WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+    WHEN 4 THEN strftime(ts, '%Y-%m-%d')
+    WHEN 5 THEN ''
+    WHEN 6 THEN 'not a date'
+    ELSE strftime(ts, '%Y-%m-%dT%H:%M') END AS raw
+  FROM events),
+p AS (SELECT event_id, raw,
+             CASE WHEN raw LIKE '%+__:__' OR raw LIKE '%Z'
+                  THEN TRY_CAST(raw AS TIMESTAMPTZ) AT TIME ZONE 'UTC'
+                  ELSE TRY_CAST(raw AS TIMESTAMP) END AS t FROM i)
+SELECT event_id, raw, coalesce(t, TIMESTAMP '{AS_OF}') AS parsed, t IS NULL AS used_default FROM p
+"""
+
+
+@register("timestamp_parse", _ts_sql())
+def timestamp_parse(spark, sf_dir):
+    i = _ts_inputs(spark, sf_dir)
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    parsed = PR.parse_feed_timestamp(F.col("raw"), F.lit(None).cast("timestamp_ntz"), tz)
+    return i.select("event_id", "raw", F.coalesce(parsed, as_of).alias("parsed"),
+                    parsed.isNull().alias("used_default"))
