@@ -190,3 +190,89 @@ SELECT seq,
   v IS NULL AS error
 FROM c
 """
+
+
+def _distinct(a: str, b: str) -> str:
+    return f"({a} IS DISTINCT FROM {b})"
+
+
+IDENTITY = f"""
+WITH s AS ({STORED}), i AS ({INCOMING})
+SELECT i.*, se.id AS e_id, su.id AS u_id, coalesce(se.id, su.id) AS matched_id
+FROM i LEFT JOIN s se ON se.source = i.source AND se.external_id = i.external_id
+       LEFT JOIN s su ON su.source = i.source AND su.url = i.url
+"""
+
+COMPARED = ["title", "company", "url", "description_raw", "location", "salary", "created_at"]
+
+
+def changed_fields(a: str, b: str) -> str:
+    parts = ", ".join(f"CASE WHEN {_distinct(f'{a}.{c}', f'{b}.{c}')} THEN '{c}' END" for c in COMPARED)
+    return f"concat_ws(',', {parts})"
+
+
+def upsert_single(include, exclude, with_failed: bool = True) -> str:
+    st = strip
+    valid = (f"title <> '' AND company <> '' AND url <> '' AND source <> '' AND "
+             f"coalesce(length(external_id), 0) <= 255 AND length(title) <= 255 AND "
+             f"length(company) <= 255 AND length(source) <= 50")
+    return f"""
+WITH s AS ({STORED}),
+i0 AS ({INCOMING}),
+ic AS (
+  SELECT seq, nullif({st('external_id')}, '') AS external_id, {st('title')} AS title,
+         {st('company')} AS company, {st('url')} AS url, lower({st('source')}) AS source,
+         coalesce({st('description_raw')}, '') AS description_raw,
+         nullif({st('search_keyword')}, '') AS search_keyword,
+         {st('location')} AS location, {st('salary')} AS salary, created_at
+  FROM i0),
+i AS (SELECT *, {word_count(content(), include)} >= 3 AS passes,
+             {classify_cols(content(), include, exclude)}
+      FROM ic WHERE {valid}),
+m AS (SELECT i.*, se.id AS e_id, su.id AS u_id, coalesce(se.id, su.id) AS mid
+      FROM i LEFT JOIN s se ON se.source = i.source AND se.external_id = i.external_id
+             LEFT JOIN s su ON su.source = i.source AND su.url = i.url),
+ne AS (SELECT source, external_id, count(*) AS n_e FROM m WHERE external_id IS NOT NULL
+       GROUP BY source, external_id),
+nu AS (SELECT source, url, count(*) AS n_u FROM m GROUP BY source, url),
+t AS (SELECT sid, count(*) AS n_touch FROM (
+        SELECT e_id AS sid FROM m WHERE e_id IS NOT NULL
+        UNION ALL
+        SELECT u_id AS sid FROM m WHERE u_id IS NOT NULL AND (e_id IS NULL OR e_id <> u_id))
+      GROUP BY sid),
+f AS (SELECT m.* FROM m LEFT JOIN ne ON ne.source = m.source AND ne.external_id = m.external_id
+                        LEFT JOIN nu ON nu.source = m.source AND nu.url = m.url
+                        LEFT JOIN t ON t.sid = m.mid
+      WHERE coalesce(n_e, 1) = 1 AND n_u = 1
+        AND NOT (e_id IS NOT NULL AND u_id IS NOT NULL AND e_id <> u_id)
+        AND (mid IS NULL OR n_touch = 1)),
+c AS (
+  SELECT f.*, cur.title AS c_title, cur.status AS c_status, cur.filter_reason AS c_reason,
+         cur.search_keywords AS c_kws,
+         f.search_keyword IS NOT NULL
+           AND NOT coalesce(list_contains(cur.search_keywords, f.search_keyword), false) AS kw_new,
+         {changed_fields('f', 'cur')} <> '' AS fields_changed
+  FROM f LEFT JOIN s cur ON cur.id = f.mid),
+o AS (
+  SELECT *, CASE WHEN mid IS NOT NULL AND (kw_new OR fields_changed) THEN 'updated'
+                 WHEN mid IS NOT NULL THEN 'skipped'
+                 WHEN passes THEN 'inserted' ELSE 'discarded' END AS outcome
+  FROM c)
+SELECT seq, outcome, mid AS matched_id, source, search_keyword AS term,
+       CASE WHEN outcome = 'skipped' THEN c_title ELSE title END AS title,
+       CASE WHEN outcome = 'inserted' THEN rule_status
+            WHEN outcome = 'updated' AND c_status <> 'analyzed' THEN rule_status
+            WHEN mid IS NOT NULL THEN c_status END AS status,
+       CASE WHEN outcome = 'inserted' THEN rule_reason
+            WHEN outcome = 'updated' AND c_status <> 'analyzed' THEN rule_reason
+            WHEN mid IS NOT NULL THEN c_reason END AS filter_reason,
+       array_to_string(CASE
+            WHEN outcome IN ('inserted', 'discarded') THEN
+                 CASE WHEN search_keyword IS NOT NULL THEN [search_keyword] ELSE []::VARCHAR[] END
+            WHEN outcome = 'updated' AND kw_new THEN list_append(c_kws, search_keyword)
+            ELSE c_kws END, ',') AS search_keywords
+FROM o
+""" + (f"""
+UNION ALL
+SELECT seq, 'failed', NULL, source, search_keyword, NULL, NULL, NULL, NULL
+FROM ic WHERE NOT ({valid})""" if with_failed else "")

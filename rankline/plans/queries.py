@@ -560,3 +560,73 @@ def timestamp_parse(spark, sf_dir):
     parsed = PR.parse_feed_timestamp(F.col("raw"), F.lit(None).cast("timestamp_ntz"), tz)
     return i.select("event_id", "raw", F.coalesce(parsed, as_of).alias("parsed"),
                     parsed.isNull().alias("used_default"))
+
+
+# ---------------------------------------------------------------- ingest
+from rankline.operators import ingest as IG  # noqa: E402
+
+INGEST_AS_OF = "2025-01-01 00:00:00"
+
+
+@register(
+    "identity_match",
+    f"""SELECT seq, matched_id,
+               CASE WHEN e_id IS NOT NULL THEN 'external_id' WHEN u_id IS NOT NULL THEN 'url' END
+                 AS match_kind
+        FROM ({S.IDENTITY})""",
+)
+def identity_match(spark, sf_dir):
+    m = IG.identity_match(TD.stored_rows(spark, sf_dir), TD.incoming_batch(spark, sf_dir))
+    return m.select("seq", "matched_id", "match_kind")
+
+
+@register(
+    "change_detection",
+    f"""SELECT m.seq, m.matched_id, {S.changed_fields('m', 'cur')} AS changed_fields,
+               m.search_keyword IS NOT NULL
+                 AND NOT coalesce(list_contains(cur.search_keywords, m.search_keyword), false)
+                 AS keyword_new
+        FROM ({S.IDENTITY}) m JOIN ({S.STORED}) cur ON cur.id = m.matched_id""",
+)
+def change_detection(spark, sf_dir):
+    st = TD.stored_rows(spark, sf_dir)
+    inc = TD.incoming_batch(spark, sf_dir)
+    m = IG.identity_match(st, inc).select("seq", "matched_id").where(F.col("matched_id").isNotNull())
+    cur = st.select(F.col("id").alias("matched_id"), F.struct(*st.columns).alias("cur"))
+    j = IG.change_columns(inc.join(m, "seq").join(cur, "matched_id"))
+    return j.select("seq", "matched_id", F.array_join("changed_fields", ",").alias("changed_fields"),
+                    "keyword_new")
+
+
+def _upsert(spark, sf_dir, fold):
+    return IG.upsert_outcomes(
+        TD.stored_rows(spark, sf_dir), TD.incoming_batch(spark, sf_dir), INCLUDE, EXCLUDE,
+        F.lit(INGEST_AS_OF).cast("timestamp_ntz"), fold=fold,
+    )
+
+
+@register("upsert_single", S.upsert_single(INCLUDE, EXCLUDE))
+def upsert_single(spark, sf_dir):
+    o = _upsert(spark, sf_dir, fold=False)
+    return o.select("seq", "outcome", "matched_id", "source", "term", "title", "status",
+                    "filter_reason", F.array_join("search_keywords", ",").alias("search_keywords"))
+
+
+@register(
+    "ingest_stats",
+    f"""SELECT source, term,
+               count_if(outcome = 'inserted') AS inserted, count_if(outcome = 'updated') AS updated,
+               count_if(outcome = 'skipped') AS skipped, count_if(outcome = 'discarded') AS discarded,
+               count_if(outcome = 'failed') AS failed, count(*) AS total
+        FROM ({S.upsert_single(INCLUDE, EXCLUDE)}) GROUP BY ROLLUP (source, term)""",
+)
+def ingest_stats(spark, sf_dir):
+    return IG.ingest_stats(_upsert(spark, sf_dir, fold=False))
+
+
+@register("upsert_fold")
+def upsert_fold(spark, sf_dir):
+    """Whole batch: singles natively, interacting payloads folded per component."""
+    o = _upsert(spark, sf_dir, fold=True)
+    return o.select("seq", "outcome", "matched_id", "source", "term", "title", "status",
+                    "filter_reason", F.array_join("search_keywords", ",").alias("search_keywords"))
