@@ -434,8 +434,11 @@ def upsert_outcomes(
     good = v.where(F.col("error").isNull()).drop("error")
     # text rules once, kept narrow; identity flags narrow too (both cut from the lineage)
     text_rules = payload_rules(good, include, exclude).select(
-        "seq", "passes", "rule_status", "rule_reason").checkpoint(eager=True)
-    flags = single_flags(identity_match(stored, good)).checkpoint(eager=True)
+        "seq", "passes", "rule_status", "rule_reason")
+    flags = single_flags(identity_match(stored, good))
+    if fold:  # reused by several jobs of the fold: computed once
+        text_rules = text_rules.checkpoint(eager=True)
+        flags = flags.checkpoint(eager=True)
     good = good.join(text_rules, "seq")
     res = fast_path(stored, good, flags, as_of)
     if fold:
