@@ -435,7 +435,8 @@ def upsert_outcomes(
     # text rules once, kept narrow; identity flags narrow too (both cut from the lineage)
     text_rules = payload_rules(good, include, exclude).select(
         "seq", "passes", "rule_status", "rule_reason")
-    flags = single_flags(identity_match(stored, good))
+    # the narrow identity table feeds four aggregates: computed once
+    flags = single_flags(identity_match(stored, good).checkpoint(eager=True))
     if fold:  # reused by several jobs of the fold: computed once
         text_rules = text_rules.checkpoint(eager=True)
         flags = flags.checkpoint(eager=True)

@@ -598,9 +598,15 @@ def change_detection(spark, sf_dir):
                     "keyword_new")
 
 
+def _stored_snapshot(spark, sf_dir):
+    """The stored side as a written table (a snapshot in the shared checkpoint folder),
+    as the store would hand it to an upsert."""
+    return TD.stored_rows(spark, sf_dir).checkpoint(eager=True)
+
+
 def _upsert(spark, sf_dir, fold):
     return IG.upsert_outcomes(
-        TD.stored_rows(spark, sf_dir), TD.incoming_batch(spark, sf_dir), INCLUDE, EXCLUDE,
+        _stored_snapshot(spark, sf_dir), TD.incoming_batch(spark, sf_dir), INCLUDE, EXCLUDE,
         F.lit(INGEST_AS_OF).cast("timestamp_ntz"), fold=fold,
     )
 
