@@ -163,7 +163,9 @@ def _result_rows(p: DataFrame, as_of: Column) -> DataFrame:
     kw_arr = F.when(F.col("search_keyword").isNotNull(), F.array("search_keyword")).otherwise(
         F.array().cast("array<string>"))
     cols = [F.col("seq"), F.col("outcome"), F.col("matched_id"),
-            F.col("search_keyword").alias("term")]
+            F.col("search_keyword").alias("term"),
+            F.when(F.col("matched_id").isNotNull(), F.concat(F.lit("s:"), F.col("matched_id").cast("string")))
+            .when(ins, F.concat(F.lit("p:"), F.col("seq").cast("string"))).alias("row_ref")]
     for c in COMPARED:
         cols.append(F.when(keep, F.col(f"cur.{c}")).otherwise(F.col(c)).alias(c))
     cols += [
@@ -390,7 +392,10 @@ def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_o
     has_src = F.col("src_seq").isNotNull()
     cols = [F.col("seq"), F.col("outcome"),
             F.when(F.col("row_key") >= 0, F.col("row_key")).alias("matched_id"),
-            F.col("own.search_keyword").alias("term")]
+            F.col("own.search_keyword").alias("term"),
+            F.when(F.col("row_key") >= 0, F.concat(F.lit("s:"), F.col("row_key").cast("string")))
+            .when(F.col("row_key") < 0, F.concat(F.lit("p:"), (-F.col("row_key")).cast("string")))
+            .alias("row_ref")]
     for c in COMPARED:
         cols.append(
             F.when(F.col("outcome").isin("discarded"), F.col(f"own.{c}"))
@@ -458,3 +463,33 @@ def ingest_stats(outcomes: DataFrame, term: str = "term") -> DataFrame:
         *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     )
     return g.withColumn("total", sum((F.col(o) for o in OUTCOMES), F.lit(0)))
+
+
+def apply_batch(
+    stored: DataFrame,
+    payloads: DataFrame,
+    include: Sequence[str],
+    exclude: Sequence[str],
+    as_of: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """Runs the batch and returns ``(new_table, outcomes)``. Untouched stored rows pass
+    through; touched rows take their final state; inserted rows get new ids, unique and
+    increasing in ``seq`` above the current maximum (with gaps, like an autoincrement).
+    The id assignment is not deterministic under recomputation, so the new rows are
+    checkpointed before use."""
+    outcomes = upsert_outcomes(stored, payloads, include, exclude, as_of).checkpoint(eager=True)
+    final = outcomes.where(F.col("outcome").isin("inserted", "updated") & F.col("row_ref").isNotNull())
+    final = final.groupBy("row_ref").agg(F.max_by(F.struct(*final.columns), F.col("seq")).alias("r")).select("r.*")
+    table_cols = stored.columns
+    upd = final.where(F.col("row_ref").startswith("s:")).withColumn("id", F.col("matched_id"))
+    new = final.where(F.col("row_ref").startswith("p:"))
+    max_id = stored.agg(F.max("id")).collect()[0][0] or 0
+    n = max(1, new.sparkSession.sparkContext.defaultParallelism)
+    new = (
+        new.repartitionByRange(n, "seq").sortWithinPartitions("seq")
+        .withColumn("id", F.monotonically_increasing_id() + F.lit(max_id + 1))
+        .checkpoint(eager=True)
+    )
+    keep = stored.join(upd.select("id"), "id", "left_anti")
+    table = keep.unionByName(upd.select(*table_cols)).unionByName(new.select(*table_cols))
+    return table, outcomes

@@ -636,3 +636,41 @@ def upsert_fold(spark, sf_dir):
     o = _upsert(spark, sf_dir, fold=True)
     return o.select("seq", "outcome", "matched_id", "source", "term", "title", "status",
                     "filter_reason", F.array_join("search_keywords", ",").alias("search_keywords"))
+
+
+# ---------------------------------------------------------------- streaming
+import uuid  # noqa: E402
+
+from rankline.session import shared_path  # noqa: E402
+from rankline.sources import store as ST  # noqa: E402
+from rankline.streaming import ingest_stream as IS  # noqa: E402
+
+STREAM_FILES = 4
+
+
+def land_postings(spark, sf_dir, landing: str, parts: int = STREAM_FILES) -> None:
+    """Lands the postings as ``parts`` Parquet files in ``seq`` ranges (oldest first), one
+    file per directory ``part=k`` so a trigger of one file takes one range."""
+    p = TD.postings(spark, sf_dir).select(
+        "seq", "external_id", "title", "company", "url", "source", "description_raw",
+        "search_keyword", F.lit(None).cast("string").alias("location"),
+        F.lit(None).cast("string").alias("salary"), "created_at")
+    lo, hi = p.agg(F.min("seq"), F.max("seq")).collect()[0]
+    step = (hi - lo) // parts + 1
+    for k in range(parts):
+        (p.where((F.col("seq") >= lo + k * step) & (F.col("seq") < lo + (k + 1) * step))
+         .coalesce(1).write.mode("overwrite").parquet(f"{landing}/part={k}"))
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    """Landed files through ``availableNow`` with one file per trigger; each
+    micro-batch is cut at the per-source checkpoint, upserted and committed as a version."""
+    run = shared_path(spark, "stream_ingest", uuid.uuid4().hex)
+    land_postings(spark, sf_dir, f"{run}/landing")
+    q, log = IS.start(spark, f"{run}/landing", f"{run}/jobs", f"{run}/_stream", INCLUDE, EXCLUDE,
+                      available_now=True)
+    q.awaitTermination()
+    t = ST.read(spark, f"{run}/jobs")
+    return t.select("id", "external_id", "source", "url", "title", "status",
+                    F.array_join("search_keywords", ",").alias("search_keywords"))
