@@ -23,6 +23,15 @@ def casefold(col: Column | str) -> Column:
     return c
 
 
+def casefold_each(arr: Column) -> Column:
+    """``casefold`` of every element of a string array, done on one joined string per row
+    instead of per element (casefolding never creates or removes the separator)."""
+    sep = "\u0001"
+    return F.when(F.size(arr) == 0, arr).otherwise(
+        F.split(casefold(F.array_join(arr, sep)), sep)
+    )
+
+
 def casefold_py(s: str) -> str:
     """Driver-side casefold for keyword literals (config lists only)."""
     return s.casefold()
@@ -36,8 +45,9 @@ def word_pattern(keyword: str) -> str:
 def has_word(text: Column, keyword: str) -> Column:
     """Whole-word match of one literal keyword against already casefolded text.
 
-    The pattern is a literal, so Spark compiles it once per task, not per row."""
-    return text.rlike(word_pattern(keyword))
+    A whole-word hit is also a substring hit, so a cheap ``instr`` runs first and the
+    regex (a literal, compiled once per task) only where the keyword occurs at all."""
+    return (F.instr(text, F.lit(casefold_py(keyword))) > 0) & text.rlike(word_pattern(keyword))
 
 
 def has_substring(text: Column, keyword: str) -> Column:
