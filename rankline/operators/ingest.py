@@ -135,22 +135,38 @@ def payload_rules(payloads: DataFrame, include: Sequence[str], exclude: Sequence
 
 
 def fast_path(
-    stored: DataFrame, payloads: DataFrame, flags: DataFrame, as_of: Column
+    stored: DataFrame,
+    payloads: DataFrame,
+    flags: DataFrame,
+    as_of: Column,
+    include: Sequence[str],
+    exclude: Sequence[str],
 ) -> DataFrame:
     """M1-M3 for single payloads: ``seq, outcome, matched_id`` and the resulting row
-    fields (``id`` null for inserts; ids are assigned when the table is written)."""
+    fields (``id`` null for inserts; ids are assigned when the table is written).
+
+    The text rules run only where the outcome needs them: the relevance gate for unmatched
+    payloads, the classification for inserts and for updates of non-analysed rows
+    (``CASE`` branches are evaluated lazily)."""
     single = flags.where("single").select("seq", "matched_id")
     cur = stored.select("id", F.struct(*stored.columns).alias("cur"))
     p = payloads.join(single, "seq").join(cur, F.col("matched_id") == F.col("id"), "left").drop("id")
     p = change_columns(p)
     matched = F.col("matched_id").isNotNull()
+    gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD)
     outcome = (
         F.when(matched & F.col("changed"), F.lit("updated"))
         .when(matched, F.lit("skipped"))
-        .when(F.col("passes"), F.lit("inserted"))
+        .when(gate, F.lit("inserted"))
         .otherwise(F.lit("discarded"))
     )
     p = p.withColumn("outcome", outcome)
+    needs = (F.col("outcome") == "inserted") | (
+        (F.col("outcome") == "updated") & ~F.coalesce(F.col("cur.status") == "analyzed", F.lit(False))
+    )
+    status, reason = rules.classification(include, exclude)
+    p = p.withColumn("rule_status", F.when(needs, status)).withColumn(
+        "rule_reason", F.when(needs, reason))
     return _result_rows(p, as_of)
 
 
@@ -437,19 +453,19 @@ def upsert_outcomes(
     v = validate(payloads.select(*PAYLOAD_COLS))
     bad = v.where(F.col("error").isNotNull())
     good = v.where(F.col("error").isNull()).drop("error")
-    # text rules once, kept narrow; identity flags narrow too (both cut from the lineage)
-    text_rules = payload_rules(good, include, exclude).select(
-        "seq", "passes", "rule_status", "rule_reason")
     # the narrow identity table feeds four aggregates: computed once
     flags = single_flags(identity_match(stored, good).checkpoint(eager=True))
     if fold:  # reused by several jobs of the fold: computed once
-        text_rules = text_rules.checkpoint(eager=True)
         flags = flags.checkpoint(eager=True)
-    good = good.join(text_rules, "seq")
-    res = fast_path(stored, good, flags, as_of)
+    res = fast_path(stored, good, flags, as_of, include, exclude)
     if fold:
-        folded = fold_path(stored, good, flags, as_of)
-        res = res.unionByName(fold_results(stored, good, folded, as_of))
+        multi = good.join(flags.where(~F.col("single")).select("seq"), "seq", "left_semi")
+        # text rules of the interacting payloads, kept narrow for the fold
+        text_rules = payload_rules(multi, include, exclude).select(
+            "seq", "passes", "rule_status", "rule_reason").checkpoint(eager=True)
+        multi = multi.join(text_rules, "seq")
+        folded = fold_path(stored, multi, flags, as_of)
+        res = res.unionByName(fold_results(stored, multi, folded, as_of))
     res = res.withColumn("error", F.lit(None).cast("string"))
     failed = bad.select("seq", F.lit("failed").alias("outcome"), "source",
                         F.col("search_keyword").alias("term"), "error")

@@ -73,6 +73,31 @@ def classify_columns(
     ).drop(tmp, "__excl", "__incl")
 
 
+def classification(
+    include: Sequence[str], exclude: Sequence[str],
+    title: str = "title", description: str = "description_raw",
+) -> tuple[Column, Column]:
+    """F2 as two column expressions ``(status, reason)`` (for use inside lazy branches)."""
+    txt = content_col(title, description)
+    excluded = T.first_substring_hit(txt, list(exclude))
+    status = (
+        F.when(excluded.isNotNull(), F.lit("discarded"))
+        .when(T.first_substring_hit(txt, list(include)).isNotNull(), F.lit("ready_for_ai"))
+        .otherwise(F.lit("pending"))
+    )
+    reason = F.when(excluded.isNotNull(), F.concat(F.lit(EXCLUDED_REASON_PREFIX), excluded))
+    return status, reason
+
+
+def gate_passes(include: Sequence[str], threshold: int = 3,
+                title: str = "title", description: str = "description_raw") -> Column:
+    """F5 as one column expression (true when the include list is empty)."""
+    kws = list(dict.fromkeys(include))
+    if not kws:
+        return F.lit(True)
+    return T.distinct_word_hits(content_col(title, description), kws) >= F.lit(threshold)
+
+
 def reclassify(df: DataFrame, include, exclude, as_of: Column) -> DataFrame:
     """apply F2 to stored rows; ``analyzed`` rows keep status and reason, and
     ``updated_at`` moves only when status or reason really changed."""
