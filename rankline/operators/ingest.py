@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,35 +96,83 @@ def change_columns(joined: DataFrame, cur: str = "cur") -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ single vs fold
-def single_flags(matches: DataFrame) -> DataFrame:
-    """Marks payloads whose identity component is one payload plus at most one stored row:
-    no other payload shares its keys, its two keys do not point at two different rows, and
-    no other payload touches its stored row. Aggregates only (no wide columns)."""
+# ------------------------------------------------------------------ chains vs fold
+def chain_flags(matches: DataFrame) -> DataFrame:
+    """Splits payloads into *chains* and the rest.
+
+    A chain is the group of payloads with one ``(source, url)`` whose lookups can only ever
+    reach one row: its ``target`` stored row (found by that url, or by every payload's
+    external id when no row has the url) or, with no target, the row its first passing
+    payload inserts. Conditions: no payload of the group reaches another stored row, every
+    payload sharing an external id with the group is in it, and no payload outside the
+    group touches the target. ``single`` marks chains of one payload. All from grouped
+    counts, so a hot key is one partial row per task."""
     m = matches
-    n_e = m.where(F.col("external_id").isNotNull()).groupBy("source", "external_id").agg(
-        F.count(F.lit(1)).alias("n_e"))
-    n_u = m.groupBy("source", "url").agg(F.count(F.lit(1)).alias("n_u"))
+    has_ext = F.col("external_id").isNotNull()
+    n_e = m.where(has_ext).groupBy("source", "external_id").agg(F.count(F.lit(1)).alias("n_e"))
+    n_eg = m.where(has_ext).groupBy("source", "url", "external_id").agg(
+        F.count(F.lit(1)).alias("n_eg"))
     touch = (
         m.select(F.col("e_id").alias("sid")).where(F.col("sid").isNotNull())
         .unionByName(
-            m.where(F.col("u_id").isNotNull() & (F.col("e_id").isNull() | (F.col("e_id") != F.col("u_id"))))
+            m.where(F.col("u_id").isNotNull()
+                    & (F.col("e_id").isNull() | (F.col("e_id") != F.col("u_id"))))
             .select(F.col("u_id").alias("sid"))
         )
         .groupBy("sid").agg(F.count(F.lit(1)).alias("n_touch"))
     )
-    d = (
-        m.join(n_e, ["source", "external_id"], "left")
-        .join(n_u, ["source", "url"], "left")
-        .join(touch, F.col("matched_id") == F.col("sid"), "left")
+    x = m.join(n_e, ["source", "external_id"], "left").join(
+        n_eg, ["source", "url", "external_id"], "left")
+    g = x.groupBy("source", "url").agg(
+        F.count(F.lit(1)).alias("n_g"),
+        F.max("u_id").alias("t_u"),
+        F.count_if(F.col("e_id").isNotNull()
+                   & (F.col("u_id").isNull() | (F.col("e_id") != F.col("u_id")))).alias("n_e_off"),
+        F.count_if(F.col("e_id").isNull()).alias("n_e_null"),
+        F.min("e_id").alias("e_min"),
+        F.max("e_id").alias("e_max"),
+        F.count_if(has_ext & (F.col("n_e") != F.col("n_eg"))).alias("n_ext_open"),
+    )
+    target = F.when(F.col("t_u").isNotNull(), F.col("t_u")).otherwise(F.col("e_min"))
+    shape_ok = (F.col("n_ext_open") == 0) & (
+        (F.col("t_u").isNotNull() & (F.col("n_e_off") == 0))
+        | (F.col("t_u").isNull()
+           & ((F.col("n_e_null") == F.col("n_g"))
+              | ((F.col("n_e_null") == 0) & (F.col("e_min") == F.col("e_max")))))
+    )
+    g = g.withColumn("target", target).join(touch, F.col("target") == F.col("sid"), "left")
+    chain = shape_ok & (F.col("target").isNull() | (F.col("n_touch") == F.col("n_g")))
+    g = g.select("source", "url", F.col("target"), chain.alias("chain"), "n_g")
+    out = m.join(g, ["source", "url"])
+    return out.withColumn("single", F.col("chain") & (F.col("n_g") == 1))
+
+
+def ordered_prev(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """``lag(value)`` within ``keys`` ordered by ``order`` without putting a hot key in one
+    task: rows are range-partitioned on ``(keys, order)`` (a hot key spreads over several
+    partitions), lagged inside each (partition, key) chunk, and a chunk's first row takes the
+    last value of the key's previous chunk (a window over chunks: at most one row per
+    partition per key). Adds ``__prev`` and ``__first`` (first row of its key)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = (df.repartitionByRange(n, *keys, order)
+         .withColumn("__pid", F.spark_partition_id())
+         .checkpoint(eager=True))  # partition ids must not change on recomputation
+    w = Window.partitionBy("__pid", *keys).orderBy(order)
+    r = r.withColumn("__lag", F.lag(value).over(w)).withColumn("__rn", F.row_number().over(w))
+    chunks = r.groupBy("__pid", *keys).agg(F.max_by(value, order).alias("__last"))
+    wc = Window.partitionBy(*keys).orderBy("__pid")
+    chunks = chunks.select(
+        "__pid", *keys,
+        F.lag("__last").over(wc).alias("__chunk_prev"),
+        F.lag("__pid").over(wc).isNotNull().alias("__has_prev_chunk"),
     )
-    single = (
-        (F.coalesce("n_e", F.lit(1)) == 1)
-        & (F.col("n_u") == 1)
-        & ~(F.col("e_id").isNotNull() & F.col("u_id").isNotNull() & (F.col("e_id") != F.col("u_id")))
-        & (F.col("matched_id").isNull() | (F.col("n_touch") == 1))
+    r = r.join(chunks, ["__pid", *keys])
+    first_in_chunk = F.col("__rn") == 1
+    return r.select(
+        *df.columns,
+        F.when(first_in_chunk, F.col("__chunk_prev")).otherwise(F.col("__lag")).alias("__prev"),
+        (first_in_chunk & ~F.col("__has_prev_chunk")).alias("__first"),
     )
-    return d.withColumn("single", single).drop("n_e", "n_u", "sid", "n_touch")
 
 
 def payload_rules(payloads: DataFrame, include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
@@ -134,7 +182,7 @@ def payload_rules(payloads: DataFrame, include: Sequence[str], exclude: Sequence
     return rules.classify_columns(g, include, exclude)
 
 
-def fast_path(
+def chain_path(
     stored: DataFrame,
     payloads: DataFrame,
     flags: DataFrame,
@@ -142,32 +190,88 @@ def fast_path(
     include: Sequence[str],
     exclude: Sequence[str],
 ) -> DataFrame:
-    """M1-M3 for single payloads: ``seq, outcome, matched_id`` and the resulting row
-    fields (``id`` null for inserts; ids are assigned when the table is written).
-
-    The text rules run only where the outcome needs them: the relevance gate for unmatched
-    payloads, the classification for inserts and for updates of non-analysed rows
-    (``CASE`` branches are evaluated lazily)."""
-    single = flags.where("single").select("seq", "matched_id")
-    cur = stored.select("id", F.struct(*stored.columns).alias("cur"))
-    p = payloads.join(single, "seq").join(cur, F.col("matched_id") == F.col("id"), "left").drop("id")
-    p = change_columns(p)
-    matched = F.col("matched_id").isNotNull()
+    """M1-M3 for chain payloads, set-based. Within a chain the state before a payload is
+    the previous payload's fields (an update writes them, a skip means they were equal), or
+    the target row for the first one; a keyword is new at its first occurrence among the
+    applied payloads; with no target, payloads before the first one passing the gate are
+    discarded and that one inserts. Text rules run only where needed (gate for chains
+    without a target, classification for the chain's last writer)."""
+    chain = flags.where("chain").select("seq", "target")
+    cur = stored.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("cur"))
+    c = payloads.join(chain, "seq").withColumn("__f", F.struct(*COMPARED))
+    c = ordered_prev(c, ["source", "url"], "seq", "__f")
+    c = c.join(cur, "target", "left")
+    keys = ["source", "url"]
+    has_t = F.col("target").isNotNull()
     gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD)
-    outcome = (
-        F.when(matched & F.col("changed"), F.lit("updated"))
-        .when(matched, F.lit("skipped"))
-        .when(gate, F.lit("inserted"))
-        .otherwise(F.lit("discarded"))
+    firsts = c.where(~has_t).groupBy(*keys).agg(
+        F.min(F.when(gate, F.col("seq"))).alias("f_seq"))
+    c = c.join(firsts, keys, "left")
+    applied = has_t | (F.col("f_seq").isNotNull() & (F.col("seq") >= F.col("f_seq")))
+    kw = F.col("search_keyword")
+    kwf = c.where(applied & kw.isNotNull()).groupBy(*keys, "search_keyword").agg(
+        F.min("seq").alias("kw_first"))
+    c = c.join(kwf, [*keys, "search_keyword"], "left")
+    in_base = F.coalesce(F.array_contains(F.col("cur.search_keywords"), kw), F.lit(False))
+    kw_new = kw.isNotNull() & ~in_base & (F.col("kw_first") == F.col("seq"))
+    cur_f = F.struct(*[F.col(f"cur.{x}").alias(x) for x in COMPARED])
+    prev = F.when(F.col("__first"), cur_f).otherwise(F.col("__prev"))
+    changed = kw_new | ~F.col("__f").eqNullSafe(prev)
+    upd_or_skip = F.when(changed, F.lit("updated")).otherwise(F.lit("skipped"))
+    outcome = F.when(has_t, upd_or_skip).when(
+        F.col("f_seq").isNull() | (F.col("seq") < F.col("f_seq")), F.lit("discarded")
+    ).when(F.col("seq") == F.col("f_seq"), F.lit("inserted")).otherwise(upd_or_skip)
+    c = c.withColumn("outcome", outcome).withColumn("kw_new", kw_new)
+    c = c.checkpoint(eager=True)
+
+    writer = F.col("outcome").isin("inserted", "updated")
+    fin = c.groupBy(*keys).agg(
+        F.max_by(F.struct("seq", "external_id", *COMPARED), F.when(writer, F.col("seq"))).alias("w"),
+        F.min_by("external_id", F.when(F.col("outcome") == "inserted", F.col("seq"))).alias("f_ext"),
+        F.first("cur", ignorenulls=True).alias("c0"),
     )
-    p = p.withColumn("outcome", outcome)
-    needs = (F.col("outcome") == "inserted") | (
-        (F.col("outcome") == "updated") & ~F.coalesce(F.col("cur.status") == "analyzed", F.lit(False))
+    newkw = c.where("kw_new").groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_keyword"))),
+                    lambda x: x["search_keyword"]).alias("new_kws"))
+    fin = fin.join(newkw, keys, "left")
+    status, reason = rules.classification(include, exclude, "w.title", "w.description_raw")
+    c_analysed = F.coalesce(F.col("c0.status") == "analyzed", F.lit(False))
+    has_w = F.col("w").isNotNull()
+    fin = fin.select(
+        *keys,
+        F.when(has_w & ~c_analysed, status).otherwise(F.col("c0.status")).alias("fin_status"),
+        F.when(has_w & ~c_analysed, reason).otherwise(F.col("c0.filter_reason")).alias("fin_reason"),
+        F.concat(F.coalesce(F.col("c0.search_keywords"), F.array().cast("array<string>")),
+                 F.coalesce(F.col("new_kws"), F.array().cast("array<string>"))).alias("fin_kws"),
+        *[F.when(has_w, F.col(f"w.{x}")).otherwise(F.col(f"c0.{x}")).alias(f"fin_{x}") for x in COMPARED],
+        "f_ext", has_w.alias("has_w"),
     )
-    status, reason = rules.classification(include, exclude)
-    p = p.withColumn("rule_status", F.when(needs, status)).withColumn(
-        "rule_reason", F.when(needs, reason))
-    return _result_rows(p, as_of)
+    r = c.join(fin, keys)
+    disc = F.col("outcome") == "discarded"
+    kw_arr = F.when(kw.isNotNull(), F.array(kw)).otherwise(F.array().cast("array<string>"))
+    cols = [
+        F.col("seq"), F.col("outcome"), F.col("target").alias("matched_id"), kw.alias("term"),
+        F.when(has_t, F.concat(F.lit("s:"), F.col("target").cast("string")))
+        .when(~disc, F.concat(F.lit("p:"), F.col("f_seq").cast("string"))).alias("row_ref"),
+    ]
+    cols += [F.when(disc, F.col(x)).otherwise(F.col(f"fin_{x}")).alias(x) for x in COMPARED]
+    cols += [
+        F.when(has_t, F.col("cur.external_id")).when(disc, F.col("external_id"))
+        .otherwise(F.col("f_ext")).alias("external_id"),
+        F.col("source"),
+        F.when(disc, kw_arr).otherwise(F.col("fin_kws")).alias("search_keywords"),
+        F.when(~disc, F.col("fin_status")).alias("status"),
+        F.when(~disc, F.col("fin_reason")).alias("filter_reason"),
+    ]
+    cols += [F.col(f"cur.{x}").alias(x) for x in ["ai_score", "ai_summary", "ai_analysis_at"]]
+    cols += [
+        F.when(has_t, F.col("cur.first_seen_at")).when(~disc, as_of).alias("first_seen_at"),
+        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(F.col("has_w"), as_of)
+        .otherwise(F.col("cur.last_seen_at")).alias("last_seen_at"),
+        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(F.col("has_w"), as_of)
+        .otherwise(F.col("cur.updated_at")).alias("updated_at"),
+    ]
+    return r.select(*cols)
 
 
 def _result_rows(p: DataFrame, as_of: Column) -> DataFrame:
@@ -249,6 +353,7 @@ FOLD_SCHEMA = T.StructType([
     T.StructField("filter_reason", T.StringType()),
     T.StructField("first_seen_new", T.BooleanType()),
     T.StructField("touched", T.BooleanType()),
+    T.StructField("row_ext", T.StringType()),   # external id of the row (kept by updates)
 ])
 
 
@@ -314,13 +419,13 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
             out.append((comp, seq, "discarded", None))
     recs = [
         dict(comp=comp, seq=s, outcome=o, row_key=k, src_seq=None, keywords=None, status=None,
-             filter_reason=None, first_seen_new=None, touched=None)
+             filter_reason=None, first_seen_new=None, touched=None, row_ext=None)
         for comp, s, o, k in out
     ]
     for k, row in rows.items():
         recs.append(dict(comp=comp, seq=None, outcome="row", row_key=k, src_seq=row["src"],
                          keywords=row["kws"], status=row["status"], filter_reason=row["reason"],
-                         first_seen_new=row["new"], touched=row["touched"]))
+                         first_seen_new=row["new"], touched=row["touched"], row_ext=row["ext"]))
     return pd.DataFrame.from_records(recs, columns=[f.name for f in FOLD_SCHEMA.fields])
 
 
@@ -336,9 +441,9 @@ def fold_path(
     stored: DataFrame, payloads: DataFrame, flags: DataFrame, as_of: Column
 ) -> DataFrame:
     """W4 for the non-single payloads: component labels over identity keys, then the exact
-    fold per component. Returns the same columns as ``fast_path``."""
-    multi = flags.where(~F.col("single")).select("seq", "source", "external_id", "url",
-                                                "e_id", "u_id")
+    fold per component. Returns the same columns as ``chain_path``."""
+    multi = flags.where(~F.col("chain")).select("seq", "source", "external_id", "url",
+                                               "e_id", "u_id")
     if multi.limit(1).count() == 0:
         return folded_empty(stored.sparkSession)
     pay_edges = multi.select(
@@ -395,11 +500,11 @@ def fold_path(
 
 def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
     """Per-payload outcomes of the fold joined with the final state of the row each
-    payload touched, in the ``fast_path`` column layout."""
+    payload touched, in the ``chain_path`` column layout."""
     outs = folded.where(F.col("outcome") != "row").select("seq", "outcome", "row_key")
     fin = folded.where(F.col("outcome") == "row").select(
         "row_key", "src_seq", "keywords", F.col("status").alias("f_status"),
-        F.col("filter_reason").alias("f_reason"), "first_seen_new", "touched")
+        F.col("filter_reason").alias("f_reason"), "first_seen_new", "touched", "row_ext")
     cur = stored.select(F.col("id").alias("row_key"), F.struct(*stored.columns).alias("cur"))
     src = payloads.select(F.col("seq").alias("src_seq"), F.struct(*payloads.columns).alias("src"))
     j = outs.join(fin, "row_key", "left").join(cur, "row_key", "left").join(src, "src_seq", "left")
@@ -417,7 +522,7 @@ def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_o
             F.when(F.col("outcome").isin("discarded"), F.col(f"own.{c}"))
             .when(has_src, F.col(f"src.{c}")).otherwise(F.col(f"cur.{c}")).alias(c))
     cols += [
-        F.when(F.col("row_key") < 0, F.col("src.external_id")).when(F.col("outcome") == "discarded", F.col("own.external_id"))
+        F.when(F.col("row_key") < 0, F.col("row_ext")).when(F.col("outcome") == "discarded", F.col("own.external_id"))
         .otherwise(F.col("cur.external_id")).alias("external_id"),
         F.col("own.source").alias("source"),
         F.when(F.col("outcome") == "discarded",
@@ -453,13 +558,13 @@ def upsert_outcomes(
     v = validate(payloads.select(*PAYLOAD_COLS))
     bad = v.where(F.col("error").isNotNull())
     good = v.where(F.col("error").isNull()).drop("error")
-    # the narrow identity table feeds four aggregates: computed once
-    flags = single_flags(identity_match(stored, good).checkpoint(eager=True))
-    if fold:  # reused by several jobs of the fold: computed once
-        flags = flags.checkpoint(eager=True)
-    res = fast_path(stored, good, flags, as_of, include, exclude)
+    # the narrow identity table feeds several aggregates: computed once
+    flags = chain_flags(identity_match(stored, good).checkpoint(eager=True)).checkpoint(eager=True)
+    if not fold:
+        flags = flags.withColumn("chain", F.col("single"))
+    res = chain_path(stored, good, flags, as_of, include, exclude)
     if fold:
-        multi = good.join(flags.where(~F.col("single")).select("seq"), "seq", "left_semi")
+        multi = good.join(flags.where(~F.col("chain")).select("seq"), "seq", "left_semi")
         # text rules of the interacting payloads, kept narrow for the fold
         text_rules = payload_rules(multi, include, exclude).select(
             "seq", "passes", "rule_status", "rule_reason").checkpoint(eager=True)

@@ -137,3 +137,45 @@ def test_random_colliding_batches(spark):
         got = {r.seq: r.outcome for r in got.collect()}
         exp, _ = _fold(stored, pays, INC, EXC)
         assert got == exp, trial
+
+
+def _final_key(rows):
+    return sorted((r["source"], r["url"], r["title"], r["status"], tuple(r["search_keywords"]),
+                   r["external_id"]) for r in rows)
+
+
+def test_final_table_and_hot_chain(spark):
+    """A hot url shared by many payloads with different external ids and terms (one chain),
+    next to colliding keys; the new table equals the sequential fold's table."""
+    rnd = random.Random(11)
+    ts = datetime(2024, 1, 1)
+    stored = [dict(id=i, external_id=f"e{i}" if i % 2 else None, title=f"t{i}", company="c",
+                   url=f"u{i}", source="s", description_raw="with from thing", location=None,
+                   salary=None, created_at=ts, status="analyzed" if i == 3 else "pending",
+                   filter_reason=None, search_keywords=["k"], ai_score=None, ai_summary=None,
+                   ai_analysis_at=None, first_seen_at=ts, last_seen_at=ts, updated_at=ts)
+              for i in range(1, 6)]
+    pays = []
+    for s in range(1, 80):
+        hot = s % 3 != 0
+        pays.append(dict(seq=s, external_id=f"h{rnd.randint(1, 30)}" if hot else rnd.choice([None, f"e{rnd.randint(1, 7)}"]),
+                         title=rnd.choice(["a", "b"]), company="c",
+                         url="HOT" if hot else f"u{rnd.randint(1, 7)}", source="s",
+                         description_raw=rnd.choice(["with from thing", "with from thing pour", "nothing"]),
+                         search_keyword=rnd.choice([None, "k", "k2", "k3"]), location=None,
+                         salary=None, created_at=ts))
+    schema = ("id long, external_id string, title string, company string, url string, "
+              "source string, description_raw string, location string, salary string, "
+              "created_at timestamp_ntz, status string, filter_reason string, "
+              "search_keywords array<string>, ai_score int, ai_summary string, "
+              "ai_analysis_at timestamp_ntz, first_seen_at timestamp_ntz, "
+              "last_seen_at timestamp_ntz, updated_at timestamp_ntz")
+    pschema = ("seq long, external_id string, title string, company string, url string, "
+               "source string, description_raw string, search_keyword string, "
+               "location string, salary string, created_at timestamp_ntz")
+    sdf = spark.createDataFrame(stored, schema)
+    pdf = spark.createDataFrame(pays, pschema)
+    table, outcomes = IG.apply_batch(sdf, pdf, INC, EXC, F.lit("2025-01-01").cast("timestamp_ntz"))
+    exp_out, exp_rows = _fold(stored, pays, INC, EXC)
+    assert {r.seq: r.outcome for r in outcomes.collect()} == exp_out
+    assert _final_key(_as_dicts(table)) == _final_key(exp_rows.values())
