@@ -493,9 +493,30 @@ def fold_path(
             F.lit(None).cast("string").alias("rule_status"), F.lit(None).cast("string").alias("rule_reason"),
         )
     )
-    folded = p_rows.unionByName(s_rows).groupBy("comp").applyInPandas(_fold_component, FOLD_SCHEMA)
-    folded = folded.checkpoint(eager=True)
-    return folded
+    # each component lands whole in one partition, rows of a component contiguous; the
+    # fold streams over the partition and runs one component at a time
+    n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = p_rows.unionByName(s_rows).repartition(n, "comp").sortWithinPartitions("comp")
+    folded = rows.mapInPandas(_fold_stream, FOLD_SCHEMA)
+    return folded.checkpoint(eager=True)
+
+
+def _fold_stream(batches):
+    """Groups consecutive rows of a component across Arrow batches and folds each."""
+    carry = None
+    cols = [f.name for f in FOLD_SCHEMA.fields]
+    for pdf in batches:
+        if carry is not None and len(carry):
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = pdf["comp"].iloc[-1]
+        done, carry = pdf[pdf["comp"] != last], pdf[pdf["comp"] == last]
+        outs = [_fold_component(g) for _, g in done.groupby("comp", sort=False)]
+        if outs:
+            yield pd.concat(outs, ignore_index=True)[cols]
+    if carry is not None and len(carry):
+        yield _fold_component(carry)[cols]
 
 
 def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
