@@ -327,18 +327,17 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     stays short and a lost executor recomputes one round). Fails loudly past ``max_rounds``."""
     edges = edges.checkpoint(eager=True)
     lab = edges.groupBy("node").agg(F.min("node").alias("label"))
+    total = lab.agg(F.sum("label")).collect()[0][0]
     for _ in range(max_rounds):
         key_lab = edges.join(lab, "node").groupBy("key").agg(F.min("label").alias("kl"))
-        new = (
-            edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
-        )
+        new = edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
         new = new.checkpoint(eager=True)
-        changed = new.join(lab.withColumnRenamed("label", "old"), "node").where(
-            F.col("label") != F.col("old")
-        ).limit(1).count()
+        # labels never grow, so an unchanged sum means no label changed
+        new_total = new.agg(F.sum("label")).collect()[0][0]
         lab = new
-        if changed == 0:
+        if new_total == total:
             return lab
+        total = new_total
     raise RuntimeError(f"identity components did not converge in {max_rounds} rounds")
 
 

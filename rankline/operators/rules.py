@@ -168,34 +168,33 @@ def keyword_hits(
     key: str = "seq",
     title: str = "title",
     description: str = "description_raw",
-    max_broadcast_keywords: int = 100_000,
+    max_literal_keywords: int = 10_000,
 ) -> DataFrame:
-    """Which keywords hit which posting, as a table.
-
-    ``keywords`` has ``list_name, pos, keyword``. The keyword table is collected to a
-    literal array only when its row count is within ``max_broadcast_keywords`` (a checked
-    bound); each posting then generates its (keyword, hit) rows with ``inline`` and keeps the
-    hits, so no join and no shuffle of the posting side. Above the bound, the keyword table
-    is joined on the first word of each keyword against the words of the text (an equi-join
-    that shuffles), followed by the exact check.
+    """Which keywords hit which posting, as a table
+    ``key, list_name, pos, keyword, substring_hit, word_hit`` (rows with any hit).
+
+    ``keywords`` has ``list_name, pos, keyword``. Up to ``max_literal_keywords`` rows (a
+    checked bound) the keywords become literal expressions: each posting generates its
+    (keyword, hit) rows with ``inline`` and keeps the hits; no join, no shuffle of the
+    posting side. Above the bound only whole-word hits are computed, exactly, by an
+    equi-join of each keyword's first word with the distinct words of the text followed by
+    the regex check (a whole-word hit always contains its first word as a complete word);
+    substring hits of that many keywords are refused rather than approximated.
     """
     n = keywords.count()
     d = df.select(F.col(key), content_col(title, description).alias("__content"))
     kw = keywords.select(
-        F.col("list_name").cast("string"),
-        F.col("pos").cast("int"),
-        F.col("keyword").cast("string"),
-        T.casefold(F.col("keyword")).alias("kw_fold"),
+        F.col("list_name").cast("string"), F.col("pos").cast("int"), F.col("keyword").cast("string"),
     )
-    if n <= max_broadcast_keywords:
+    if n <= max_literal_keywords:
         rows = kw.collect()
         if not rows:
-            return d.select(F.col(key)).limit(0).select(
+            return d.select(
                 F.col(key), F.lit(None).cast("string").alias("list_name"),
                 F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("keyword"),
                 F.lit(None).cast("boolean").alias("substring_hit"),
                 F.lit(None).cast("boolean").alias("word_hit"),
-            )
+            ).limit(0)
         structs = [
             F.struct(
                 F.lit(r.list_name).alias("list_name"),
@@ -208,16 +207,23 @@ def keyword_hits(
         ]
         out = d.select(F.col(key), F.inline(F.array(*structs)))
         return out.where(F.col("substring_hit") | F.col("word_hit"))
-    # Large keyword tables: candidate pairs by an equi-join on words, then the exact test.
+    return word_hits_by_join(d, kw, key)
+
+
+def word_hits_by_join(d: DataFrame, kw: DataFrame, key: str) -> DataFrame:
+    """Exact whole-word hits for keyword tables of any size (see ``keyword_hits``)."""
+    kf = kw.withColumn("kw_fold", T.casefold(F.col("keyword")))
+    first_word = F.regexp_extract("kw_fold", r"(?U)(\w+)", 1)
+    if kf.where(first_word == "").limit(1).count():
+        raise ValueError("keywords without a word character cannot be matched as whole words")
+    kf = kf.withColumn("word", first_word)
     words = d.select(
         F.col(key), "__content",
-        F.explode(F.array_distinct(F.split(F.col("__content"), r"(?U)[^\w]+"))).alias("word"),
+        F.explode(F.array_distinct(F.split(F.col("__content"), r"(?U)\W+"))).alias("word"),
     )
-    kw_first = kw.withColumn("word", F.regexp_extract("kw_fold", r"(?U)^\W*(\w+)", 1))
-    cand = words.join(kw_first, "word")
     pattern = F.concat(F.lit("(?U)\\b\\Q"), F.col("kw_fold"), F.lit("\\E\\b"))
-    return cand.select(
+    cand = words.join(kf, "word")
+    return cand.where(F.regexp_like(F.col("__content"), pattern)).select(
         F.col(key), "list_name", "pos", "keyword",
-        (F.instr(F.col("__content"), F.col("kw_fold")) > 0).alias("substring_hit"),
-        F.col("__content").rlike(pattern).alias("word_hit"),
-    ).where(F.col("substring_hit") | F.col("word_hit"))
+        F.lit(True).alias("substring_hit"), F.lit(True).alias("word_hit"),
+    )

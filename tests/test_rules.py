@@ -79,3 +79,16 @@ def test_reclassify_keeps_analyzed(spark):
     out = rules.reclassify(df, ["Python"], [], F.lit("2025-01-01").cast("timestamp_ntz")).collect()
     assert [r.status for r in out] == ["analyzed", "ready_for_ai", "pending"]
     assert out[0].updated_at is None and out[1].updated_at is not None and out[2].updated_at is None
+
+
+def test_keyword_hits_literal_and_join_paths_agree_on_words(spark):
+    df = spark.createDataFrame(
+        [(1, "Python dev", "django, java e javascript"), (2, "Vendas", "home office")],
+        "seq long, title string, description_raw string")
+    kw = spark.createDataFrame(
+        [("include", 0, "Python"), ("include", 1, "Home Office"), ("exclude", 0, "Java")],
+        "list_name string, pos int, keyword string")
+    lit = {(r.seq, r.keyword): (r.substring_hit, r.word_hit) for r in rules.keyword_hits(df, kw).collect()}
+    assert lit == {(1, "Python"): (True, True), (1, "Java"): (True, True), (2, "Home Office"): (True, True)}
+    joined = {(r.seq, r.keyword) for r in rules.keyword_hits(df, kw, max_literal_keywords=0).collect()}
+    assert joined == {k for k, (s, w) in lit.items() if w}
