@@ -189,29 +189,49 @@ def chain_path(
     as_of: Column,
     include: Sequence[str],
     exclude: Sequence[str],
+    singles_only: bool = False,
 ) -> DataFrame:
     """M1-M3 for chain payloads, set-based. Within a chain the state before a payload is
     the previous payload's fields (an update writes them, a skip means they were equal), or
     the target row for the first one; a keyword is new at its first occurrence among the
     applied payloads; with no target, payloads before the first one passing the gate are
     discarded and that one inserts. Text rules run only where needed (gate for chains
-    without a target, classification for the chain's last writer)."""
-    chain = flags.where("chain").select("seq", "target")
+    without a target, classification for the chain's last writer). Chains of one payload
+    (most of them) need no ordering and no grouping: they are computed row by row."""
+    chain = flags.where("chain").select("seq", "target", "n_g")
     cur = stored.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("cur"))
     c = payloads.join(chain, "seq").withColumn("__f", F.struct(*COMPARED))
-    c = ordered_prev(c, ["source", "url"], "seq", "__f")
-    c = c.join(cur, "target", "left")
+    ftype = c.schema["__f"].dataType
+    one = (c.where(F.col("n_g") == 1).withColumn("__prev", F.lit(None).cast(ftype))
+           .withColumn("__first", F.lit(True)))
+    out = _chain_part(one, cur, as_of, include, exclude, single=True)
+    if not singles_only:
+        many = ordered_prev(c.where(F.col("n_g") > 1), ["source", "url"], "seq", "__f")
+        out = out.unionByName(_chain_part(many, cur, as_of, include, exclude, single=False))
+    return out
+
+
+def _chain_part(
+    c: DataFrame, cur: DataFrame, as_of: Column, include, exclude, single: bool
+) -> DataFrame:
     keys = ["source", "url"]
+    c = c.join(cur, "target", "left")
     has_t = F.col("target").isNotNull()
     gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD)
-    firsts = c.where(~has_t).groupBy(*keys).agg(
-        F.min(F.when(gate, F.col("seq"))).alias("f_seq"))
-    c = c.join(firsts, keys, "left")
-    applied = has_t | (F.col("f_seq").isNotNull() & (F.col("seq") >= F.col("f_seq")))
     kw = F.col("search_keyword")
-    kwf = c.where(applied & kw.isNotNull()).groupBy(*keys, "search_keyword").agg(
-        F.min("seq").alias("kw_first"))
-    c = c.join(kwf, [*keys, "search_keyword"], "left")
+    if single:
+        c = c.withColumn("f_seq", F.when(~has_t & gate, F.col("seq")))
+    else:
+        firsts = c.where(~has_t).groupBy(*keys).agg(
+            F.min(F.when(gate, F.col("seq"))).alias("f_seq"))
+        c = c.join(firsts, keys, "left")
+    applied = has_t | (F.col("f_seq").isNotNull() & (F.col("seq") >= F.col("f_seq")))
+    if single:
+        c = c.withColumn("kw_first", F.when(applied & kw.isNotNull(), F.col("seq")))
+    else:
+        kwf = c.where(applied & kw.isNotNull()).groupBy(*keys, "search_keyword").agg(
+            F.min("seq").alias("kw_first"))
+        c = c.join(kwf, [*keys, "search_keyword"], "left")
     in_base = F.coalesce(F.array_contains(F.col("cur.search_keywords"), kw), F.lit(False))
     kw_new = kw.isNotNull() & ~in_base & (F.col("kw_first") == F.col("seq"))
     cur_f = F.struct(*[F.col(f"cur.{x}").alias(x) for x in COMPARED])
@@ -222,103 +242,62 @@ def chain_path(
         F.col("f_seq").isNull() | (F.col("seq") < F.col("f_seq")), F.lit("discarded")
     ).when(F.col("seq") == F.col("f_seq"), F.lit("inserted")).otherwise(upd_or_skip)
     c = c.withColumn("outcome", outcome).withColumn("kw_new", kw_new)
-    c = c.checkpoint(eager=True)
 
     writer = F.col("outcome").isin("inserted", "updated")
-    fin = c.groupBy(*keys).agg(
-        F.max_by(F.struct("seq", "external_id", *COMPARED), F.when(writer, F.col("seq"))).alias("w"),
-        F.min_by("external_id", F.when(F.col("outcome") == "inserted", F.col("seq"))).alias("f_ext"),
-        F.first("cur", ignorenulls=True).alias("c0"),
-    )
-    newkw = c.where("kw_new").groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_keyword"))),
-                    lambda x: x["search_keyword"]).alias("new_kws"))
-    fin = fin.join(newkw, keys, "left")
+    w = F.struct("seq", "external_id", *COMPARED)
+    if single:
+        r = c.withColumn("w", F.when(writer, w)).withColumn(
+            "f_ext", F.when(F.col("outcome") == "inserted", F.col("external_id"))
+        ).withColumn("c0", F.col("cur")).withColumn(
+            "new_kws", F.when(F.col("kw_new"), F.array(kw)))
+    else:
+        c = c.checkpoint(eager=True)  # feeds two aggregates and the join below
+        fin = c.groupBy(*keys).agg(
+            F.max_by(w, F.when(writer, F.col("seq"))).alias("w"),
+            F.min_by("external_id", F.when(F.col("outcome") == "inserted", F.col("seq"))).alias("f_ext"),
+            F.first("cur", ignorenulls=True).alias("c0"),
+        )
+        newkw = c.where("kw_new").groupBy(*keys).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_keyword"))),
+                        lambda x: x["search_keyword"]).alias("new_kws"))
+        r = c.join(fin.join(newkw, keys, "left"), keys)
     status, reason = rules.classification(include, exclude, "w.title", "w.description_raw")
     c_analysed = F.coalesce(F.col("c0.status") == "analyzed", F.lit(False))
     has_w = F.col("w").isNotNull()
-    fin = fin.select(
-        *keys,
-        F.when(has_w & ~c_analysed, status).otherwise(F.col("c0.status")).alias("fin_status"),
-        F.when(has_w & ~c_analysed, reason).otherwise(F.col("c0.filter_reason")).alias("fin_reason"),
-        F.concat(F.coalesce(F.col("c0.search_keywords"), F.array().cast("array<string>")),
-                 F.coalesce(F.col("new_kws"), F.array().cast("array<string>"))).alias("fin_kws"),
-        *[F.when(has_w, F.col(f"w.{x}")).otherwise(F.col(f"c0.{x}")).alias(f"fin_{x}") for x in COMPARED],
-        "f_ext", has_w.alias("has_w"),
-    )
-    r = c.join(fin, keys)
     disc = F.col("outcome") == "discarded"
     kw_arr = F.when(kw.isNotNull(), F.array(kw)).otherwise(F.array().cast("array<string>"))
+    fin_kws = F.concat(F.coalesce(F.col("c0.search_keywords"), F.array().cast("array<string>")),
+                       F.coalesce(F.col("new_kws"), F.array().cast("array<string>")))
     cols = [
         F.col("seq"), F.col("outcome"), F.col("target").alias("matched_id"), kw.alias("term"),
         F.when(has_t, F.concat(F.lit("s:"), F.col("target").cast("string")))
         .when(~disc, F.concat(F.lit("p:"), F.col("f_seq").cast("string"))).alias("row_ref"),
     ]
-    cols += [F.when(disc, F.col(x)).otherwise(F.col(f"fin_{x}")).alias(x) for x in COMPARED]
+    cols += [
+        F.when(disc, F.col(x)).when(has_w, F.col(f"w.{x}")).otherwise(F.col(f"c0.{x}")).alias(x)
+        for x in COMPARED
+    ]
     cols += [
         F.when(has_t, F.col("cur.external_id")).when(disc, F.col("external_id"))
         .otherwise(F.col("f_ext")).alias("external_id"),
         F.col("source"),
-        F.when(disc, kw_arr).otherwise(F.col("fin_kws")).alias("search_keywords"),
-        F.when(~disc, F.col("fin_status")).alias("status"),
-        F.when(~disc, F.col("fin_reason")).alias("filter_reason"),
+        F.when(disc, kw_arr).otherwise(fin_kws).alias("search_keywords"),
+        F.when(disc, F.lit(None).cast("string")).when(has_w & ~c_analysed, status)
+        .otherwise(F.col("c0.status")).alias("status"),
+        F.when(disc, F.lit(None).cast("string")).when(has_w & ~c_analysed, reason)
+        .otherwise(F.col("c0.filter_reason")).alias("filter_reason"),
     ]
     cols += [F.col(f"cur.{x}").alias(x) for x in ["ai_score", "ai_summary", "ai_analysis_at"]]
     cols += [
         F.when(has_t, F.col("cur.first_seen_at")).when(~disc, as_of).alias("first_seen_at"),
-        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(F.col("has_w"), as_of)
+        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(has_w, as_of)
         .otherwise(F.col("cur.last_seen_at")).alias("last_seen_at"),
-        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(F.col("has_w"), as_of)
+        F.when(disc, F.lit(None).cast("timestamp_ntz")).when(has_w, as_of)
         .otherwise(F.col("cur.updated_at")).alias("updated_at"),
     ]
     return r.select(*cols)
 
 
-def _result_rows(p: DataFrame, as_of: Column) -> DataFrame:
-    """Row fields after the outcome: updates overwrite the compared fields, append the
-    keyword and reclassify unless analysed (F3); skips keep the stored row."""
-    upd = F.col("outcome") == "updated"
-    ins = F.col("outcome") == "inserted"
-    keep = F.col("outcome") == "skipped"
-    kw_arr = F.when(F.col("search_keyword").isNotNull(), F.array("search_keyword")).otherwise(
-        F.array().cast("array<string>"))
-    cols = [F.col("seq"), F.col("outcome"), F.col("matched_id"),
-            F.col("search_keyword").alias("term"),
-            F.when(F.col("matched_id").isNotNull(), F.concat(F.lit("s:"), F.col("matched_id").cast("string")))
-            .when(ins, F.concat(F.lit("p:"), F.col("seq").cast("string"))).alias("row_ref")]
-    for c in COMPARED:
-        cols.append(F.when(keep, F.col(f"cur.{c}")).otherwise(F.col(c)).alias(c))
-    cols += [
-        F.when(ins | F.col("matched_id").isNull(), F.col("external_id"))
-        .otherwise(F.col("cur.external_id")).alias("external_id"),
-        F.col("source"),
-        F.when(ins, kw_arr)
-        .when(upd & F.col("keyword_new"), F.concat(F.col("cur.search_keywords"), kw_arr))
-        .when(F.col("matched_id").isNotNull(), F.col("cur.search_keywords"))
-        .otherwise(kw_arr).alias("search_keywords"),
-    ]
-    analysed = F.col("cur.status") == "analyzed"
-    status = (
-        F.when(ins, F.col("rule_status"))
-        .when(upd & ~analysed, F.col("rule_status"))
-        .when(F.col("matched_id").isNotNull(), F.col("cur.status"))
-    )
-    reason = (
-        F.when(ins, F.col("rule_reason"))
-        .when(upd & ~analysed, F.col("rule_reason"))
-        .when(F.col("matched_id").isNotNull(), F.col("cur.filter_reason"))
-    )
-    cols += [status.alias("status"), reason.alias("filter_reason")]
-    for c in ["ai_score", "ai_summary", "ai_analysis_at"]:
-        cols.append(F.col(f"cur.{c}").alias(c))
-    cols += [
-        F.when(ins, as_of).otherwise(F.col("cur.first_seen_at")).alias("first_seen_at"),
-        F.when(ins | upd, as_of).otherwise(F.col("cur.last_seen_at")).alias("last_seen_at"),
-        F.when(ins | upd, as_of).otherwise(F.col("cur.updated_at")).alias("updated_at"),
-    ]
-    return p.select(*cols)
-
-
 # ------------------------------------------------------------------ components + fold
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of a bipartite graph ``edges(node, key)``: returns
@@ -579,10 +558,12 @@ def upsert_outcomes(
     bad = v.where(F.col("error").isNotNull())
     good = v.where(F.col("error").isNull()).drop("error")
     # the narrow identity table feeds several aggregates: computed once
-    flags = chain_flags(identity_match(stored, good).checkpoint(eager=True)).checkpoint(eager=True)
-    if not fold:
+    flags = chain_flags(identity_match(stored, good).checkpoint(eager=True))
+    if fold:  # reused by the chain path, the components and the fold
+        flags = flags.checkpoint(eager=True)
+    else:
         flags = flags.withColumn("chain", F.col("single"))
-    res = chain_path(stored, good, flags, as_of, include, exclude)
+    res = chain_path(stored, good, flags, as_of, include, exclude, singles_only=not fold)
     if fold:
         multi = good.join(flags.where(~F.col("chain")).select("seq"), "seq", "left_semi")
         # text rules of the interacting payloads, kept narrow for the fold
