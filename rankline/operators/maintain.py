@@ -119,6 +119,16 @@ def cleanup(jobs: DataFrame, include: Sequence[str], threshold: int = 3) -> Data
     )
 
 
+def cleanup_counters(flags: DataFrame) -> DataFrame:
+    """Deleted / kept counts of a cleanup (over ``cleanup_flags`` output; analysed rows
+    are neither)."""
+    cand = F.col("status") != "analyzed"
+    return flags.agg(
+        F.count_if(F.col("deleted")).alias("deleted"),
+        F.count_if(cand & ~F.col("deleted")).alias("kept"),
+    )
+
+
 MANUAL_STATUSES = ("ready_for_ai", "discarded")
 
 

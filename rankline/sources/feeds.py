@@ -208,3 +208,17 @@ def union_feeds(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def fetch_plan(spark: SparkSession, sources: list[str], terms: list[str]) -> DataFrame:
+    """The work list of one cycle, every selected source with every effective term
+    (an empty term list means one unfiltered fetch per source). Both lists are config-sized;
+    the terms are a literal array exploded per source row, so no join is needed."""
+    ts = list(terms) or [""]
+    src = spark.createDataFrame([(s,) for s in sources], "source string")
+    return src.select("source", F.explode(F.array(*[F.lit(t) for t in ts])).alias("term"))
+
+
+def planned_fetches(landed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Landed fetch rows (with ``source`` and ``term``) that belong to the cycle's plan."""
+    return landed.join(plan, ["source", "term"], "left_semi")
