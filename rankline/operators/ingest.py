@@ -587,21 +587,22 @@ def ingest_stats(outcomes: DataFrame, term: str = "term") -> DataFrame:
     return g.withColumn("total", sum((F.col(o) for o in OUTCOMES), F.lit(0)))
 
 
-def apply_batch(
+def apply_batch_changes(
     stored: DataFrame,
     payloads: DataFrame,
     include: Sequence[str],
     exclude: Sequence[str],
     as_of: Column,
 ) -> tuple[DataFrame, DataFrame]:
-    """Runs the batch and returns ``(new_table, outcomes)``. Untouched stored rows pass
-    through; touched rows take their final state; inserted rows get new ids, unique and
-    increasing in ``seq`` above the current maximum (with gaps, like an autoincrement).
-    The id assignment is not deterministic under recomputation, so the new rows are
-    checkpointed before use."""
+    """Runs the batch and returns ``(changed_rows, outcomes)``: the final state of every
+    row the batch updated or inserted, in the table layout. Inserted rows get new ids,
+    unique and increasing in ``seq`` above the current maximum (with gaps, like an
+    autoincrement); the id assignment is not deterministic under recomputation, so the new
+    rows are checkpointed before use."""
     outcomes = upsert_outcomes(stored, payloads, include, exclude, as_of).checkpoint(eager=True)
     final = outcomes.where(F.col("outcome").isin("inserted", "updated") & F.col("row_ref").isNotNull())
-    final = final.groupBy("row_ref").agg(F.max_by(F.struct(*final.columns), F.col("seq")).alias("r")).select("r.*")
+    final = final.groupBy("row_ref").agg(
+        F.max_by(F.struct(*final.columns), F.col("seq")).alias("r")).select("r.*")
     table_cols = stored.columns
     upd = final.where(F.col("row_ref").startswith("s:")).withColumn("id", F.col("matched_id"))
     new = final.where(F.col("row_ref").startswith("p:"))
@@ -612,6 +613,18 @@ def apply_batch(
         .withColumn("id", F.monotonically_increasing_id() + F.lit(max_id + 1))
         .checkpoint(eager=True)
     )
-    keep = stored.join(upd.select("id"), "id", "left_anti")
-    table = keep.unionByName(upd.select(*table_cols)).unionByName(new.select(*table_cols))
-    return table, outcomes
+    return upd.select(*table_cols).unionByName(new.select(*table_cols)), outcomes
+
+
+def apply_batch(
+    stored: DataFrame,
+    payloads: DataFrame,
+    include: Sequence[str],
+    exclude: Sequence[str],
+    as_of: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """Runs the batch and returns ``(new_table, outcomes)``: untouched stored rows pass
+    through, touched rows take their final state, inserted rows are added."""
+    changed, outcomes = apply_batch_changes(stored, payloads, include, exclude, as_of)
+    keep = stored.join(changed.select("id"), "id", "left_anti")
+    return keep.unionByName(changed), outcomes

@@ -47,8 +47,8 @@ def _upsert_batch(spark: SparkSession, root: str, include, exclude, batch: DataF
         (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), F.col("seq"))
     cut = FT.take_while(batch, ["source", "search_keyword"], order, ck)
     as_of = F.lit(time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())).cast("timestamp_ntz")
-    new_table, outcomes = IG.apply_batch(table, cut, include, exclude, as_of)
-    store.write(new_table, root, batch_id)
+    changed, outcomes = IG.apply_batch_changes(table, cut, include, exclude, as_of)
+    store.write_changes(changed, root, batch_id)  # rewrites only the touched buckets
     row = outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in IG.OUTCOMES]).collect()[0]
     stats = row.asDict()
     log.cycles += 1

@@ -106,3 +106,24 @@ def test_store_versions(spark):
     assert ST.latest_version(spark, root) == 1 and ST.read(spark, root).count() == 2
     assert ST.read(spark, root, 0).count() == 1
     assert ST.prune(spark, root, retain=1) == [0]
+
+
+def test_store_rewrites_only_touched_buckets(spark):
+    root = shared_path(spark, "test_store_b", uuid.uuid4().hex)
+    rows = [(i, None, f"t{i}", "c", f"u{i}", "s", ["k"], "d", None, None, "pending", None, None,
+             None, None, T0, T0, T0, T0) for i in range(1, 11)]
+    base = spark.createDataFrame(rows, ST.JOBS_SCHEMA)
+    assert ST.write(base, root, 0, buckets=64)
+    changed = base.where("id = 3").withColumn("title", F.lit("new")).unionByName(
+        base.where("id = 1").withColumn("id", F.lit(100).cast("long")))
+    assert ST.write_changes(changed, root, 1)
+    m = ST.manifest(spark, root)
+    rewritten = sorted(int(b) for b, f in m["files"].items() if f.startswith("data/v=1/"))
+    assert rewritten == [3, 36]
+    t = {r.id: r.title for r in ST.read(spark, root).collect()}
+    assert len(t) == 11 and t[3] == "new" and t[100] == "t1"
+    assert ST.write_changes(changed, root, 1) is False
+    assert ST.write_changes(base.where("id = 2").limit(0), root, 2,
+                            deleted_ids=base.where("id = 2").select("id"))
+    assert 2 not in {r.id for r in ST.read(spark, root).collect()}
+    assert "2" not in ST.manifest(spark, root)["files"]
