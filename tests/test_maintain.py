@@ -127,3 +127,16 @@ def test_store_rewrites_only_touched_buckets(spark):
                             deleted_ids=base.where("id = 2").select("id"))
     assert 2 not in {r.id for r in ST.read(spark, root).collect()}
     assert "2" not in ST.manifest(spark, root)["files"]
+
+
+def test_rules_per_profile(spark):
+    posts = spark.createDataFrame([(1, "Python Django FastAPI", ""), (2, "PHP dev", "")],
+                                  "seq long, title string, description_raw string")
+    profiles = spark.createDataFrame(
+        [(1, [], ["Python", "Django", "FastAPI"], ["PHP"]), (2, [], ["PHP"], [])],
+        "profile_id long, search_terms array<string>, include_keywords array<string>, "
+        "exclude_keywords array<string>")
+    out = {(r.seq, r.profile_id): (r.status, r.match_count, r.passes)
+           for r in CF.rules_per_profile(posts, profiles).collect()}
+    assert out == {(1, 1): ("ready_for_ai", 3, True), (2, 1): ("discarded", 0, False),
+                   (1, 2): ("pending", 0, False), (2, 2): ("ready_for_ai", 1, False)}
