@@ -17,6 +17,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from rankline.session import cut_lineage
 from pyspark.sql import types as T
 
 from rankline.functions import text as TX
@@ -154,9 +156,8 @@ def ordered_prev(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     last value of the key's previous chunk (a window over chunks: at most one row per
     partition per key). Adds ``__prev`` and ``__first`` (first row of its key)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *keys, order)
-         .withColumn("__pid", F.spark_partition_id())
-         .checkpoint(eager=True))  # partition ids must not change on recomputation
+    # partition ids must not change on recomputation
+    r = cut_lineage(df.repartitionByRange(n, *keys, order).withColumn("__pid", F.spark_partition_id()))
     w = Window.partitionBy("__pid", *keys).orderBy(order)
     r = r.withColumn("__lag", F.lag(value).over(w)).withColumn("__rn", F.row_number().over(w))
     chunks = r.groupBy("__pid", *keys).agg(F.max_by(value, order).alias("__last"))
@@ -251,7 +252,7 @@ def _chain_part(
         ).withColumn("c0", F.col("cur")).withColumn(
             "new_kws", F.when(F.col("kw_new"), F.array(kw)))
     else:
-        c = c.checkpoint(eager=True)  # feeds two aggregates and the join below
+        c = cut_lineage(c)  # feeds two aggregates and the join below
         fin = c.groupBy(*keys).agg(
             F.max_by(w, F.when(writer, F.col("seq"))).alias("w"),
             F.min_by("external_id", F.when(F.col("outcome") == "inserted", F.col("seq"))).alias("f_ext"),
@@ -304,13 +305,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``node, label`` with ``label`` = least node of its component. Min-label propagation
     through the keys; every round is checkpointed to the shared checkpoint folder (lineage
     stays short and a lost executor recomputes one round). Fails loudly past ``max_rounds``."""
-    edges = edges.checkpoint(eager=True)
+    edges = cut_lineage(edges)
     lab = edges.groupBy("node").agg(F.min("node").alias("label"))
     total = lab.agg(F.sum("label")).collect()[0][0]
     for _ in range(max_rounds):
         key_lab = edges.join(lab, "node").groupBy("key").agg(F.min("label").alias("kl"))
         new = edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
-        new = new.checkpoint(eager=True)
+        new = cut_lineage(new)
         # labels never grow, so an unchanged sum means no label changed
         new_total = new.agg(F.sum("label")).collect()[0][0]
         lab = new
@@ -476,7 +477,7 @@ def fold_path(
     n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = p_rows.unionByName(s_rows).repartition(n, "comp").sortWithinPartitions("comp")
     folded = rows.mapInPandas(_fold_stream, FOLD_SCHEMA)
-    return folded.checkpoint(eager=True)
+    return cut_lineage(folded)
 
 
 def _fold_stream(batches):
@@ -558,17 +559,17 @@ def upsert_outcomes(
     bad = v.where(F.col("error").isNotNull())
     good = v.where(F.col("error").isNull()).drop("error")
     # the narrow identity table feeds several aggregates: computed once
-    flags = chain_flags(identity_match(stored, good).checkpoint(eager=True))
+    flags = chain_flags(cut_lineage(identity_match(stored, good)))
     if fold:  # reused by the chain path, the components and the fold
-        flags = flags.checkpoint(eager=True)
+        flags = cut_lineage(flags)
     else:
         flags = flags.withColumn("chain", F.col("single"))
     res = chain_path(stored, good, flags, as_of, include, exclude, singles_only=not fold)
     if fold:
         multi = good.join(flags.where(~F.col("chain")).select("seq"), "seq", "left_semi")
         # text rules of the interacting payloads, kept narrow for the fold
-        text_rules = payload_rules(multi, include, exclude).select(
-            "seq", "passes", "rule_status", "rule_reason").checkpoint(eager=True)
+        text_rules = cut_lineage(payload_rules(multi, include, exclude).select(
+            "seq", "passes", "rule_status", "rule_reason"))
         multi = multi.join(text_rules, "seq")
         folded = fold_path(stored, multi, flags, as_of)
         res = res.unionByName(fold_results(stored, multi, folded, as_of))
@@ -599,7 +600,7 @@ def apply_batch_changes(
     unique and increasing in ``seq`` above the current maximum (with gaps, like an
     autoincrement); the id assignment is not deterministic under recomputation, so the new
     rows are checkpointed before use."""
-    outcomes = upsert_outcomes(stored, payloads, include, exclude, as_of).checkpoint(eager=True)
+    outcomes = cut_lineage(upsert_outcomes(stored, payloads, include, exclude, as_of))
     final = outcomes.where(F.col("outcome").isin("inserted", "updated") & F.col("row_ref").isNotNull())
     final = final.groupBy("row_ref").agg(
         F.max_by(F.struct(*final.columns), F.col("seq")).alias("r")).select("r.*")
@@ -608,10 +609,9 @@ def apply_batch_changes(
     new = final.where(F.col("row_ref").startswith("p:"))
     max_id = stored.agg(F.max("id")).collect()[0][0] or 0
     n = max(1, new.sparkSession.sparkContext.defaultParallelism)
-    new = (
+    new = cut_lineage(
         new.repartitionByRange(n, "seq").sortWithinPartitions("seq")
         .withColumn("id", F.monotonically_increasing_id() + F.lit(max_id + 1))
-        .checkpoint(eager=True)
     )
     return upd.select(*table_cols).unionByName(new.select(*table_cols)), outcomes
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankline.operators import listing, rules
 from rankline.plans import fixture_sql as S
+from rankline.session import cut_lineage
 from rankline.sources import testdata as TD
 
 # The rule lists used by the registered queries.
@@ -601,7 +602,7 @@ def change_detection(spark, sf_dir):
 def _stored_snapshot(spark, sf_dir):
     """The stored side as a written table (a snapshot in the shared checkpoint folder),
     as the store would hand it to an upsert."""
-    return TD.stored_rows(spark, sf_dir).checkpoint(eager=True)
+    return cut_lineage(TD.stored_rows(spark, sf_dir))
 
 
 def _upsert(spark, sf_dir, fold):

@@ -53,3 +53,10 @@ def as_local_fs_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
+
+
+def cut_lineage(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (eager): the plan is computed
+    once, written reliably, and later reads start from the files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
