@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from rankline.functions import parse as PR
 from rankline.operators import fetch as FT
 
+# The stored ``source`` names of the two feed shapes (rows already stored
+# under these names keep matching).
+FEED_A_SOURCE = "remoteok"
+FEED_B_SOURCE = "remotar"
+
 # ------------------------------------------------------------------ feed A
 FEED_A_ENTRY = (
     "id string, position string, company string, url string, apply_url string, "
@@ -46,7 +51,7 @@ def normalize_feed_a(rows: DataFrame, term: Column, as_of: Column, tz: str = "UT
         F.col("position").alias("title"),
         "company",
         url.alias("url"),
-        F.lit("remoteok").alias("source"),
+        F.lit(FEED_A_SOURCE).alias("source"),
         term.alias("search_keyword"),
         F.coalesce(F.col("description"), F.lit("")).alias("description_raw"),
         F.nullif(F.col("location"), F.lit("")).alias("location"),
@@ -154,7 +159,7 @@ def normalize_feed_b(rows: DataFrame, term: Column, as_of: Column, base_url: str
         "title",
         company.alias("company"),
         url.alias("url"),
-        F.lit("remotar").alias("source"),
+        F.lit(FEED_B_SOURCE).alias("source"),
         term.alias("search_keyword"),
         F.coalesce(F.col("description"), F.lit("")).alias("description_raw"),
         location_b(F.col("subtitle"), F.col("description"), F.col("city.name"),
@@ -185,7 +190,7 @@ def fetch_feed_b(spark: SparkSession, path: str, term: str | None, checkpoints:
 
 # ------------------------------------------------------------------ S3 registry
 FeedReader = Callable[..., DataFrame]
-REGISTRY: dict[str, FeedReader] = {"remoteok": fetch_feed_a, "remotar": fetch_feed_b}
+REGISTRY: dict[str, FeedReader] = {FEED_A_SOURCE: fetch_feed_a, FEED_B_SOURCE: fetch_feed_b}
 
 
 def register_feed(name: str, reader: FeedReader) -> None:
