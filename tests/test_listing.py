@@ -61,3 +61,23 @@ def test_keyset_page_matches_offset(spark):
     last = first[-1]
     nxt = L.keyset_page(df, (last.ai_score, last.created_at, last.id), L.JobFilter(), 20).collect()
     assert [r.id for r in nxt] == [r.id for r in L.rank_page(df, L.JobFilter(), 2, 20).collect()]
+
+
+def _six(spark):
+    t0 = datetime(2026, 3, 1)
+    rows = [(1, "Analyzed High Recent", "analyzed", 9, 6), (2, "Analyzed High Older", "analyzed", 9, 4),
+            (3, "Analyzed Low", "analyzed", 4, 5), (4, "Ready For AI", "ready_for_ai", None, 7),
+            (5, "Pending Review", "pending", None, 8), (6, "Discarded Candidate", "discarded", 2, 9)]
+    return spark.createDataFrame([(i, t, s, sc, t0 + timedelta(minutes=m)) for i, t, s, sc, m in rows], SCHEMA)
+
+
+def test_six_row_listing_cases(spark):
+    df = _six(spark)
+    titles = lambda f: [r.title for r in L.rank_page(df, f, 1, 10).collect()]
+    assert titles(L.JobFilter()) == ["Analyzed High Recent", "Analyzed High Older", "Analyzed Low",
+                                     "Discarded Candidate", "Pending Review", "Ready For AI"]
+    f = L.JobFilter(status=("analyzed", "ready_for_ai"))
+    assert titles(f) == ["Analyzed High Recent", "Analyzed High Older", "Analyzed Low", "Ready For AI"]
+    assert L.filtered_total(df, f) == 4
+    f = L.JobFilter(min_score=0, max_score=6, exclude_status=("discarded",))
+    assert titles(f) == ["Analyzed Low"] and L.filtered_total(df, f) == 1
