@@ -179,3 +179,34 @@ def test_final_table_and_hot_chain(spark):
     exp_out, exp_rows = _fold(stored, pays, INC, EXC)
     assert {r.seq: r.outcome for r in outcomes.collect()} == exp_out
     assert _final_key(_as_dicts(table)) == _final_key(exp_rows.values())
+
+
+PSCHEMA = ("seq long, external_id string, title string, company string, url string, "
+           "source string, description_raw string, search_keyword string, location string, "
+           "salary string, created_at timestamp_ntz")
+
+
+def test_same_job_under_several_terms(spark):
+    """Inserted, then updated (new term), then skipped (known term), then updated (changed
+    description); the stored row keeps the terms in order."""
+    ts = datetime(2026, 3, 27, 10)
+    base = dict(external_id="job-1", title="Backend Engineer", company="Acme",
+                url="https://example.com/jobs/1", source="feed_a", location=None, salary=None,
+                created_at=ts)
+    pays = [dict(base, seq=1, search_keyword="python", description_raw="d"),
+            dict(base, seq=2, search_keyword="django", description_raw="d"),
+            dict(base, seq=3, search_keyword="python", description_raw="d"),
+            dict(base, seq=4, search_keyword="python", description_raw="d2")]
+    empty = spark.createDataFrame([], "id long, external_id string, title string, company string, "
+                                      "url string, source string, description_raw string, location string, "
+                                      "salary string, created_at timestamp_ntz, status string, "
+                                      "filter_reason string, search_keywords array<string>, ai_score int, "
+                                      "ai_summary string, ai_analysis_at timestamp_ntz, "
+                                      "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, "
+                                      "updated_at timestamp_ntz")
+    table, out = IG.apply_batch(empty, spark.createDataFrame(pays, PSCHEMA), [], [],
+                                F.lit("2026-04-01").cast("timestamp_ntz"))
+    assert [r.outcome for r in out.orderBy("seq").collect()] == ["inserted", "updated", "skipped", "updated"]
+    rows = table.collect()
+    assert len(rows) == 1 and list(rows[0].search_keywords) == ["python", "django"]
+    assert rows[0].description_raw == "d2" and rows[0].status == "pending"
