@@ -51,3 +51,29 @@ def test_checkpoint_cut_drops_late_rows(spark):
     q, log = IS.start(spark, f"{run}/landing", f"{run}/jobs", f"{run}/_ck", [], [])
     q.awaitTermination()
     assert log.stats[1]["inserted"] == 0 and sum(log.stats[1][o] for o in IG.OUTCOMES) == 0
+
+
+def test_continuous_mode_stops_after_empty_cycles(spark):
+    """A polling stream; the second file repeats the first (no insert or update),
+    so with max_empty_cycles=1 the driver stops it after that cycle."""
+    run = shared_path(spark, "test_stream_poll", uuid.uuid4().hex)
+    p = TD.postings(spark, SF_SMALL).select(
+        "seq", "external_id", "title", "company", "url", "source", "description_raw",
+        "search_keyword", F.lit(None).cast("string").alias("location"),
+        F.lit(None).cast("string").alias("salary"), "created_at").where(F.col("seq") < 40)
+    p.coalesce(1).write.parquet(f"{run}/landing/part=0")
+    q, log = IS.start(spark, f"{run}/landing", f"{run}/jobs", f"{run}/_ck", [], [],
+                      available_now=False, poll_seconds=1)
+    import threading
+    import time
+
+    def land_again():
+        while log.cycles < 1:
+            time.sleep(0.2)
+        p.coalesce(1).write.parquet(f"{run}/landing/part=1")
+
+    threading.Thread(target=land_again, daemon=True).start()
+    reason = IS.run_until(q, log, max_cycles=10, max_empty_cycles=1, poll=0.2)
+    assert reason == "max_empty_cycles"
+    assert log.stats[0]["inserted"] > 0
+    assert log.stats[-1]["inserted"] == 0 and log.stats[-1]["updated"] == 0
