@@ -605,9 +605,15 @@ def _stored_snapshot(spark, sf_dir):
     return cut_lineage(TD.stored_rows(spark, sf_dir))
 
 
+def _landed_batch(spark, sf_dir):
+    """The incoming batch as landed files (written to the shared folder), as an upsert
+    reads payloads in the pipeline."""
+    return cut_lineage(TD.incoming_batch(spark, sf_dir))
+
+
 def _upsert(spark, sf_dir, fold):
     return IG.upsert_outcomes(
-        _stored_snapshot(spark, sf_dir), TD.incoming_batch(spark, sf_dir), INCLUDE, EXCLUDE,
+        _stored_snapshot(spark, sf_dir), _landed_batch(spark, sf_dir), INCLUDE, EXCLUDE,
         F.lit(INGEST_AS_OF).cast("timestamp_ntz"), fold=fold,
     )
 
