@@ -127,8 +127,10 @@ def read_feed_b(spark: SparkSession, path: str, max_pages: int | None = None) ->
         p = p.where(F.col("page") <= max_pages)
     rows = p.select("fetch_id", "page", F.posexplode("p.data").alias("pos", "r")).select(
         "fetch_id", "page", "pos", "r.*")
-    truthy = lambda c: F.col(c).isNotNull() & (F.col(c) != "") & (F.col(c) != "0")
-    return rows.where(truthy("id") & truthy("title"))
+    # a numeric id 0 is falsy too (ids are read as text)
+    has_id = F.col("id").isNotNull() & (F.col("id") != "") & (F.col("id") != "0")
+    has_title = F.col("title").isNotNull() & (F.col("title") != "")
+    return rows.where(has_id & has_title)
 
 
 def location_b(subtitle: Column, description: Column, city: Column, state: Column,
