@@ -681,3 +681,77 @@ def stream_ingest(spark, sf_dir):
     t = ST.read(spark, f"{run}/jobs")
     return t.select("id", "external_id", "source", "url", "title", "status",
                     F.array_join("search_keywords", ",").alias("search_keywords"))
+
+
+# ---------------------------------------------------------------- scoring stage around the model
+@register(
+    "prompt_digest",
+    f"""SELECT seq, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM (
+          SELECT seq, {S.q(SC.prompt_prefix(INCLUDE, EXCLUDE) + "Titulo da vaga: ")} || title ||
+                 {S.q(chr(10) + "Descricao da vaga: ")} || {S.strip("coalesce(description_raw, '')")} ||
+                 {S.q(SC.PROMPT_SUFFIX)} AS p
+          FROM ({S.POSTINGS}))""",
+)
+def prompt_digest(spark, sf_dir):
+    """L1/L2: the full scoring prompt of every posting (digest and length)."""
+    p = TD.postings(spark, sf_dir).withColumn("p", SC.prompt_column(INCLUDE, EXCLUDE))
+    return p.select("seq", F.md5("p").alias("prompt_md5"), F.length("p").alias("prompt_chars"))
+
+
+def _write_back_sql() -> str:
+    veto = " OR ".join(S.has_word(S.fold("j.title"), k) for k in rules.NON_DEV_KEYWORDS)
+    return f"""
+WITH j AS ({S.scored_jobs(INCLUDE, EXCLUDE)}),
+r AS ({S.parsed_responses(S.RESPONSES)}),
+res AS (
+  SELECT j.id,
+         CASE WHEN {veto} THEN 0 ELSE r.score END AS score,
+         CASE WHEN {veto} THEN 'vetoed' ELSE r.summary END AS summary,
+         CASE WHEN {veto} THEN false ELSE r.error END AS error
+  FROM j JOIN r ON r.seq = j.id
+  WHERE j.status = 'ready_for_ai')
+SELECT j.id,
+       CASE WHEN res.error = false THEN 'analyzed' ELSE j.status END AS status,
+       CASE WHEN res.error = false THEN res.score ELSE j.ai_score END AS ai_score,
+       CASE WHEN res.error = false THEN res.summary ELSE j.ai_summary END AS ai_summary
+FROM j LEFT JOIN res ON res.id = j.id
+"""
+
+
+@register("score_write_back", _write_back_sql())
+def score_write_back(spark, sf_dir):
+    """F10 + L3 + L4-L6 + L9/M6: eligible rows, title veto in front, the responses of the
+    fixture as the model's answers, written back (failed rows stay ready_for_ai)."""
+    j = jobs(spark, sf_dir).drop("description_raw")
+    elig = SC.eligible(j).select("id", "title")
+    v = rules.title_veto_columns(elig)
+    resp = TD.scorer_responses(spark, sf_dir).withColumnRenamed("seq", "id")
+    parsed = SC.parse_results(v.where(~F.col("vetoed")).join(resp, "id")).select(
+        "id", "score", "summary", "error")
+    vetoed = v.where("vetoed").select("id", F.lit(0).alias("score"), F.lit("vetoed").alias("summary"),
+                                      F.lit(False).alias("error"))
+    out = SC.apply_scores(j, parsed.unionByName(vetoed), F.lit(INGEST_AS_OF).cast("timestamp_ntz"))
+    return out.select("id", "status", "ai_score", "ai_summary")
+
+
+# The key after which the keyset page starts (score, created_at, id).
+KEYSET_AFTER = (8, "2024-01-01 05:00:00", 300)
+
+
+@register(
+    "rank_keyset",
+    f"""SELECT id, ai_score, created_at FROM ({S.scored_jobs(INCLUDE, EXCLUDE)})
+        WHERE status <> 'discarded'
+          AND (ai_score IS NULL OR ai_score < {KEYSET_AFTER[0]}
+               OR (ai_score = {KEYSET_AFTER[0]}
+                   AND (created_at < TIMESTAMP '{KEYSET_AFTER[1]}'
+                        OR (created_at = TIMESTAMP '{KEYSET_AFTER[1]}' AND id < {KEYSET_AFTER[2]}))))
+        ORDER BY ai_score DESC NULLS LAST, created_at DESC, id DESC LIMIT 50""",
+)
+def rank_keyset(spark, sf_dir):
+    """T1/T2, deep-page form: the 50 rows after a given ranking key (no offset)."""
+    import datetime as _dt
+
+    after = (KEYSET_AFTER[0], _dt.datetime.fromisoformat(KEYSET_AFTER[1]), KEYSET_AFTER[2])
+    page = listing.keyset_page(jobs(spark, sf_dir), after, listing.JobFilter(exclude_status=("discarded",)), 50)
+    return page.select("id", "ai_score", "created_at")
