@@ -49,10 +49,6 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *[p.strip("/") for p in parts]])
 
 
-def as_local_fs_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 
 
 def cut_lineage(df):

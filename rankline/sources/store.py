@@ -170,7 +170,3 @@ def prune(spark: SparkSession, root: str, retain: int = 3) -> list[int]:
             fs2, p2 = _fs(spark, f"{root.rstrip('/')}/data/v={v}")
             fs2.delete(p2, True)
     return gone
-
-
-def status_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
