@@ -92,3 +92,32 @@ def test_keyword_hits_literal_and_join_paths_agree_on_words(spark):
     assert lit == {(1, "Python"): (True, True), (1, "Java"): (True, True), (2, "Home Office"): (True, True)}
     joined = {(r.seq, r.keyword) for r in rules.keyword_hits(df, kw, max_literal_keywords=0).collect()}
     assert joined == {k for k, (s, w) in lit.items() if w}
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("title,desc,inc,exc,status,reason", [
+    ("Desenvolvedor Python", "Vaga 100% presencial", ["Python"], ["Presencial"], "discarded",
+     "Palavra excluida: Presencial"),
+    ("Engenheiro Backend", "Atuacao com Python e APIs", ["Python"], ["Presencial"], "ready_for_ai", None),
+    ("Software Engineer", "Stack diversa sem termos de filtro", ["Django"], ["PHP"], "pending", None),
+    ("Dev Python", "Projeto com migracao de Java para Python", ["Python"], ["Java"], "discarded",
+     "Palavra excluida: Java"),
+    ("Desenvolvedor", "Modelo HÍBRIDO com alguns dias em Home office", ["Home Office"], ["Híbrido"],
+     "discarded", "Palavra excluida: Híbrido"),
+])
+def test_reference_classification_cases(spark, title, desc, inc, exc, status, reason):
+    r = rules.classify_columns(_df(spark, [(title, desc)]), inc, exc).collect()[0]
+    assert (r.rule_status, r.rule_reason) == (status, reason)
+
+
+@pytest.mark.parametrize("kws,text,threshold,passes,count", [
+    (["python", "fastapi", "django", "postgresql"], "Backend Engineer com Python, FastAPI e Django", 3, True, 3),
+    (["python", "fastapi", "django"], "Backend Engineer com Python apenas", 3, False, 1),
+    (["python", "fastapi"], "Engenheiro com PYTHON e FASTAPI", 2, True, 2),
+    ([], "Qualquer conteudo", 3, True, 0),
+])
+def test_reference_gate_cases(spark, kws, text, threshold, passes, count):
+    r = rules.gate_columns(_df(spark, [(text, "")]), kws, threshold=threshold).collect()[0]
+    assert (r.passes, r.match_count) == (passes, count)
