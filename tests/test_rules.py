@@ -121,3 +121,21 @@ def test_reference_classification_cases(spark, title, desc, inc, exc, status, re
 def test_reference_gate_cases(spark, kws, text, threshold, passes, count):
     r = rules.gate_columns(_df(spark, [(text, "")]), kws, threshold=threshold).collect()[0]
     assert (r.passes, r.match_count) == (passes, count)
+
+
+@pytest.mark.parametrize("title,vetoed,hit", [
+    ("Contador Senior", True, "contador"),
+    ("Product Designer", True, "designer"),
+    ("Data Scientist", True, "data scientist"),
+    ("Data Science Engineer", True, "data science"),
+    ("Growth Hacker", True, "growth hacker"),
+    ("Backend Developer", False, None),
+    ("Backend Engineer", False, None),
+    ("Fullstack Software Engineer Core", False, None),
+    ("Senior Full Stack Software Engineer", False, None),
+])
+def test_reference_veto_cases(spark, title, vetoed, hit):
+    r = rules.title_veto_columns(spark.createDataFrame([(title,)], "title string")).collect()[0]
+    assert r.vetoed is vetoed
+    if hit:
+        assert f"'{hit}'" in r.veto_summary and "fora de desenvolvimento" in r.veto_summary
