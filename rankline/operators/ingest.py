@@ -145,8 +145,61 @@ def chain_flags(matches: DataFrame) -> DataFrame:
     g = g.withColumn("target", target).join(touch, F.col("target") == F.col("sid"), "left")
     chain = shape_ok & (F.col("target").isNull() | (F.col("n_touch") == F.col("n_g")))
     g = g.select("source", "url", F.col("target"), chain.alias("chain"), "n_g")
-    out = m.join(g, ["source", "url"])
-    return out.withColumn("single", F.col("chain") & (F.col("n_g") == 1))
+    out = m.join(g, ["source", "url"]).withColumn(
+        "chain_key", F.concat_ws("\u0001", F.lit("u"), "source", "url"))
+    out = out.withColumn("single", F.col("chain") & (F.col("n_g") == 1))
+    return _ext_chains(out)
+
+
+def _ext_chains(f: DataFrame) -> DataFrame:
+    """Second chain shape, for payloads left out of url chains: all payloads of one
+    ``(source, external_id)`` that reach one row by that id (the stored row holding it, or
+    the row the first passing payload inserts), where no payload's url reaches another
+    row and no payload outside the group shares a url with it or touches the row. Updates
+    may move the row's url, but nobody else ever looks those urls up."""
+    rest = f.where(~F.col("chain") & F.col("external_id").isNotNull())
+    n_u = f.groupBy("source", "url").agg(F.count(F.lit(1)).alias("n_u"))
+    n_ue = rest.groupBy("source", "external_id", "url").agg(F.count(F.lit(1)).alias("n_ue"))
+    touch = (
+        f.select(F.col("e_id").alias("sid")).where(F.col("sid").isNotNull())
+        .unionByName(
+            f.where(F.col("u_id").isNotNull()
+                    & (F.col("e_id").isNull() | (F.col("e_id") != F.col("u_id"))))
+            .select(F.col("u_id").alias("sid"))
+        )
+        .groupBy("sid").agg(F.count(F.lit(1)).alias("n_touch"))
+    )
+    x = rest.join(n_u, ["source", "url"]).join(n_ue, ["source", "external_id", "url"])
+    g = x.groupBy("source", "external_id").agg(
+        F.count(F.lit(1)).alias("n_ge"),
+        F.min("e_id").alias("t_e"),
+        F.max("e_id").alias("t_e_max"),
+        F.count_if(F.col("e_id").isNull()).alias("n_e_null"),
+        F.count_if(F.col("n_u") != F.col("n_ue")).alias("n_url_open"),
+        F.count_if(F.col("u_id").isNotNull()).alias("n_u_hit"),
+        F.min("u_id").alias("u_min"),
+        F.max("u_id").alias("u_max"),
+    )
+    same_target = (F.col("n_e_null") == F.col("n_ge")) | (
+        (F.col("n_e_null") == 0) & (F.col("t_e") == F.col("t_e_max")))
+    # every url either reaches no stored row or the group's own target
+    urls_ok = (F.col("n_u_hit") == 0) | (
+        F.col("t_e").isNotNull() & (F.col("u_min") == F.col("t_e")) & (F.col("u_max") == F.col("t_e")))
+    g = g.join(touch, F.col("t_e") == F.col("sid"), "left")
+    ok = (same_target & urls_ok & (F.col("n_url_open") == 0)
+          & (F.col("t_e").isNull() | (F.col("n_touch") == F.col("n_ge"))))
+    g = g.where(ok).select("source", "external_id", F.col("t_e").alias("__t"),
+                           F.col("n_ge").alias("__n"), F.lit(True).alias("__ext_chain"))
+    out = f.join(g, ["source", "external_id"], "left")
+    is_e = F.coalesce(F.col("__ext_chain"), F.lit(False)) & ~F.col("chain")
+    return (
+        out.withColumn("target", F.when(is_e, F.col("__t")).otherwise(F.col("target")))
+        .withColumn("n_g", F.when(is_e, F.col("__n")).otherwise(F.col("n_g")))
+        .withColumn("chain_key", F.when(is_e, F.concat_ws("\u0001", F.lit("e"), "source", "external_id"))
+                    .otherwise(F.col("chain_key")))
+        .withColumn("chain", F.col("chain") | is_e)
+        .drop("__t", "__n", "__ext_chain")
+    )
 
 
 def ordered_prev(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
@@ -199,7 +252,7 @@ def chain_path(
     discarded and that one inserts. Text rules run only where needed (gate for chains
     without a target, classification for the chain's last writer). Chains of one payload
     (most of them) need no ordering and no grouping: they are computed row by row."""
-    chain = flags.where("chain").select("seq", "target", "n_g")
+    chain = flags.where("chain").select("seq", "target", "n_g", "chain_key")
     cur = stored.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("cur"))
     c = payloads.join(chain, "seq").withColumn("__f", F.struct(*COMPARED))
     ftype = c.schema["__f"].dataType
@@ -207,7 +260,7 @@ def chain_path(
            .withColumn("__first", F.lit(True)))
     out = _chain_part(one, cur, as_of, include, exclude, single=True)
     if not singles_only:
-        many = ordered_prev(c.where(F.col("n_g") > 1), ["source", "url"], "seq", "__f")
+        many = ordered_prev(c.where(F.col("n_g") > 1), ["chain_key"], "seq", "__f")
         out = out.unionByName(_chain_part(many, cur, as_of, include, exclude, single=False))
     return out
 
@@ -215,7 +268,7 @@ def chain_path(
 def _chain_part(
     c: DataFrame, cur: DataFrame, as_of: Column, include, exclude, single: bool
 ) -> DataFrame:
-    keys = ["source", "url"]
+    keys = ["chain_key"]
     c = c.join(cur, "target", "left")
     has_t = F.col("target").isNotNull()
     gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD)

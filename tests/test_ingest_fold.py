@@ -210,3 +210,71 @@ def test_same_job_under_several_terms(spark):
     rows = table.collect()
     assert len(rows) == 1 and list(rows[0].search_keywords) == ["python", "django"]
     assert rows[0].description_raw == "d2" and rows[0].status == "pending"
+
+
+def test_external_id_chains_against_sequential_fold(spark):
+    """Groups sharing an external id over many urls (ext chains), with and without a stored
+    row holding the id, mixed with url collisions; outcomes and final table as the fold."""
+    rnd = random.Random(23)
+    ts = datetime(2024, 1, 1)
+    stored = [dict(id=i, external_id=f"x{i}", title="t", company="c", url=f"s{i}", source="s",
+                   description_raw="with from thing", location=None, salary=None, created_at=ts,
+                   status="pending", filter_reason=None, search_keywords=["k"], ai_score=None,
+                   ai_summary=None, ai_analysis_at=None, first_seen_at=ts, last_seen_at=ts,
+                   updated_at=ts) for i in range(1, 4)]
+    schema = ("id long, external_id string, title string, company string, url string, "
+              "source string, description_raw string, location string, salary string, "
+              "created_at timestamp_ntz, status string, filter_reason string, "
+              "search_keywords array<string>, ai_score int, ai_summary string, "
+              "ai_analysis_at timestamp_ntz, first_seen_at timestamp_ntz, "
+              "last_seen_at timestamp_ntz, updated_at timestamp_ntz")
+    for trial in range(3):
+        pays = []
+        for s in range(1, 40):
+            ext = rnd.choice(["x1", "x2", "y1", "y2", None])
+            url = f"p{s}" if rnd.random() < 0.7 else rnd.choice(["s1", "s3", "q1", "q2"])
+            pays.append(dict(seq=s, external_id=ext, title=rnd.choice(["a", "b"]), company="c",
+                             url=url, source="s",
+                             description_raw=rnd.choice(["with from thing", "nothing"]),
+                             search_keyword=rnd.choice([None, "k", "k2"]), location=None,
+                             salary=None, created_at=ts))
+        sdf = spark.createDataFrame(stored, schema)
+        pdf = spark.createDataFrame(pays, PSCHEMA)
+        table, outcomes = IG.apply_batch(sdf, pdf, INC, EXC, F.lit("2025-01-01").cast("timestamp_ntz"))
+        exp_out, exp_rows = _fold(stored, pays, INC, EXC)
+        assert {r.seq: r.outcome for r in outcomes.collect()} == exp_out, trial
+        assert _final_key(_as_dicts(table)) == _final_key(exp_rows.values()), trial
+
+
+def test_external_id_chain_shapes(spark):
+    """Deterministic ext chains: an id spread over fresh urls with a stored target, an id
+    never seen (insert chain), an id whose url group is not closed; checked against the
+    fold, and the chain kinds are the expected ones."""
+    ts = datetime(2024, 1, 1)
+    stored = [dict(id=i, external_id=f"x{i}", title="t", company="c", url=f"s{i}", source="s",
+                   description_raw="with from thing", location=None, salary=None, created_at=ts,
+                   status="pending", filter_reason=None, search_keywords=["k"], ai_score=None,
+                   ai_summary=None, ai_analysis_at=None, first_seen_at=ts, last_seen_at=ts,
+                   updated_at=ts) for i in (1, 2)]
+    spec = [("x1", "p1", "a", "k"), ("x1", "p2", "a", "k2"), ("x1", "p3", "b", "k"),
+            ("y1", "p4", "a", "k"), ("y1", "p5", "b", "k3"), ("y1", "p4", "b", "k3"),
+            ("x2", "s2", "a", None), ("x2", "p6", "b", "k"), (None, "p7", "a", "k")]
+    pays = [dict(seq=i + 1, external_id=e, title=t, company="c", url=u, source="s",
+                 description_raw="with from thing pour" if i != 3 else "nothing",
+                 search_keyword=kw, location=None, salary=None, created_at=ts)
+            for i, (e, u, t, kw) in enumerate(spec)]
+    schema = ("id long, external_id string, title string, company string, url string, "
+              "source string, description_raw string, location string, salary string, "
+              "created_at timestamp_ntz, status string, filter_reason string, "
+              "search_keywords array<string>, ai_score int, ai_summary string, "
+              "ai_analysis_at timestamp_ntz, first_seen_at timestamp_ntz, "
+              "last_seen_at timestamp_ntz, updated_at timestamp_ntz")
+    sdf = spark.createDataFrame(stored, schema)
+    pdf = spark.createDataFrame(pays, PSCHEMA)
+    flags = IG.chain_flags(IG.identity_match(sdf, pdf))
+    kinds = {r.seq: (r.chain, r.chain_key.split("\u0001")[0]) for r in flags.collect()}
+    assert all(kinds[s] == (True, "e") for s in range(1, 9)) and kinds[9] == (True, "u")
+    table, outcomes = IG.apply_batch(sdf, pdf, INC, EXC, F.lit("2025-01-01").cast("timestamp_ntz"))
+    exp_out, exp_rows = _fold(stored, pays, INC, EXC)
+    assert {r.seq: r.outcome for r in outcomes.collect()} == exp_out
+    assert _final_key(_as_dicts(table)) == _final_key(exp_rows.values())
