@@ -99,7 +99,7 @@ def change_columns(joined: DataFrame, cur: str = "cur") -> DataFrame:
 
 
 # ------------------------------------------------------------------ chains vs fold
-def chain_flags(matches: DataFrame) -> DataFrame:
+def chain_flags(matches: DataFrame, ext_chains: bool = True) -> DataFrame:
     """Splits payloads into *chains* and the rest.
 
     A chain is the group of payloads with one ``(source, url)`` whose lookups can only ever
@@ -148,7 +148,7 @@ def chain_flags(matches: DataFrame) -> DataFrame:
     out = m.join(g, ["source", "url"]).withColumn(
         "chain_key", F.concat_ws("\u0001", F.lit("u"), "source", "url"))
     out = out.withColumn("single", F.col("chain") & (F.col("n_g") == 1))
-    return _ext_chains(out)
+    return _ext_chains(out) if ext_chains else out
 
 
 def _ext_chains(f: DataFrame) -> DataFrame:
@@ -612,7 +612,7 @@ def upsert_outcomes(
     bad = v.where(F.col("error").isNotNull())
     good = v.where(F.col("error").isNull()).drop("error")
     # the narrow identity table feeds several aggregates: computed once
-    flags = chain_flags(cut_lineage(identity_match(stored, good)))
+    flags = chain_flags(cut_lineage(identity_match(stored, good)), ext_chains=fold)
     if fold:  # reused by the chain path, the components and the fold
         flags = cut_lineage(flags)
     else:
