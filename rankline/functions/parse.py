@@ -69,17 +69,22 @@ def to_utc_ntz(ts: Column, session_tz: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), local)
 
 
+# an offset after the time part (a date alone ends in "-dd", which is not one)
+OFFSET_SUFFIX = r"[Tt ].*[0-9](Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+
+
 def parse_feed_timestamp(value: Column, as_of: Column, session_tz: str = "UTC") -> Column:
     """ISO-8601 text to UTC (naive means UTC, offsets converted); empty or unparseable
     text gives ``as_of``. Compact ISO (``20260325T160004Z``) is read too; ISO week dates are
-    not supported. Note: naive text is read in the session time zone, which must be UTC for
-    the "naive means UTC" rule; the engine's sessions set it."""
+    not supported. Naive text keeps its wall time whatever the session time zone (parse and
+    cast back to ``timestamp_ntz`` in the same zone); text with an offset is an instant,
+    moved from the session zone to UTC."""
     v = F.trim(value)
     parsed = F.coalesce(
         F.try_to_timestamp(v),
         F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmssX")),
         F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmss")),
     )
-    return F.when(v.isNull() | (v == ""), as_of).otherwise(
-        F.coalesce(to_utc_ntz(parsed, session_tz), as_of)
-    )
+    wall = parsed.cast("timestamp_ntz")
+    utc = F.when(v.rlike(OFFSET_SUFFIX), to_utc_ntz(parsed, session_tz)).otherwise(wall)
+    return F.when(v.isNull() | (v == ""), as_of).otherwise(F.coalesce(utc, as_of))
