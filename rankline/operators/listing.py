@@ -91,8 +91,11 @@ def keyset_page(jobs: DataFrame, after: tuple | None, f: JobFilter = JobFilter()
     d = jobs.where(filter_predicate(f))
     if after is not None:
         s, c, i = after
-        key_lt = (F.col("created_at") < F.lit(c)) | (
-            (F.col("created_at") == F.lit(c)) & (F.col("id") < F.lit(i))
+        # the key's time as a wall-time literal (a Python datetime literal would be an
+        # instant, shifted by the session time zone)
+        ts = F.lit(c.isoformat(sep=" ") if hasattr(c, "isoformat") else str(c)).cast("timestamp_ntz")
+        key_lt = (F.col("created_at") < ts) | (
+            (F.col("created_at") == ts) & (F.col("id") < F.lit(i))
         )
         if s is None:
             d = d.where(F.col("ai_score").isNull() & key_lt)
