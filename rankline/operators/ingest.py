@@ -391,7 +391,7 @@ FOLD_SCHEMA = T.StructType([
 
 def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
     """Exact sequential semantics for one component. Rows are stored rows (kind 's') and
-    payloads (kind 'p'); compared fields arrive as a fingerprint per field."""
+    payloads (kind 'p'); compared fields arrive as their text values."""
     comp = int(pdf["comp"].iloc[0])
     rows: dict[int, dict] = {}
     by_e: dict[tuple, int] = {}
@@ -462,7 +462,10 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fingerprint(df: DataFrame) -> Column:
-    return F.array(*[F.xxhash64(F.col(c)) for c in COMPARED])
+    """The compared fields themselves, as text (timestamps in their canonical form): the
+    fold compares real values, so no hash collision can hide a change. Only the interacting
+    payloads left to the fold carry them."""
+    return F.array(*[F.col(c).cast("string") for c in COMPARED])
 
 
 def folded_empty(spark) -> DataFrame:
