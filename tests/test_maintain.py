@@ -140,3 +140,24 @@ def test_rules_per_profile(spark):
            for r in CF.rules_per_profile(posts, profiles).collect()}
     assert out == {(1, 1): ("ready_for_ai", 3, True), (2, 1): ("discarded", 0, False),
                    (1, 2): ("pending", 0, False), (2, 2): ("ready_for_ai", 1, False)}
+
+
+def test_dedup_merge_hot_group(spark):
+    """One key holding most rows: one survivor, best status, ordered distinct keywords."""
+    n = 3000
+    df = spark.range(1, n + 1).select(
+        F.col("id"), F.lit("hot").alias("external_id"), F.lit("s").alias("source"),
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
+        F.when(F.col("id") == 1700, F.lit("analyzed")).otherwise(F.lit("pending")).alias("status"),
+        F.lit(None).cast("string").alias("filter_reason"),
+        F.when(F.col("id") == 1700, F.lit(9)).cast("int").alias("ai_score"),
+        F.lit(None).cast("string").alias("ai_summary"),
+        F.lit(None).cast("timestamp_ntz").alias("ai_analysis_at"),
+        F.array(F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("search_keywords"),
+        F.timestamp_add("SECOND", F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("first_seen_at"),
+    ).repartition(8)
+    out = MT.dedup_merge(df).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r.id, r.status, r.ai_score, r.n_merged) == (1, "analyzed", 9, n)
+    assert list(r.search_keywords) == ["k1", "k2", "k0"]
