@@ -755,3 +755,24 @@ def rank_keyset(spark, sf_dir):
     after = (KEYSET_AFTER[0], _dt.datetime.fromisoformat(KEYSET_AFTER[1]), KEYSET_AFTER[2])
     page = listing.keyset_page(jobs(spark, sf_dir), after, listing.JobFilter(exclude_status=("discarded",)), 50)
     return page.select("id", "ai_score", "created_at")
+
+
+def _word_hits_sql() -> str:
+    parts = [
+        f"SELECT seq, 'include' AS list_name, {i} AS pos, {S.q(k)} AS keyword, true AS substring_hit, "
+        f"true AS word_hit FROM (SELECT seq, {S.content()} AS t FROM ({S.POSTINGS})) "
+        f"WHERE {S.has_word('t', k)}"
+        for i, k in enumerate(INCLUDE)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@register("keyword_word_hits", _word_hits_sql())
+def keyword_word_hits(spark, sf_dir):
+    """J4 for keyword tables too large for literals: whole-word hits found by an equi-join of
+    each keyword's first word with the words of the text, then the exact check (the same
+    include list, forced onto that path)."""
+    p = TD.postings(spark, sf_dir)
+    kw = spark.createDataFrame([("include", i, k) for i, k in enumerate(INCLUDE)],
+                               "list_name string, pos int, keyword string")
+    return rules.keyword_hits(p, kw, max_literal_keywords=0)
