@@ -217,13 +217,14 @@ def word_hits_by_join(d: DataFrame, kw: DataFrame, key: str) -> DataFrame:
     if kf.where(first_word == "").limit(1).count():
         raise ValueError("keywords without a word character cannot be matched as whole words")
     kf = kf.withColumn("word", first_word)
+    # distinct words per text, without the text itself: one narrow row per (text, word)
     words = d.select(
-        F.col(key), "__content",
-        F.explode(F.array_distinct(F.split(F.col("__content"), r"(?U)\W+"))).alias("word"),
+        F.col(key), F.explode(F.array_distinct(F.split(F.col("__content"), r"(?U)\W+"))).alias("word"),
     )
+    cand = words.join(kf, "word").select(key, "list_name", "pos", "keyword", "kw_fold")
+    # the text comes back only for candidate pairs
     pattern = F.concat(F.lit("(?U)\\b\\Q"), F.col("kw_fold"), F.lit("\\E\\b"))
-    cand = words.join(kf, "word")
-    return cand.where(F.regexp_like(F.col("__content"), pattern)).select(
+    return cand.join(d, key).where(F.regexp_like(F.col("__content"), pattern)).select(
         F.col(key), "list_name", "pos", "keyword",
         F.lit(True).alias("substring_hit"), F.lit(True).alias("word_hit"),
     )
