@@ -30,11 +30,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    The cluster names a shared folder there. When it is unset, a local session (one JVM)
+    gets a scratch folder; any other master is refused, since its executors would not
+    share a folder of the driver's machine.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         current = tempfile.mkdtemp(prefix="rankline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext
