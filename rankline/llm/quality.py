@@ -53,7 +53,7 @@ def measures(docs: DataFrame, vocab: DataFrame) -> DataFrame:
         sizes.append(F.length(rest))
     chars = F.array(*[sizes[i] - sizes[i + 1] for i in range(len(CLASSES) - 1)], sizes[-1])
     d = d.select("doc_id", "__th", "lang", "text", "vocab", chars.cast("array<long>").alias("chars"))
-    d = d.withColumn("w", F.filter(F.split("text", WORD_BREAK), lambda x: x != "")).withColumn("n_words", F.size("w").cast("long"))
+    d = d.withColumn("w", F.array_remove(F.split("text", WORD_BREAK), "")).withColumn("n_words", F.size("w").cast("long"))
     w, n = F.col("w"), F.col("n_words").cast("int")
     windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(5)]))
     d = d.withColumn("h", F.when(n >= 6, windows))
@@ -66,14 +66,19 @@ def measures(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     d = d.withColumn("lines", lines).withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    known = F.filter(F.transform(plain_words(F.col("text")), lambda x: F.array_position("vocab", x).cast("int")), lambda x: x > 0)
-    plain = F.size(F.filter(plain_words(F.col("text")), lambda x: x != ""))
-    d = d.withColumn("known", F.coalesce(known, F.array().cast("array<int>"))).withColumn("plain", plain)
-    counts = F.transform(F.sequence(F.lit(1), F.coalesce(F.size("vocab"), F.lit(0)) + 1), lambda k: F.size(F.filter("known", lambda x: x == k)))
+    d = d.withColumn("plain", F.array_remove(plain_words(F.col("text")), ""))
+    known = F.transform(F.filter("plain", lambda x: F.length(x) <= COMMON_LENGTH), lambda x: F.array_position("vocab", x).cast("int"))
+    d = d.withColumn("known", F.sort_array(F.array_remove(F.coalesce(known, F.array().cast("array<int>")), 0)))
+    ends = F.transform("known", lambda x, i: F.struct(x.alias("k"), (i + 1).alias("upto"), F.coalesce(F.get("known", i + 1), F.lit(0)).alias("next")))
+    d = d.withColumn("ends", F.filter(ends, lambda e: e["k"] != e["next"]))
+    d = d.withColumn("bins", F.transform("ends", lambda e: e["k"]))
+    at_bin = F.transform(F.sequence(F.lit(1), F.coalesce(F.size("vocab"), F.lit(0)) + 1), lambda k: F.array_position("bins", k).cast("int"))
+    counts = F.transform(at_bin, lambda j: F.when(j == 0, F.lit(0)).otherwise(
+        F.get("ends", j - 1)["upto"] - F.when(j > 1, F.get("ends", j - 2)["upto"]).otherwise(F.lit(0))))
     return d.select(
         "doc_id", "__th", "lang", "n_words", F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"),
         F.get("chars", F.lit(5)).alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", "chars", F.when(F.size("vocab") > 0, F.concat(F.slice(counts, F.lit(1), F.size("vocab")), F.array(F.col("plain") - F.size("known")))).cast("array<long>").alias("common"),
+        "n_repeat_words", "chars", F.when(F.size("vocab") > 0, F.concat(F.slice(counts, F.lit(1), F.size("vocab")), F.array(F.size("plain") - F.size("known")))).cast("array<long>").alias("common"),
     ).withColumn("word_chars", F.col("n_chars") - F.get("chars", F.lit(1))) \
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 

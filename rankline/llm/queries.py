@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankline.llm import quality, simhash
+from rankline.llm import lines, quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,13 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, radius=3).drop("__th")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.deduplicated(_read(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                    F.md5("text").alias("text_md5"), F.coalesce("__kept_in", F.array().cast("array<long>")).alias("kept_in"))
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op7_simhash_dedup)
+    f.__name__: f for f in (op2_quality_rules, op7_simhash_dedup, op10_line_dedup)
 }
 ORACLE: dict[str, str] = {}
