@@ -7,21 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankline.llm import lines, quality, simhash
+from rankline.llm import lines, mixing, packing, quality, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents")).drop("__th", "js_chars", "js_words")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, radius=3).drop("__th")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), capacity=1024)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.deduplicated(_read(spark, sf_dir, "documents"))
     return d.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
@@ -29,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op7_simhash_dedup, op10_line_dedup)
+    f.__name__: f for f in (
+        op1_mixing, op2_quality_rules, op3_token_files, op7_simhash_dedup, op9_packing, op10_line_dedup)
 }
 ORACLE: dict[str, str] = {}
