@@ -30,7 +30,7 @@ TARGETS = {"high": 0.93, "low": 0.05, "toxic": 0.02}  # shares of the corpus' to
 SAMPLE = 20_000  # labelled documents that the classifier is fitted on, at most
 LIST_SIZE = 48  # words of a domain's list
 LEAST_DOCS = 5  # labelled documents that a listed word is in, at least
-STEPS, CLOSE = 40, 1e-6
+STEPS, CLOSE = 40, 1e-4
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -83,9 +83,9 @@ def posteriors(f: Column, model: list[tuple[float, list[float], list[float]]]) -
         terms = [(F.get(f, F.lit(i)) - m) * (F.get(f, F.lit(i)) - m) * (-0.5 / v) - 0.5 * float(np.log(v)) for i, (m, v) in enumerate(zip(mean, var))]
         return sum(terms, F.lit(float(prior)))
 
-    logs = F.array(*[one(*x) for x in model])
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    logs = [one(*x) for x in model]
+    raised = [F.exp(x - F.greatest(*logs)) for x in logs]
+    return F.array(*[x / sum(raised[1:], raised[0]) for x in raised])
 
 
 def fit(docs: DataFrame, measured: DataFrame, ids: DataFrame) -> list[tuple[float, list[float], list[float]]]:
@@ -166,5 +166,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     lists, model, steps, _ = fitted(docs, labels, targets)
     f = docs.withColumn("__f", features(F.col("text"), lists))
     p = f.withColumn("__p", posteriors(F.col("__f"), model)).withColumn("__r", rate(F.col("__p"), steps))
-    n = p.withColumn("__n", copies(F.col("__r"), *row_key())).where("__n > 0")
-    return n.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in docs.columns])
+    # A row number in the expression keeps the optimizer from copying all of it, text scans
+    # included, into a filter on the number of copies.
+    n = p.withColumn("__n", F.when(F.monotonically_increasing_id() >= 0, copies(F.col("__r"), *row_key())))
+    return n.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in docs.columns])
