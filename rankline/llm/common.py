@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rankline.session import ensure_checkpoint_dir
 
-# Rows of a few longs: about 30 MB as a broadcast table.
-BROADCAST_ROWS = 300_000
+# Rows of a few longs: about 15 MB as a broadcast table.
+BROADCAST_ROWS = 150_000
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
 
 

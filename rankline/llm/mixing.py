@@ -42,15 +42,16 @@ def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), " "))
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), " ")
 
 
 def word_lists(sample: DataFrame) -> dict[str, list[str]]:
     """Per domain the words whose share of its documents most exceeds that of the others',
     by log odds; ``sample`` has domain and text."""
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    words = sample.select("domain", F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    words = sample.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("w <> ''")
     by = words.groupBy("w").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS])
+    by = table(by.where(F.greatest(*DOMAINS) >= LEAST_DOCS), "words")
     total, lists = sum(sizes.values()), {}
     for d in DOMAINS:
         n, others = sizes.get(d, 0), total - sizes.get(d, 0)
@@ -73,7 +74,8 @@ def features(text: Column, lists: dict[str, list[str]]) -> Column:
     signs = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
     words = _words(text)
     n = F.size(words)
-    hits = [F.log1p(F.size(F.array_intersect(words, F.array(*map(F.lit, lists[d]))))) if lists[d] else F.lit(0.0) for d in DOMAINS]
+    listed = F.array_intersect(words, F.array(*map(F.lit, sorted(set().union(*lists.values())) or [""])))
+    hits = [F.log1p(F.size(F.array_intersect(listed, F.array(*map(F.lit, lists[d]))))) if lists[d] else F.lit(0.0) for d in DOMAINS]
     return F.array(F.log1p(n.cast("double")), F.sqrt(plain / size), F.sqrt(signs / size), F.least(size / (n + 1), F.lit(50.0)) / 10, *hits)
 
 

@@ -55,7 +55,14 @@ def measures(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     d = d.select("doc_id", "__th", "lang", "text", "vocab", chars.cast("array<long>").alias("chars"))
     d = d.withColumn("w", F.array_remove(F.split("text", WORD_BREAK), "")).withColumn("n_words", F.size("w").cast("long"))
     w, n = F.col("w"), F.col("n_words").cast("int")
-    windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(5)]))
+
+    def joined(a: Column, b: Column) -> Column:  # hashes of runs, each with the run that follows it
+        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+    d = d.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    d = d.withColumn("h2", joined(F.col("h1"), F.slice("h1", F.lit(2), n)))
+    d = d.withColumn("h4", joined(F.col("h2"), F.slice("h2", F.lit(3), n)))
+    windows = F.slice(joined(F.col("h4"), F.slice("h1", F.lit(5), n)), F.lit(1), n - 4)
     d = d.withColumn("h", F.when(n >= 6, windows))
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     d = d.withColumn("s", F.when(repeats, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))

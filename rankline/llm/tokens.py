@@ -36,8 +36,7 @@ from pyspark.sql.window import Window
 from rankline.llm.common import table, work_folder
 
 END_ID = 2
-CACHE_PIECES = 600_000  # pieces kept by a worker; beyond it the cache starts anew
-CHUNK_CHARS = 1_000_000
+CACHE_PIECES = 1_000_000  # pieces kept by a worker; beyond it the cache starts anew
 
 # The split pattern of the byte-level BPE, for texts of the plain characters below only.
 PIECE = re.compile(r"'(?:[std]|re|ve|m|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -50,6 +49,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces(dict):
+    """Ids by piece, straight from the library's model: a piece needs no cutting."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(1 << 16)]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves
+        others = [b for b in range(256) if b not in shown]
+        self.form = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.form))
+        self[piece] = ids = b"".join([self.raw[t.id] for t in found])
+        return ids
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian 32-bit numbers; one per worker and file."""
 
@@ -58,36 +73,17 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         state = self.tok.pre_tokenizer.__getstate__().decode() if self.tok.pre_tokenizer else ""
-        self.cuts = '"ByteLevel"' in state and '"use_regex":true' in state and '"add_prefix_space":false' in state and self.tok.normalizer is None
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(t) if self.cuts and not NOT_PLAIN.search(t) and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        new = set().union(*(c for c in cut if c)) - self.cache.keys()
-        if new:
-            self.learn(new)
-        get = self.cache.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
-
-    def learn(self, pieces: set[str]) -> None:
-        words = [w for w in pieces if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in pieces if not (w[0] == " " and w[1:].isalpha())]
-        e = self.tok.encode("".join(words), add_special_tokens=False)  # each word starts with its blank
-        at = np.array(e.word_ids, dtype=np.int64)
-        starts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)] if len(at) else np.zeros(1, dtype=np.int64)
-        if len(starts) - 1 == len(words):
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            self.cache.update((w, raw[4 * a:4 * b]) for w, a, b in zip(words, starts[:-1].tolist(), starts[1:].tolist()))
-        else:
-            rest += words
-        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.cuts = (self.tok.normalizer is None and self.tok.get_vocab_size() <= 1 << 16
+                     and all(x in state for x in ('"ByteLevel"', '"use_regex":true', '"add_prefix_space":false')))
+        self.pieces = Pieces(self.tok.model)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.cuts or NOT_PLAIN.search(text) or any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
 @lru_cache(maxsize=1)
@@ -98,16 +94,8 @@ def encoder(path: str | None = None) -> Encoder:
 def encoded(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> Iterator[bytes]:
     """The ids of each text (null: empty) and the end id, as 32-bit little-endian numbers."""
     encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
-    held: list[str] = []
-    size = 0
     for t in texts:
-        held.append(t.as_py() or "")
-        size += len(held[-1])
-        if size >= CHUNK_CHARS:
-            yield from (ids + end for ids in encode(held))
-            held, size = [], 0
-    if held:
-        yield from (ids + end for ids in encode(held))
+        yield encode(t.as_py() or "") + end
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
