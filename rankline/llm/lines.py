@@ -15,8 +15,8 @@ an earlier line, in order of (doc_id, line number), is its duplicate.
 4. The word edit distance to that neighbour is verified on the words themselves.
 
 Defined cases: lines without a word are never dropped; a null text keeps its null; a null
-doc_id comes after all others; rows that repeat an id have equal places, so their lines stay
-or go together; further columns are kept as they are; an empty table gives an empty result.
+doc_id comes after all others; among rows of one id with different texts a hash of the text
+decides, and rows that repeat id and text keep or lose the same lines; further columns are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankline.llm.common import BROADCAST_ROWS, row_key, small_join, table
+from rankline.llm.common import BROADCAST_ROWS, row_key, table
 
 MIN_WORDS = 5
 LAST = (1 << 63) - 1  # the place of rows without an id
@@ -56,22 +56,23 @@ def _halves(n: Column) -> Column:
 
 def classes(lines: DataFrame) -> DataFrame:
     """(h1, h2, first, n, keys): one row per distinct line, with its first place and count."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "__th")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
 
 
 def variants(words: DataFrame) -> DataFrame:
-    """(h1, h2, first, key): the deletion variants of every line of ``words`` (h1, h2, first, w)."""
-    tokens = words.select("h1", "h2", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
-    ahead, behind = F.xxhash64("x", "i"), F.xxhash64("x", F.col("n") - F.col("i"))
-    line = Window.partitionBy("h1", "h2")
+    """(first, key): the deletion variants of every line of ``words`` (first, w); a class is
+    named by its first place."""
+    tokens = words.select("first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    tokens = tokens.select("first", "n", "i", F.xxhash64("x", "i").alias("ahead"), F.xxhash64("x", F.col("n") - F.col("i")).alias("behind"))
+    line = Window.partitionBy("first")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    left = tokens.select("h1", "h2", "first", "n", "i", F.coalesce(F.bit_xor(ahead).over(upto), F.lit(0)).alias("before"),
-                         F.bit_xor(ahead).over(line).alias("all"), behind.alias("own"),
-                         F.bit_xor(behind).over(line).bitwiseXOR(F.coalesce(F.bit_xor(behind).over(upto), F.lit(0))).alias("from"))
-    keys = F.array(F.xxhash64("before", F.col("from").bitwiseXOR(F.col("own"))), F.xxhash64("before", "from"))
-    at_end = F.array(F.xxhash64("all", F.lit(0).cast("long")))
+    nothing = F.lit(0).cast("long")
+    left = tokens.select("first", "n", "i", F.coalesce(F.bit_xor("ahead").over(upto), nothing).alias("before"), "ahead", "behind",
+                         F.bit_xor("behind").over(line).bitwiseXOR(F.coalesce(F.bit_xor("behind").over(upto), nothing)).alias("from"))
+    keys = F.array(F.xxhash64("before", F.col("from").bitwiseXOR(F.col("behind"))), F.xxhash64("before", "from"))
+    at_end = F.array(F.xxhash64(F.col("before").bitwiseXOR(F.col("ahead")), nothing))
     keys = F.when(F.col("i") == F.col("n") - 1, F.concat(keys, at_end)).otherwise(keys)
-    return left.select("h1", "h2", "first", F.explode(keys).alias("key"))
+    return left.select("first", F.explode(keys).alias("key"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -90,22 +91,22 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(h1, h2, best): classes with an earlier class within one edit, and its first place."""
-    keys = found.select("h1", "h2", F.explode("keys").alias("key"))
+    """(first, best): classes with an earlier class within one edit, and its first place."""
+    keys = found.select("first", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keys.join(shared, "key").select("h1", "h2").distinct()
-    near = table(found.select("h1", "h2", "first").join(near, ["h1", "h2"]), "near")
+    near = table(keys.join(shared, "key").select("first").distinct(), "near")
     homes = table(near.select(F.col("first.doc").alias("__id")).distinct(), "homes")
-    some = small_join(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), "doc_id", "text"), homes, ["__id"], "left_semi")
-    words = lines_of(some).join(near, ["h1", "h2"]).where("first.doc = doc and first.line = line")
-    words = table(words.groupBy("h1", "h2").agg(F.any_value("first").alias("first"), F.any_value(F.split("norm", " ")).alias("w")), "words")
+    some = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), "doc_id", "text")
+    if homes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else all lines are joined, which needs no more shuffles
+        some = some.join(F.broadcast(homes), "__id", "left_semi")
+    lines = lines_of(some).select(F.struct("doc", "line", "__th").alias("first"), "norm").join(near, "first")
+    words = table(lines.groupBy("first").agg(F.split(F.any_value("norm"), " ").alias("w")), "words")
     keyed = variants(words)
     low = keyed.groupBy("key").agg(F.min("first").alias("best"), F.count("*").alias("n")).where("n > 1")
     hits = keyed.join(low.select("key", "best"), "key").where("best < first")
-    best = table(hits.groupBy("h1", "h2").agg(F.min("best").alias("best")), "best")
+    best = table(hits.groupBy("first").agg(F.min("best").alias("best")), "best")
     other = words.select(F.col("first").alias("best"), F.col("w").alias("v"))
-    pairs = words.select("h1", "h2", "w").join(best, ["h1", "h2"]).join(other, "best")
-    return pairs.where(within_one_edit(F.col("w"), F.col("v"))).select("h1", "h2", "best")
+    return words.join(best, "first").join(other, "best").where(within_one_edit(F.col("w"), F.col("v"))).select("first", "best")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -113,10 +114,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = table(lines_of(docs).select("doc", "__th", "line", "h1", "h2", _halves(F.col("n")).alias("keys")), "lines")
     found = table(classes(lines), "classes")
     near = table(near_classes(docs, found), "near_classes")
-    verdict = found.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or best is not null")
-    verdict = table(verdict.select("h1", "h2", F.coalesce("best", "first").alias("kept")), "verdict")
-    out = small_join(lines.drop("keys"), verdict, ["h1", "h2"]).where("struct(doc, line) > kept")
-    return out.select("doc", "__th", "line", F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line"))
+    verdict = found.select("h1", "h2", "first", "n").join(near, "first", "left").where("n > 1 or best is not null")
+    verdict = verdict.select("h1", "h2", F.coalesce("best", "first").alias("kept"))
+    out = lines.drop("keys").join(verdict, ["h1", "h2"]).where("struct(doc, line, __th) > kept")
+    return out.select("doc", "__th", "line", F.nullif(F.col("kept.doc"), F.lit(LAST)).alias("kept_doc"), F.col("kept.line").alias("kept_line"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -125,10 +126,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     lines); both are null where no line goes."""
     gone = table(dropped_lines(docs), "gone").groupBy("doc", "__th").agg(
         F.sort_array(F.collect_set("line")).alias("__gone"), F.sort_array(F.collect_set("kept_doc")).alias("__kept_in"))
-    gone = table(gone.withColumnRenamed("doc", "__id"), "gone_by_row")
-    lines = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
+    gone = gone.withColumnRenamed("doc", "__id")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__th": row_key()[1]})
-    d = keyed.join(F.broadcast(gone) if lines <= BROADCAST_ROWS else gone.hint("merge"), ["__id", "__th"], "left")
+    d = keyed.join(gone, ["__id", "__th"], "left")
     parts = F.split("text", "\n")
     ends = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(parts)))
     d = d.withColumns({"__ends": ends, "__parts": parts})

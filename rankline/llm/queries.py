@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankline.llm import lines, mixing, packing, quality, simhash, tokens
+from rankline.llm import embeddings, html, langid, licenses, lines, mixing, packing, quality, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_read(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, radius=3).drop("__th")
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), capacity=1024)
 
@@ -42,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mixing, op2_quality_rules, op3_token_files, op7_simhash_dedup, op9_packing, op10_line_dedup)
+        op1_mixing, op2_quality_rules, op3_token_files, op4_language_id, op5_embedding_dedup, op6_license_scan,
+        op7_simhash_dedup, op8_html_main_text, op9_packing, op10_line_dedup)
 }
 ORACLE: dict[str, str] = {}
