@@ -66,6 +66,10 @@ class Index:
                 self.places[int(grams[i])].append((t, i))
         self.known = np.array(sorted(self.places), dtype=np.int64)
 
+    def band(self, t: int) -> int:
+        """Copies of a template are its length apart, so a band below half of it keeps them apart."""
+        return min(BAND, max(1, len(self.texts[t]) // 4))
+
     def grams(self, ids: np.ndarray) -> np.ndarray:
         base, out = len(self.number) + 1, np.zeros(max(0, len(ids) - GRAM + 1), dtype=np.int64)
         for k in range(GRAM):
@@ -81,9 +85,10 @@ class Index:
                 by[t].append(i - p)
         for t, diagonals in by.items():
             diagonals.sort()
+            band = self.band(t)
             first = last = diagonals[0]
             for d in diagonals[1:]:
-                if d - first > BAND:
+                if d - first > band:
                     yield t, (first + last) // 2
                     first = d
                 last = d
@@ -122,7 +127,7 @@ def scan(text: str | None, index: Index, least: float = LEAST_COVERAGE) -> list[
         return []
     found = []
     for t, diagonal in index.candidates(np.array(ids, dtype=np.int64)):
-        covered, first, last = align(index.texts[t], ids, diagonal)
+        covered, first, last = align(index.texts[t], ids, diagonal, index.band(t))
         if covered >= least * len(index.texts[t]):
             found.append((covered, first, last, t))
     kept: list[tuple[int, int, int, int]] = []
