@@ -13,12 +13,17 @@ SALARY_PATTERN = (
 
 
 def thousands(n: Column) -> Column:
-    """``f"{n:,}"`` for integers."""
-    return F.format_string("%,d", n.cast("long"))
+    """``f"{n:,}"``: an integer, or a JSON number as its text, whose fraction is kept."""
+    text = n.cast("string")
+    whole = F.format_string("%,d", F.regexp_extract(text, r"^(-?\d+)", 1).try_cast("long"))
+    part = F.regexp_extract(text, r"^-?\d+\.(\d+?)0*$", 1)
+    return F.when(text.rlike(r"^-?\d+$"), whole) \
+        .when(text.rlike(r"^-?\d+\.\d+$"), F.concat(whole, F.lit("."), part)) \
+        .otherwise(F.format_string("%,.1f", text.try_cast("double")))
 
 
 def _truthy(n: Column) -> Column:
-    return F.coalesce(n, F.lit(0)) != 0
+    return F.coalesce(n.try_cast("double"), F.lit(0.0)) != 0
 
 
 def range_text(lo: Column, hi: Column, currency: Column) -> Column:
@@ -73,18 +78,27 @@ def to_utc_ntz(ts: Column, session_tz: str = "UTC") -> Column:
 OFFSET_SUFFIX = r"[Tt ].*[0-9](Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$"
 
 
+# a whole date, alone or with a time and an offset; Spark alone would also read a year, a
+# month, a time of day or a zone name
+ISO_TEXT = (
+    r"^[0-9]{4}(-[0-9]{2}-[0-9]{2}|[0-9]{4})"
+    r"([Tt ][0-9]{2}(:?[0-9]{2}(:?[0-9]{2}([.,][0-9]+)?)?)?(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
+)
+
+
 def parse_feed_timestamp(value: Column, as_of: Column, session_tz: str = "UTC") -> Column:
     """ISO-8601 text to UTC (naive means UTC, offsets converted); empty or unparseable
     text gives ``as_of``. Compact ISO (``20260325T160004Z``) is read too; ISO week dates are
     not supported. Naive text keeps its wall time whatever the session time zone (parse and
     cast back to ``timestamp_ntz`` in the same zone); text with an offset is an instant,
     moved from the session zone to UTC."""
-    v = F.trim(value)
-    parsed = F.coalesce(
+    v = value
+    parsed = F.when(v.rlike(ISO_TEXT), F.coalesce(
         F.try_to_timestamp(v),
         F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmssX")),
         F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmss")),
-    )
+        F.try_to_timestamp(v, F.lit("yyyyMMdd")),
+    ))
     wall = parsed.cast("timestamp_ntz")
     utc = F.when(v.rlike(OFFSET_SUFFIX), to_utc_ntz(parsed, session_tz)).otherwise(wall)
     return F.when(v.isNull() | (v == ""), as_of).otherwise(F.coalesce(utc, as_of))

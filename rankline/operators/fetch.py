@@ -29,32 +29,40 @@ def take_while(
     ckpts: DataFrame,
     ts: str = "created_at",
     source: str = "source",
+    on: Sequence[str] | None = None,
 ) -> DataFrame:
     """keep, per fetch in feed order, the rows before the first one whose ``ts`` is at
     or before its source's checkpoint (later newer rows are dropped too). Sources without a
-    checkpoint keep everything."""
+    checkpoint keep everything. ``on``: the columns that checkpoints are kept by, if more
+    than the source."""
+    by = list(on or [source])
     r = rows.withColumn("__ok", order_key).join(
-        ckpts.select(F.col(source), F.col("checkpoint").alias("__ckpt")), source, "left"
+        ckpts.select(*by, F.col("checkpoint").alias("__ckpt")), by, "left"
     )
     stops = (
         r.where(F.col(ts) <= F.col("__ckpt"))
         .groupBy(*fetch_cols)
         .agg(F.min("__ok").alias("__stop"))
     )
-    out = r.join(stops, list(fetch_cols), "left").where(
+    # null-safe: a fetch without a term is a fetch like any other
+    stops = stops.select(*[F.col(c).alias(f"__f{i}") for i, c in enumerate(fetch_cols)], "__stop")
+    same = [r[c].eqNullSafe(stops[f"__f{i}"]) for i, c in enumerate(fetch_cols)]
+    out = r.join(stops, same, "left").where(
         F.col("__stop").isNull() | (F.col("__ok") < F.col("__stop"))
     )
-    return out.drop("__ok", "__ckpt", "__stop")
+    return out.drop("__ok", "__ckpt", "__stop", *[f"__f{i}" for i in range(len(fetch_cols))])
 
 
 def first_seen(rows: DataFrame, fetch_cols: Sequence[str], id_col: str, order_key: Column) -> DataFrame:
     """Drop repeats of an id inside one fetch, keeping its first row in feed order."""
     cols = rows.columns
     keyed = rows.withColumn("__ok", order_key)
-    firsts = keyed.groupBy(*fetch_cols, id_col).agg(
-        F.min_by(F.struct(*cols), F.col("__ok")).alias("__r")
-    )
-    return firsts.select("__r.*")
+    names = [*fetch_cols, id_col]
+    # only keys and positions are grouped; wide rows are joined to them, not sorted
+    firsts = keyed.groupBy(*names).agg(F.min("__ok").alias("__first"))
+    firsts = firsts.select(*[F.col(c).alias(f"__f{i}") for i, c in enumerate(names)], "__first")
+    same = [keyed[c].eqNullSafe(firsts[f"__f{i}"]) for i, c in enumerate(names)]
+    return keyed.join(firsts, [*same, keyed["__ok"] == firsts["__first"]]).select(*cols)
 
 
 def fetch_limit(

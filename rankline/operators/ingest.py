@@ -353,25 +353,25 @@ def _chain_part(
 
 
 # ------------------------------------------------------------------ components + fold
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of a bipartite graph ``edges(node, key)``: returns
     ``node, label`` with ``label`` = least node of its component. Min-label propagation
-    through the keys; every round is checkpointed to the shared checkpoint folder (lineage
-    stays short and a lost executor recomputes one round). Fails loudly past ``max_rounds``."""
+    through the keys, then each label is replaced by its own label, so the rounds grow with
+    the logarithm of the longest path; every round is checkpointed to the shared checkpoint
+    folder (lineage stays short and a lost executor recomputes one round). Ends when no
+    label changes, whatever the number of rounds."""
     edges = cut_lineage(edges)
-    lab = edges.groupBy("node").agg(F.min("node").alias("label"))
-    total = lab.agg(F.sum("label")).collect()[0][0]
-    for _ in range(max_rounds):
+    lab = cut_lineage(edges.groupBy("node").agg(F.min("node").alias("label")))
+    while True:
         key_lab = edges.join(lab, "node").groupBy("key").agg(F.min("label").alias("kl"))
-        new = edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
-        new = cut_lineage(new)
-        # labels never grow, so an unchanged sum means no label changed
-        new_total = new.agg(F.sum("label")).collect()[0][0]
+        near = edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
+        near = cut_lineage(near)
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = cut_lineage(near.join(far, "label").select("node", F.least("label", "far").alias("label")))
+        changed = new.join(lab.withColumnRenamed("label", "was"), "node").where("label <> was")
         lab = new
-        if new_total == total:
+        if not changed.limit(1).count():
             return lab
-        total = new_total
-    raise RuntimeError(f"identity components did not converge in {max_rounds} rounds")
 
 
 FOLD_SCHEMA = T.StructType([

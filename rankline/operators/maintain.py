@@ -136,7 +136,9 @@ def manual_status(jobs: DataFrame, changes: DataFrame, as_of: Column) -> tuple[D
     """M5: apply ``changes(id, status)``. Only ``ready_for_ai``/``discarded`` are accepted;
     ``updated_at`` moves, ``filter_reason`` is kept. Returns ``(new_jobs, outcomes)`` where
     outcomes has ``id, requested, outcome`` with outcome ``updated``, ``invalid_status`` or
-    ``not_found``. ``changes`` must hold at most one row per id."""
+    ``not_found``. ``changes`` must hold at most one row per id; it is refused otherwise."""
+    if changes.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError("changes holds several rows for one id")
     req = changes.select("id", F.col("status").alias("requested"))
     known = jobs.select("id", F.lit(True).alias("__known"))
     outcomes = req.join(known, "id", "left").select(

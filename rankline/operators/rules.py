@@ -168,18 +168,15 @@ def keyword_hits(
     key: str = "seq",
     title: str = "title",
     description: str = "description_raw",
-    max_literal_keywords: int = 10_000,
+    max_literal_keywords: int = 500,
 ) -> DataFrame:
     """Which keywords hit which posting, as a table
     ``key, list_name, pos, keyword, substring_hit, word_hit`` (rows with any hit).
 
-    ``keywords`` has ``list_name, pos, keyword``. Up to ``max_literal_keywords`` rows (a
-    checked bound) the keywords become literal expressions: each posting generates its
-    (keyword, hit) rows with ``inline`` and keeps the hits; no join, no shuffle of the
-    posting side. Above the bound only whole-word hits are computed, exactly, by an
-    equi-join of each keyword's first word with the distinct words of the text followed by
-    the regex check (a whole-word hit always contains its first word as a complete word);
-    substring hits of that many keywords are refused rather than approximated.
+    ``keywords`` has ``list_name, pos, keyword``. A few keywords (``max_literal_keywords``, a
+    checked bound) become literal expressions: each posting generates its (keyword, hit) rows
+    with ``inline`` and keeps the hits, without a join. More keywords find the same hits, by
+    an equi-join on character n-grams.
     """
     n = keywords.count()
     d = df.select(F.col(key), content_col(title, description).alias("__content"))
@@ -207,24 +204,26 @@ def keyword_hits(
         ]
         out = d.select(F.col(key), F.inline(F.array(*structs)))
         return out.where(F.col("substring_hit") | F.col("word_hit"))
-    return word_hits_by_join(d, kw, key)
-
-
-def word_hits_by_join(d: DataFrame, kw: DataFrame, key: str) -> DataFrame:
-    """Exact whole-word hits for keyword tables of any size (see ``keyword_hits``)."""
-    kf = kw.withColumn("kw_fold", T.casefold(F.col("keyword")))
-    first_word = F.regexp_extract("kw_fold", r"(?U)(\w+)", 1)
-    if kf.where(first_word == "").limit(1).count():
-        raise ValueError("keywords without a word character cannot be matched as whole words")
-    kf = kf.withColumn("word", first_word)
-    # distinct words per text, without the text itself: one narrow row per (text, word)
-    words = d.select(
-        F.col(key), F.explode(F.array_distinct(F.split(F.col("__content"), r"(?U)\W+"))).alias("word"),
-    )
-    cand = words.join(kf, "word").select(key, "list_name", "pos", "keyword", "kw_fold")
-    # the text comes back only for candidate pairs
-    pattern = F.concat(F.lit("(?U)\\b\\Q"), F.col("kw_fold"), F.lit("\\E\\b"))
-    return cand.join(d, key).where(F.regexp_like(F.col("__content"), pattern)).select(
-        F.col(key), "list_name", "pos", "keyword",
-        F.lit(True).alias("substring_hit"), F.lit(True).alias("word_hit"),
-    )
+    return hits_by_join(d, kw, key)
+
+
+GRAM = 3
+
+
+def hits_by_join(d: DataFrame, kw: DataFrame, key: str) -> DataFrame:
+    """Exact hits for keyword tables of any size (see ``keyword_hits``). A keyword that is a
+    substring has its first ``GRAM`` characters (all of them, if it is shorter) among the
+    text's n-grams of that length; the text comes back only for such pairs."""
+    kf = kw.withColumn("kw_fold", T.casefold(F.col("keyword"))).where("kw_fold <> ''")
+    kf = kf.withColumn("gram", F.substring("kw_fold", 1, GRAM))
+    chars = F.col("__chars")
+    at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 1, F.lit(0)))
+    grams = [F.transform(at, lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])) for n in range(1, GRAM + 1)]
+    cut = d.select(F.col(key), F.split("__content", "").alias("__chars"))
+    found = cut.select(F.col(key), F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    cand = found.join(kf, "gram").select(key, "list_name", "pos", "keyword", "kw_fold")
+    safe = F.regexp_replace("kw_fold", r"([^\w\s])", r"\\$1")
+    pattern = F.concat(F.lit("(?U)\\b"), safe, F.lit("\\b"))
+    hit = cand.join(d, key).where(F.contains(F.col("__content"), F.col("kw_fold")))
+    return hit.select(F.col(key), "list_name", "pos", "keyword", F.lit(True).alias("substring_hit"),
+                      F.regexp_like(F.col("__content"), pattern).alias("word_hit"))

@@ -671,8 +671,8 @@ def land_postings(spark, sf_dir, landing: str, parts: int = STREAM_FILES) -> Non
 
 @register("stream_ingest")
 def stream_ingest(spark, sf_dir):
-    """Landed files through ``availableNow`` with one file per trigger; each
-    micro-batch is cut at the per-source checkpoint, upserted and committed as a version."""
+    """Landed files through ``availableNow`` as one cycle, cut at the per-source
+    checkpoint, upserted and committed as a version."""
     run = shared_path(spark, "stream_ingest", uuid.uuid4().hex)
     land_postings(spark, sf_dir, f"{run}/landing")
     q, log = IS.start(spark, f"{run}/landing", f"{run}/jobs", f"{run}/_stream", INCLUDE, EXCLUDE,
@@ -757,22 +757,26 @@ def rank_keyset(spark, sf_dir):
     return page.select("id", "ai_score", "created_at")
 
 
+# Plain words (letters a-z, 3 or more) that start a posting's title.
+_TITLE_WORD = r"^([a-z]{3,})([^\p{L}\p{N}_]|$)"
+
+
 def _word_hits_sql() -> str:
-    parts = [
-        f"SELECT seq, 'include' AS list_name, {i} AS pos, {S.q(k)} AS keyword, true AS substring_hit, "
-        f"true AS word_hit FROM (SELECT seq, {S.content()} AS t FROM ({S.POSTINGS})) "
-        f"WHERE {S.has_word('t', k)}"
-        for i, k in enumerate(INCLUDE)
-    ]
-    return " UNION ALL ".join(parts)
+    word = f"regexp_extract(lower(title), '{_TITLE_WORD}', 1)"
+    edge = "[^\\p{L}\\p{N}_]"
+    return f"""WITH p AS (SELECT seq, {S.content()} AS t FROM ({S.POSTINGS})),
+        k AS (SELECT {word} AS keyword, min(seq) AS pos FROM ({S.POSTINGS}) GROUP BY 1)
+        SELECT seq, 'titles' AS list_name, CAST(pos AS INTEGER) AS pos, keyword, true AS substring_hit,
+               regexp_matches(t, '(^|{edge})' || keyword || '($|{edge})') AS word_hit
+        FROM p JOIN k ON keyword <> '' AND contains(t, keyword)"""
 
 
 @register("keyword_word_hits", _word_hits_sql())
 def keyword_word_hits(spark, sf_dir):
-    """J4 for keyword tables too large for literals: whole-word hits found by an equi-join of
-    each keyword's first word with the words of the text, then the exact check (the same
-    include list, forced onto that path)."""
+    """J4 for a large keyword table, substring-only hits included: the first words of all
+    titles against all postings."""
     p = TD.postings(spark, sf_dir)
-    kw = spark.createDataFrame([("include", i, k) for i, k in enumerate(INCLUDE)],
-                               "list_name string, pos int, keyword string")
+    word = F.regexp_extract(F.lower("title"), _TITLE_WORD, 1)
+    kw = p.select(word.alias("keyword"), "seq").where("keyword <> ''").groupBy("keyword").agg(F.min("seq").cast("int").alias("pos"))
+    kw = kw.select(F.lit("titles").alias("list_name"), "pos", "keyword")
     return rules.keyword_hits(p, kw, max_literal_keywords=0)

@@ -1,12 +1,13 @@
 """Rule profiles (S4-S6): ``profile_id`` plus the three keyword lists.
 
 One profile reproduces the single rule set of the reference; several let the rules run for
-every (posting, profile) pair in one scan, the profile lists inlined as literals (their
-count is checked). Keyword lists are normalised (N11) on read.
+every (posting, profile) pair, the profile lists inlined as literals, so many to a scan. Keyword lists are normalised (N11) on read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from rankline.functions import text as TX
 PROFILE_SCHEMA = ("profile_id long, search_terms array<string>, include_keywords array<string>, "
                   "exclude_keywords array<string>, updated_at timestamp_ntz")
 LISTS = ("search_terms", "include_keywords", "exclude_keywords")
-# every profile becomes literal expressions in one projection: the count is checked
-MAX_BROADCAST_PROFILES = 256
+# profiles that become literal expressions of one projection; further ones get further scans
+PROFILES_PER_SCAN = 64
 
 
 def normalize_list(col) -> F.Column:
@@ -93,18 +94,20 @@ def patch(profiles: DataFrame, patches: DataFrame, as_of) -> DataFrame:
 
 def rules_per_profile(postings: DataFrame, profiles: DataFrame, threshold: int = 3,
                       key: str = "seq") -> DataFrame:
-    """F2 and F5 for every (posting, profile) pair in one scan of the postings: the profile
-    lists (a checked, config-sized table) become literal expressions, each posting row
-    carries one struct per profile, and ``inline`` turns them into rows
+    """F2 and F5 for every (posting, profile) pair: the lists of ``PROFILES_PER_SCAN``
+    profiles at a time become literal expressions of one scan, each posting row carries one
+    struct per profile, and ``inline`` turns them into rows
     ``key, profile_id, status, filter_reason, match_count, passes``."""
-    from rankline.operators import rules
-
-    n = profiles.count()
-    if n > MAX_BROADCAST_PROFILES:
-        raise ValueError(f"{n} profiles exceed the bound of {MAX_BROADCAST_PROFILES}")
     rows = profiles.select("profile_id", *[normalize_list(F.col(c)).alias(c) for c in LISTS]).collect()
     if not rows:
         raise ValueError("no rule profile")
+    parts = [_rules_of(postings, rows[i:i + PROFILES_PER_SCAN], threshold, key) for i in range(0, len(rows), PROFILES_PER_SCAN)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _rules_of(postings: DataFrame, rows: list, threshold: int, key: str) -> DataFrame:
+    from rankline.operators import rules
+
     per = []
     for r in rows:
         inc, exc = list(r.include_keywords), list(r.exclude_keywords)

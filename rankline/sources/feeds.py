@@ -25,19 +25,42 @@ FEED_B_SOURCE = "remotar"
 # ------------------------------------------------------------------ feed A
 FEED_A_ENTRY = (
     "id string, position string, company string, url string, apply_url string, "
-    "description string, location string, salary_min long, salary_max long, date string, "
+    "description string, location string, salary_min string, salary_max string, date string, "
     "legal string"
 )
 
 
+def _elements(array: Column) -> Column:
+    """The elements of a JSON array as their own JSON texts; null if it is no array."""
+    return F.from_json(array, "array<string>")
+
+
+def _is_object(element: Column) -> Column:
+    return F.coalesce(F.ltrim(element).startswith("{"), F.lit(False))
+
+
+def malformed_files(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """One row ``fetch_id, file, error`` per landed file that holds no array (feed A) or no
+    object (feed B): such a fetch yields no rows, and the others go on."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    if feed == FEED_A_SOURCE:
+        bad = _elements(F.col("value")).isNull()
+    else:
+        bad = ~_is_object(F.col("value")) | F.try_parse_json("value").isNull()
+    return text.where(bad).select(_fetch_id(F.col("file")).alias("fetch_id"), "file", F.lit("malformed file").alias("error"))
+
+
 def read_feed_a(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array per file; keeps entries having both ``id`` and ``position``
-    (drops the legal-notice entry). Adds ``fetch_id`` and the in-file position ``pos``."""
+    (drops the legal-notice entry). Elements are parsed one by one, so one that is no object
+    is left out alone. Adds ``fetch_id`` and the in-file position ``pos``."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    arr = F.from_json(F.col("value"), f"array<struct<{_colon(FEED_A_ENTRY)}>>")
     rows = text.select(
-        "file", F.posexplode(arr).alias("pos", "e")
-    ).select(_fetch_id(F.col("file")).alias("fetch_id"), "pos", "e.*")
+        "file", F.posexplode(_elements(F.col("value"))).alias("pos", "e")
+    ).where(_is_object(F.col("e"))).select(
+        _fetch_id(F.col("file")).alias("fetch_id"), "pos",
+        F.from_json("e", f"struct<{_colon(FEED_A_ENTRY)}>").alias("e"),
+    ).select("fetch_id", "pos", "e.*")
     return rows.where(F.col("id").isNotNull() & F.col("position").isNotNull())
 
 
@@ -84,7 +107,7 @@ FEED_B_ROW = (
     "id string, title string, description string, subtitle string, createdAt string, "
     f"externalLink string, company {NAMED}, companyDisplayName string, city {NAMED}, "
     f"state {NAMED}, country {NAMED}, "
-    "jobSalary struct<from:long,to:long,currency:string,type:string>"
+    "jobSalary struct<from:string,to:string,currency:string,type:string>"
 )
 
 
@@ -106,7 +129,7 @@ def read_feed_b(spark: SparkSession, path: str, max_pages: int | None = None) ->
     positive integer) and at ``max_pages``. Rows keep ``page`` and ``pos``; rows must have a
     truthy ``id`` and ``title``."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    page_schema = f"meta struct<last_page:long>, data array<struct<{_colon(FEED_B_ROW)}>>"
+    page_schema = "meta struct<last_page:long>, data array<string>"
     pages = text.select(
         _fetch_id(F.col("file")).alias("fetch_id"),
         F.regexp_extract(F.col("file"), r"page=(\d+)", 1).cast("int").alias("page"),
@@ -125,8 +148,9 @@ def read_feed_b(spark: SparkSession, path: str, max_pages: int | None = None) ->
     )
     if max_pages is not None:
         p = p.where(F.col("page") <= max_pages)
-    rows = p.select("fetch_id", "page", F.posexplode("p.data").alias("pos", "r")).select(
-        "fetch_id", "page", "pos", "r.*")
+    rows = p.select("fetch_id", "page", F.posexplode("p.data").alias("pos", "e")).where(_is_object(F.col("e"))).select(
+        "fetch_id", "page", "pos", F.from_json("e", f"struct<{_colon(FEED_B_ROW)}>").alias("r")
+    ).select("fetch_id", "page", "pos", "r.*")
     # a numeric id 0 is falsy too (ids are read as text)
     has_id = F.col("id").isNotNull() & (F.col("id") != "") & (F.col("id") != "0")
     has_title = F.col("title").isNotNull() & (F.col("title") != "")
