@@ -31,13 +31,6 @@ VETO_SUMMARY_PREFIX = (
 )
 
 
-def normalize_keywords(value) -> list[str]:
-    """Non-list -> []; keep non-blank strings, stripped, order and duplicates kept."""
-    if not isinstance(value, (list, tuple)):
-        return []
-    return [s.strip() for s in value if isinstance(s, str) and s.strip()]
-
-
 def content_col(title: str = "title", description: str = "description_raw") -> Column:
     """Casefolded ``title + "\\n" + description`` (description null -> "")."""
     return T.casefold(

@@ -6,6 +6,9 @@ every (posting, profile) pair, the profile lists inlined as literals, so many to
 
 from __future__ import annotations
 
+import contextlib
+import importlib.util
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,30 +31,31 @@ def normalize_list(col) -> F.Column:
     )
 
 
+# where the rules file keeps each list
+YAML_PLACES = {"search_terms": ["search_terms"], "include_keywords": ["filters", "include_keywords"],
+               "exclude_keywords": ["filters", "exclude_keywords"]}
+
+
+def clean_terms(value) -> list[str]:
+    """N11 for one plain value: its stripped non-blank strings; anything but a list is empty."""
+    found = map(str.strip, filter(lambda x: isinstance(x, str), value if isinstance(value, (list, tuple)) else ()))
+    return [x for x in found if x]
+
+
 def load_yaml_rules(path: str) -> dict:
-    """The rules file: ``search_terms`` and ``filters.{include,exclude}_keywords``. A
-    missing, unreadable or non-mapping file gives empty lists."""
-    try:
-        import yaml  # optional dependency
-    except ImportError:
-        return {k: [] for k in LISTS}
-    try:
-        with open(path, encoding="utf-8") as f:
-            doc = yaml.safe_load(f) or {}
-    except Exception:  # noqa: BLE001
-        return {k: [] for k in LISTS}
-    if not isinstance(doc, dict):
-        return {k: [] for k in LISTS}
-    filters = doc.get("filters") if isinstance(doc.get("filters"), dict) else {}
-
-    def norm(v):
-        return [s.strip() for s in v if isinstance(s, str) and s.strip()] if isinstance(v, list) else []
-
-    return {
-        "search_terms": norm(doc.get("search_terms")),
-        "include_keywords": norm(filters.get("include_keywords")),
-        "exclude_keywords": norm(filters.get("exclude_keywords")),
-    }
+    """The rules file as a profile; lists that it does not hold, or a file that cannot be
+    read as YAML, are empty."""
+    tree: object = None
+    if importlib.util.find_spec("yaml") and os.path.isfile(path):
+        import yaml
+
+        with open(path, encoding="utf-8") as file, contextlib.suppress(yaml.YAMLError, UnicodeDecodeError):
+            tree = yaml.safe_load(file)
+
+    def at(place: list[str]):
+        return reduce(lambda node, key: node.get(key) if isinstance(node, dict) else None, place, tree)
+
+    return {name: clean_terms(at(place)) for name, place in YAML_PLACES.items()}
 
 
 def active_profile(spark: SparkSession, profiles: DataFrame | None, fallback: dict) -> dict:
