@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankline.llm import embeddings, html, langid, licenses, lines, mixing, packing, quality, simhash, tokens
+from rankline.llm import embeddings, html, langid, licenses, lines, mixing, oracles, packing, quality, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.deduplicated(_read(spark, sf_dir, "documents"))
     return d.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
-                    F.md5("text").alias("text_md5"), F.coalesce("__kept_in", F.array().cast("array<long>")).alias("kept_in"))
+                    F.md5("text").alias("text_md5"), F.concat_ws(",", F.col("__kept_in").cast("array<string>")).alias("kept_in"))
 
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -61,4 +61,4 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_mixing, op2_quality_rules, op3_token_files, op4_language_id, op5_embedding_dedup, op6_license_scan,
         op7_simhash_dedup, op8_html_main_text, op9_packing, op10_line_dedup)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op10_line_dedup": oracles.line_dedup()}

@@ -1,0 +1,18 @@
+"""Queries that SQL can express, next to their SQL."""
+
+import duckdb
+import pytest
+
+from rankline.llm import queries
+from tools.check_oracles import digest
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    got, want = queries.SPARK[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert digest(got) == digest(want)
