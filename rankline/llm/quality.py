@@ -23,7 +23,7 @@ CLASSES = [("lower", r"[a-z]+"), ("space", WORD_BREAK), ("upper", r"[A-Z]+"), ("
            ("point", r"[.,;:!?'\"()\-]+"), ("symbol", r"[#*$%&|<>]+"), ("letter", r"\p{L}+"), ("other", None)]
 COMMON_WORDS = 24
 COMMON_LENGTH = 6  # letters of a common word at most
-MIN_CHARS, MIN_WORDS = 100, 100
+MIN_CHARS, MIN_WORDS = 250, 100
 MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.25, 0.33
 
 
