@@ -378,7 +378,7 @@ FOLD_SCHEMA = T.StructType([
     T.StructField("comp", T.LongType()),
     T.StructField("seq", T.LongType()),          # payload seq (null for untouched rows)
     T.StructField("outcome", T.StringType()),
-    T.StructField("row_key", T.LongType()),      # stored id, or -seq of the inserting payload
+    T.StructField("row_key", T.LongType()),      # stored id, or -seq - 1 of the inserting payload
     T.StructField("src_seq", T.LongType()),      # payload whose values the row now holds
     T.StructField("keywords", T.ArrayType(T.StringType())),
     T.StructField("status", T.StringType()),
@@ -438,7 +438,7 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
             row["touched"] = True
             out.append((comp, seq, "updated", key))
         elif bool(r.passes):
-            key = -seq
+            key = -seq - 1
             rows[key] = dict(source=r.source, ext=r.external_id, url=r.url, fp=fp,
                              kws=[r.search_keyword] if r.search_keyword is not None else [],
                              status=r.rule_status, reason=r.rule_reason, src=seq, new=True,
@@ -571,7 +571,7 @@ def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_o
             F.when(F.col("row_key") >= 0, F.col("row_key")).alias("matched_id"),
             F.col("own.search_keyword").alias("term"),
             F.when(F.col("row_key") >= 0, F.concat(F.lit("s:"), F.col("row_key").cast("string")))
-            .when(F.col("row_key") < 0, F.concat(F.lit("p:"), (-F.col("row_key")).cast("string")))
+            .when(F.col("row_key") < 0, F.concat(F.lit("p:"), (-F.col("row_key") - 1).cast("string")))
             .alias("row_ref")]
     for c in COMPARED:
         cols.append(

@@ -69,29 +69,41 @@ def dedup_merge(jobs: DataFrame) -> DataFrame:
     ``(first_seen_at, id)`` (W1) and keeps its own posting fields; status, reason and AI
     fields come from the best row (A6: highest status priority, ties to the earliest);
     keywords are merged (A7). Singleton rows are returned unchanged."""
-    k = with_identity_key(jobs)
-    other = [c for c in jobs.columns if c not in AI_FIELDS and c != "search_keywords"]
+    # what the merge does is worked out on narrow rows of repeated keys only; the wide table is
+    # joined once, by id, to one action per row of those keys
+    k = with_identity_key(jobs).select(*KEY_COLS, "id", "first_seen_at", "search_keywords", *AI_FIELDS)
+    repeated = duplicate_groups(jobs).withColumnsRenamed({c: f"__{c}" for c in KEY_COLS})
+    k = k.join(repeated.drop("n"), [k[c].eqNullSafe(repeated[f"__{c}"]) for c in KEY_COLS], "left_semi")
     order_first = F.struct("first_seen_at", "id")
     order_best = F.struct((-status_priority(F.col("status"))).alias("p"), "first_seen_at", "id")
     groups = k.groupBy(*KEY_COLS).agg(
         F.count(F.lit(1)).alias("n_merged"),
-        F.min_by(F.struct(*other, "search_keywords"), order_first).alias("first"),
-        F.min_by(F.struct(*AI_FIELDS), order_best).alias("best"),
+        F.min(order_first)["id"].alias("__survivor"),
+        F.min_by(F.struct(*AI_FIELDS), order_best).alias("__best"),
     )
-    merged = merge_keywords_by_key(k)
-    out = groups.join(merged, KEY_COLS, "left")
-    kw = F.when(F.col("n_merged") > 1, F.coalesce("merged_keywords", F.array().cast("array<string>"))).otherwise(
-        F.col("first.search_keywords")
+    merged = merge_keywords_by_key(k).withColumnsRenamed({c: f"__{c}" for c in KEY_COLS})
+    same = [groups[c].eqNullSafe(merged[f"__{c}"]) for c in KEY_COLS]
+    groups = groups.join(merged, same, "left").drop(*[f"__{c}" for c in KEY_COLS])
+    groups = groups.withColumnsRenamed({c: f"__{c}" for c in KEY_COLS})
+    keep = F.col("id") == F.col("__survivor")
+    actions = k.select(*KEY_COLS, "id").join(groups, [k[c].eqNullSafe(groups[f"__{c}"]) for c in KEY_COLS])
+    # only the surviving row carries the merged fields
+    actions = actions.select(
+        F.col("id").alias("__id"), keep.alias("__keep"), "n_merged",
+        F.when(keep, F.col("__best")).alias("__best"),
+        F.when(keep, F.coalesce("merged_keywords", F.array().cast("array<string>"))).alias("__keywords"),
     )
+    out = jobs.join(actions, F.col("id") == F.col("__id"), "left").where(F.coalesce("__keep", F.lit(True)))
+    alone = F.col("__id").isNull()
     cols = []
     for c in jobs.columns:
         if c in AI_FIELDS:
-            cols.append(F.col(f"best.{c}").alias(c))
+            cols.append(F.when(alone, F.col(c)).otherwise(F.col(f"__best.{c}")).alias(c))
         elif c == "search_keywords":
-            cols.append(kw.alias(c))
+            cols.append(F.when(alone, F.col(c)).otherwise(F.col("__keywords")).alias(c))
         else:
-            cols.append(F.col(f"first.{c}").alias(c))
-    return out.select(*cols, "n_merged")
+            cols.append(F.col(c))
+    return out.select(*cols, F.coalesce("n_merged", F.lit(1)).alias("n_merged"))
 
 
 def cleanup_flags(

@@ -276,3 +276,71 @@ FROM o
 UNION ALL
 SELECT seq, 'failed', NULL, source, search_keyword, NULL, NULL, NULL, NULL
 FROM ic WHERE NOT ({valid})""" if with_failed else "")
+
+
+def batch_in_order(stored: str, incoming: str, include, exclude) -> str:
+    """The batch payload after payload (W4), as a recursive CTE ``t`` keyed by ``(kind, k)``:
+    kind ``row`` holds table rows (``k`` = stored id, or -seq - 1 if a payload inserted it),
+    ``out`` one outcome per valid payload, ``clock`` the last payload applied. ``bad`` holds the
+    invalid payloads."""
+    st = strip
+    valid = ("title <> '' AND company <> '' AND url <> '' AND source <> '' AND "
+             "coalesce(length(external_id), 0) <= 255 AND length(title) <= 255 AND "
+             "length(company) <= 255 AND length(source) <= 50")
+    fields = ["source", "external_id", "title", "company", "url", "description_md5", "location", "salary", "created_at"]
+    same = " AND ".join(f"w.{c} IS NOT DISTINCT FROM p.{c}" for c in fields[2:])
+    term = "CASE WHEN p.search_keyword IS NULL THEN []::VARCHAR[] ELSE [p.search_keyword] END"
+    new = "p.search_keyword IS NOT NULL AND NOT coalesce(list_contains(w.kws, p.search_keyword), false)"
+    ruled = "outcome = 'inserted' OR w_status <> 'analyzed'"
+    return f"""
+WITH RECURSIVE ic AS (
+  SELECT seq, nullif({st('external_id')}, '') AS external_id, {st('title')} AS title,
+         {st('company')} AS company, {st('url')} AS url, lower({st('source')}) AS source,
+         coalesce({st('description_raw')}, '') AS description_raw,
+         nullif({st('search_keyword')}, '') AS search_keyword,
+         {st('location')} AS location, {st('salary')} AS salary, created_at
+  FROM ({incoming})),
+bad AS (SELECT * FROM ic WHERE NOT ({valid})),
+v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY seq) AS n, * EXCLUDE (description_raw), md5(description_raw) AS description_md5,
+         {word_count(content(), include)} >= 3 AS passes, {classify_cols(content(), include, exclude)}
+  FROM ic WHERE {valid}),
+t(kind, k, {", ".join(fields)}, kws, status, reason, outcome, row_k, n) USING KEY (kind, k) AS (
+  SELECT 'row', id, source, external_id, title, company, url, md5(description_raw), location, salary, created_at,
+         search_keywords, status, filter_reason, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  FROM ({stored})
+  UNION ALL
+  SELECT 'clock', 0, {", ".join("NULL" for _ in fields)}, NULL, NULL, NULL, NULL, NULL, 0
+  UNION
+  SELECT x.kind, CASE x.kind WHEN 'row' THEN d.row_k WHEN 'out' THEN d.seq ELSE 0 END,
+         d.source, CASE WHEN d.outcome = 'updated' THEN d.w_ext ELSE d.external_id END,
+         {", ".join("d." + c for c in fields[2:])},
+         CASE WHEN d.outcome = 'inserted' THEN d.term WHEN d.kw_new THEN list_append(d.w_kws, d.search_keyword) ELSE d.w_kws END,
+         CASE WHEN {ruled} THEN d.rule_status ELSE d.w_status END,
+         CASE WHEN {ruled} THEN d.rule_reason ELSE d.w_reason END,
+         d.outcome, d.row_k, d.n
+  FROM (
+    SELECT p.*, {term} AS term, {new} AS kw_new, w.external_id AS w_ext, w.kws AS w_kws, w.status AS w_status,
+           w.reason AS w_reason,
+           CASE WHEN w.k IS NULL AND p.passes THEN 'inserted' WHEN w.k IS NULL THEN 'discarded'
+                WHEN NOT ({new}) AND {same} THEN 'skipped' WHEN u.k <> w.k THEN 'failed' ELSE 'updated' END AS outcome,
+           CASE WHEN w.k IS NOT NULL THEN w.k WHEN p.passes THEN -p.seq - 1 END AS row_k
+    FROM t c JOIN v p ON c.kind = 'clock' AND p.n = c.n + 1
+    LEFT JOIN recurring.t e ON e.kind = 'row' AND e.source = p.source AND e.external_id = p.external_id
+    LEFT JOIN recurring.t u ON u.kind = 'row' AND u.source = p.source AND u.url = p.url
+    LEFT JOIN recurring.t w ON w.kind = 'row' AND w.k = coalesce(e.k, u.k)
+  ) d, (VALUES ('row'), ('out'), ('clock')) x(kind)
+  WHERE x.kind <> 'row' OR d.outcome IN ('inserted', 'updated')
+)"""
+
+
+def batch_outcomes(include, exclude) -> str:
+    """Outcome of every payload of the fixture batch, with the final state of its row."""
+    return f"""{batch_in_order(STORED, INCOMING, include, exclude)}
+SELECT v.seq, o.outcome, CASE WHEN o.row_k >= 0 THEN o.row_k END AS matched_id, v.source, v.search_keyword AS term,
+       coalesce(r.title, v.title) AS title, r.status, r.reason AS filter_reason,
+       array_to_string(CASE WHEN r.k IS NOT NULL THEN r.kws WHEN v.search_keyword IS NULL THEN []::VARCHAR[]
+                            ELSE [v.search_keyword] END, ',') AS search_keywords
+FROM v JOIN t o ON o.kind = 'out' AND o.k = v.seq LEFT JOIN t r ON r.kind = 'row' AND r.k = o.row_k
+UNION ALL
+SELECT seq, 'failed', NULL, source, search_keyword, NULL, NULL, NULL, NULL FROM bad"""

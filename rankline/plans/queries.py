@@ -263,7 +263,7 @@ m AS (
          string_agg(kw, ',' ORDER BY first_seen_at, id, pos) AS merged
   FROM e WHERE rn = 1 AND kw IS NOT NULL AND kw <> ''
   GROUP BY key_type, source, key_value)
-SELECT f.id, f.external_id, f.source, f.url, f.title, b.status, b.filter_reason, b.ai_score,
+SELECT f.id, f.external_id, f.source, f.url, f.title, md5(f.description_raw) AS description_md5, b.status, b.filter_reason, b.ai_score,
        b.ai_summary, b.ai_analysis_at, f.first_seen_at,
        CASE WHEN f.n_merged > 1 THEN coalesce(m.merged, '')
             ELSE array_to_string(f.search_keywords, ',') END AS search_keywords,
@@ -276,11 +276,10 @@ LEFT JOIN m USING (key_type, source, key_value)
 
 @register("dedup_merge", _dedup_sql())
 def dedup_merge(spark, sf_dir):
-    j = jobs(spark, sf_dir).drop("description_raw")
-    d = MT.dedup_merge(j)
+    d = MT.dedup_merge(jobs(spark, sf_dir))
     return d.select(
-        "id", "external_id", "source", "url", "title", "status", "filter_reason", "ai_score",
-        "ai_summary", "ai_analysis_at", "first_seen_at",
+        "id", "external_id", "source", "url", "title", F.md5("description_raw").alias("description_md5"),
+        "status", "filter_reason", "ai_score", "ai_summary", "ai_analysis_at", "first_seen_at",
         F.array_join("search_keywords", ",").alias("search_keywords"), "n_merged",
     )
 
@@ -631,13 +630,13 @@ def upsert_single(spark, sf_dir):
                count_if(outcome = 'inserted') AS inserted, count_if(outcome = 'updated') AS updated,
                count_if(outcome = 'skipped') AS skipped, count_if(outcome = 'discarded') AS discarded,
                count_if(outcome = 'failed') AS failed, count(*) AS total
-        FROM ({S.upsert_single(INCLUDE, EXCLUDE)}) GROUP BY ROLLUP (source, term)""",
+        FROM ({S.batch_outcomes(INCLUDE, EXCLUDE)}) GROUP BY ROLLUP (source, term)""",
 )
 def ingest_stats(spark, sf_dir):
-    return IG.ingest_stats(_upsert(spark, sf_dir, fold=False))
+    return IG.ingest_stats(_upsert(spark, sf_dir, fold=True))
 
 
-@register("upsert_fold")
+@register("upsert_fold", S.batch_outcomes(INCLUDE, EXCLUDE))
 def upsert_fold(spark, sf_dir):
     """Whole batch: singles natively, interacting payloads folded per component."""
     o = _upsert(spark, sf_dir, fold=True)
@@ -669,7 +668,15 @@ def land_postings(spark, sf_dir, landing: str, parts: int = STREAM_FILES) -> Non
          .coalesce(1).write.mode("overwrite").parquet(f"{landing}/part={k}"))
 
 
-@register("stream_ingest")
+_LANDED = f"SELECT *, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS salary FROM ({S.POSTINGS})"
+
+
+@register(
+    "stream_ingest",
+    f"""{S.batch_in_order(f"SELECT * FROM ({S.STORED}) WHERE false", _LANDED, INCLUDE, EXCLUDE)}
+        SELECT external_id, source, url, title, status, array_to_string(kws, ',') AS search_keywords
+        FROM t WHERE kind = 'row'""",
+)
 def stream_ingest(spark, sf_dir):
     """Landed files through ``availableNow`` as one cycle, cut at the per-source
     checkpoint, upserted and committed as a version."""
@@ -679,7 +686,7 @@ def stream_ingest(spark, sf_dir):
                       available_now=True)
     q.awaitTermination()
     t = ST.read(spark, f"{run}/jobs")
-    return t.select("id", "external_id", "source", "url", "title", "status",
+    return t.select("external_id", "source", "url", "title", "status",
                     F.array_join("search_keywords", ",").alias("search_keywords"))
 
 

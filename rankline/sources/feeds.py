@@ -39,26 +39,41 @@ def _is_object(element: Column) -> Column:
     return F.coalesce(F.ltrim(element).startswith("{"), F.lit(False))
 
 
-def malformed_files(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """One row ``fetch_id, file, error`` per landed file that holds no array (feed A) or no
-    object (feed B): such a fetch yields no rows, and the others go on."""
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """The landed files, one row each: ``file, fetch_id, page`` (null if not paged), ``value``."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    page = F.regexp_extract("file", r"page=(\d+)", 1).try_cast("int")
+    return text.select("file", _fetch_id(F.col("file")).alias("fetch_id"), page.alias("page"), "value")
+
+
+def malformed(texts: DataFrame, feed: str) -> DataFrame:
+    """The rows of ``texts`` whose ``value`` holds no array (feed A) or no object (feed B), with
+    an ``error`` in its place: such a text yields no postings, and the others go on."""
     if feed == FEED_A_SOURCE:
         bad = _elements(F.col("value")).isNull()
     else:
         bad = ~_is_object(F.col("value")) | F.try_parse_json("value").isNull()
-    return text.where(bad).select(_fetch_id(F.col("file")).alias("fetch_id"), "file", F.lit("malformed file").alias("error"))
+    return texts.where(bad).drop("value").withColumn("error", F.lit("malformed file"))
+
+
+def malformed_files(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """One row ``fetch_id, file, error`` per malformed landed file."""
+    return malformed(landed(spark, path), feed).select("fetch_id", "file", "error")
 
 
 def read_feed_a(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file; keeps entries having both ``id`` and ``position``
-    (drops the legal-notice entry). Elements are parsed one by one, so one that is no object
-    is left out alone. Adds ``fetch_id`` and the in-file position ``pos``."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = text.select(
-        "file", F.posexplode(_elements(F.col("value"))).alias("pos", "e")
+    """S1 over landed files, one JSON array per file."""
+    return parse_feed_a(landed(spark, path))
+
+
+def parse_feed_a(texts: DataFrame) -> DataFrame:
+    """``texts(fetch_id, value)``, one JSON array each; keeps entries having both ``id`` and
+    ``position`` (drops the legal-notice entry). Elements are parsed one by one, so one that is
+    no object is left out alone. Adds the position ``pos`` in the array."""
+    rows = texts.select(
+        "fetch_id", F.posexplode(_elements(F.col("value"))).alias("pos", "e")
     ).where(_is_object(F.col("e"))).select(
-        _fetch_id(F.col("file")).alias("fetch_id"), "pos",
+        "fetch_id", "pos",
         F.from_json("e", f"struct<{_colon(FEED_A_ENTRY)}>").alias("e"),
     ).select("fetch_id", "pos", "e.*")
     return rows.where(F.col("id").isNotNull() & F.col("position").isNotNull())
@@ -92,7 +107,11 @@ def fetch_feed_a(spark: SparkSession, path: str, term: str | None, checkpoints:
                  limit: int | None, as_of: Column) -> DataFrame:
     """Feed A as the engine sees one cycle: valid rows in feed order, cut at the source
     checkpoint (F7), then the first ``limit`` rows per fetch (W3)."""
-    n = normalize_feed_a(read_feed_a(spark, path), F.lit(term), as_of)
+    return cut_feed_a(normalize_feed_a(read_feed_a(spark, path), F.lit(term), as_of), checkpoints, limit)
+
+
+def cut_feed_a(n: DataFrame, checkpoints: DataFrame | None, limit: int | None) -> DataFrame:
+    """The valid rows of normalised feed A fetches, cut at the checkpoint, then at ``limit``."""
     valid = n.where(F.col("error").isNull()).drop("error")
     if checkpoints is not None:
         valid = FT.take_while(valid, ["fetch_id"], F.col("pos"), checkpoints)
@@ -124,17 +143,17 @@ def _fetch_id(file: Column) -> Column:
 
 
 def read_feed_b(spark: SparkSession, path: str, max_pages: int | None = None) -> DataFrame:
-    """Page files ``fetch_id=<id>/page=<n>.json`` holding ``{meta, data[]}``. A fetch
+    """S2 over landed page files ``fetch_id=<id>/page=<n>.json``."""
+    return parse_feed_b(landed(spark, path), max_pages)
+
+
+def parse_feed_b(texts: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``texts(fetch_id, page, value)``, each page holding ``{meta, data[]}``. A fetch
     ends at the first page whose ``data`` is missing or empty, at ``meta.last_page`` (when a
     positive integer) and at ``max_pages``. Rows keep ``page`` and ``pos``; rows must have a
     truthy ``id`` and ``title``."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     page_schema = "meta struct<last_page:long>, data array<string>"
-    pages = text.select(
-        _fetch_id(F.col("file")).alias("fetch_id"),
-        F.regexp_extract(F.col("file"), r"page=(\d+)", 1).cast("int").alias("page"),
-        F.from_json(F.col("value"), page_schema).alias("p"),
-    )
+    pages = texts.select("fetch_id", "page", F.from_json(F.col("value"), page_schema).alias("p"))
     last = F.col("p.meta.last_page")
     stop_here = F.col("p.data").isNull() | (F.size("p.data") == 0)
     stop_after = (last > 0) & (F.col("page") >= last)
@@ -203,14 +222,19 @@ def fetch_feed_b(spark: SparkSession, path: str, term: str | None, checkpoints:
     """Feed B as the engine sees one cycle: first-seen ids (W2) in (page, pos) order, cut
     at the checkpoint (F7), first ``limit`` listed rows (W3), then invalid rows dropped, so
     fewer than ``limit`` can come back."""
-    rows = read_feed_b(spark, path, max_pages)
+    return cut_feed_b(read_feed_b(spark, path, max_pages), F.lit(term), checkpoints, limit, as_of, base_url)
+
+
+def cut_feed_b(rows: DataFrame, term: Column, checkpoints: DataFrame | None, limit: int | None,
+               as_of: Column, base_url: str) -> DataFrame:
+    """``fetch_feed_b`` over parsed rows."""
     order = F.struct("page", "pos")
     rows = FT.first_seen(rows, ["fetch_id"], "id", order)
-    n = normalize_feed_b(rows, F.lit(term), as_of, base_url)
+    n = normalize_feed_b(rows, term, as_of, base_url)
     if checkpoints is not None:
-        n = FT.take_while(n, ["fetch_id"], F.struct("page", "pos"), checkpoints)
+        n = FT.take_while(n, ["fetch_id"], order, checkpoints)
     if limit is not None:
-        n = FT.fetch_limit(n, ["fetch_id"], F.struct("page", "pos"), limit, pos_col="rank")
+        n = FT.fetch_limit(n, ["fetch_id"], order, limit, pos_col="rank")
     return n.where(F.col("error").isNull()).drop("error")
 
 

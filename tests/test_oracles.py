@@ -1,5 +1,5 @@
 """Every registered query next to its DuckDB oracle on sf0.001 (row count, columns and an
-order-insensitive value hash), plus rows-only queries run for a stable schema."""
+order-insensitive value hash)."""
 
 import duckdb
 import pytest
@@ -11,7 +11,6 @@ from conftest import SF_SMALL
 
 OWN = {k for k in E.queries() if k != "pipeline" and not k.startswith("op")}
 SQL = {k: v for k, v in E.oracle_sql().items() if k in OWN}
-SKIP_HEAVY = {"stream_ingest", "upsert_fold"}  # covered by their own tests
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +35,5 @@ def test_entry_smoke(spark):
     assert df.count() >= 0 and "rank" in df.columns
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = OWN - set(SQL)
-    assert rows_only == SKIP_HEAVY
+def test_every_query_has_an_oracle():
+    assert OWN == set(SQL)
