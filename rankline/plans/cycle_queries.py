@@ -27,7 +27,7 @@ def as_of():
 # ---------------------------------------------------------------- feeds from JSON texts
 # Sizes of the derived fetches, their checkpoint, and the cut of one cycle.
 A_FETCH, B_FETCH, B_PAGE = 20, 40, 10
-FEED_CHECKPOINT = "2024-01-01 05:07:00"
+FEED_CHECKPOINT = "2024-01-01 01:27:00"
 FEED_LIMIT = 15
 BASE_URL = "https://example.org"
 
@@ -176,8 +176,9 @@ def feed_b(spark, sf_dir):
 
 @register(
     "feed_union",
-    f"""SELECT '{FD.FEED_A_SOURCE}' AS source, count(*) AS n, count(salary) AS n_salary FROM ({FEED_A_SQL})
-        UNION ALL SELECT '{FD.FEED_B_SOURCE}', count(*), count(salary) FROM ({FEED_B_SQL})""",
+    f"""SELECT source, count(*) AS n, count(salary) AS n_salary
+        FROM (SELECT '{FD.FEED_A_SOURCE}' AS source, salary FROM ({FEED_A_SQL})
+              UNION ALL SELECT '{FD.FEED_B_SOURCE}', salary FROM ({FEED_B_SQL})) GROUP BY source""",
 )
 def feed_union(spark, sf_dir):
     """Payloads of both feeds as one table, counted by feed."""
