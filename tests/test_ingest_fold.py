@@ -278,3 +278,18 @@ def test_external_id_chain_shapes(spark):
     exp_out, exp_rows = _fold(stored, pays, INC, EXC)
     assert {r.seq: r.outcome for r in outcomes.collect()} == exp_out
     assert _final_key(_as_dicts(table)) == _final_key(exp_rows.values())
+
+
+def test_a_payload_with_seq_zero_is_no_stored_row(spark):
+    stored = TD.stored_rows(spark, SF_SMALL).where("false")
+    ts = datetime(2026, 3, 25, 10, 0)
+    # ids and urls shared crosswise, so that the payloads interact
+    keys = [("a", "u1"), ("a", "u2"), ("b", "u2"), ("b", "u1")]
+    rows = [(i, e, f"from with thing {i}", "co", u, "feed_a", "", "t", None, None, ts) for i, (e, u) in enumerate(keys)]
+    batch = spark.createDataFrame(rows, "seq long, external_id string, title string, company string, url string, source string, "
+                                        "description_raw string, search_keyword string, location string, salary string, created_at timestamp_ntz")
+    got = {r["seq"]: r for r in IG.upsert_outcomes(stored, batch, INC, EXC, F.lit(ts)).collect()}
+    assert got[0]["outcome"] == "inserted" and got[1]["outcome"] == "updated"
+    assert {r["matched_id"] for r in got.values()} == {None}
+    want, _ = _fold([], [r.asDict() for r in batch.collect()], INC, EXC)
+    assert {s: r["outcome"] for s, r in got.items()} == want
