@@ -389,7 +389,7 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
-def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold_component(pdf: pd.DataFrame) -> list[dict]:
     """Exact sequential semantics for one component. Rows are stored rows (kind 's') and
     payloads (kind 'p'); compared fields arrive as their text values."""
     comp = int(pdf["comp"].iloc[0])
@@ -458,7 +458,7 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
         recs.append(dict(comp=comp, seq=None, outcome="row", row_key=k, src_seq=row["src"],
                          keywords=row["kws"], status=row["status"], filter_reason=row["reason"],
                          first_seen_new=row["new"], touched=row["touched"], row_ext=row["ext"]))
-    return pd.DataFrame.from_records(recs, columns=[f.name for f in FOLD_SCHEMA.fields])
+    return recs
 
 
 def _fingerprint(df: DataFrame) -> Column:
@@ -537,21 +537,21 @@ def fold_path(
 
 
 def _fold_stream(batches):
-    """Groups consecutive rows of a component across Arrow batches and folds each."""
-    carry = None
+    """Groups consecutive rows of a component across Arrow batches and folds each; the parts of
+    a component are put together once, when it is complete."""
     cols = [f.name for f in FOLD_SCHEMA.fields]
+    parts: list[pd.DataFrame] = []  # of the component whose end is not seen yet
     for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = pdf["comp"].iloc[-1]
-        done, carry = pdf[pdf["comp"] != last], pdf[pdf["comp"] == last]
-        outs = [_fold_component(g) for _, g in done.groupby("comp", sort=False)]
-        if outs:
-            yield pd.concat(outs, ignore_index=True)[cols]
-    if carry is not None and len(carry):
-        yield _fold_component(carry)[cols]
+        done: list[dict] = []
+        for comp, group in pdf.groupby("comp", sort=False):
+            if parts and parts[0]["comp"].iloc[0] != comp:
+                done += _fold_component(pd.concat(parts, ignore_index=True))
+                parts = []
+            parts.append(group)
+        if done:
+            yield pd.DataFrame.from_records(done, columns=cols)
+    if parts:
+        yield pd.DataFrame.from_records(_fold_component(pd.concat(parts, ignore_index=True)), columns=cols)
 
 
 def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
