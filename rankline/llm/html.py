@@ -5,7 +5,11 @@ one parent and the same sign of classifier score are one node. The classifier's
 content are the node's terminal capacity; nodes next to each other, and nodes that share
 ancestors, are joined by smoothness edges; a minimum cut gives the labels. The classifier is
 naive Bayes: its text measures are learned over all pages from blocks whose place in the page
-already tells what they are (inside article or main, inside nav, footer, aside, ...).
+already tells what they are (inside article or main, inside nav, footer, aside, ...). A class or
+id that holds a furniture word marks an element as furniture, but main, and the articles that
+stand in the fewest such marks, are content nevertheless: a wrapper "has-sidebar" around them
+is layout. Nothing undoes nav, footer, aside and the like. Where all text of a page is
+marked, the classifier decides on what the outermost marks alone hold.
 
 Defined cases: a null or empty page has an empty text; markup that never ends is closed at the
 end of the page; blocks without text are no blocks; rows that repeat an id are extracted each;
@@ -49,26 +53,37 @@ NEXT_TO, SHARED = 0.6, 0.8  # capacities of smoothness edges
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "place")
+    __slots__ = ("name", "parent", "depth", "place", "real", "main", "hints", "article")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.place = parent.place if parent else None  # True: content, False: furniture
-        inside = self.place is False
-        if name in CONTENT and not inside:
-            self.place = True
-        elif name in FURNITURE:
-            self.place = False
+        self.real = parent.real if parent else False  # furniture by an element or role, which nothing inside undoes
+        self.main = parent.main if parent else False
+        self.hints = parent.hints if parent else 0  # marks by class or id around this, up to the next main
+        self.article = parent.article if parent else None  # marks around the article that this is in; None: in no article, or marked inside it
+        role, hinted, hidden = None, False, False
         if attributes and name not in ("html", "body") and NAMED.search(attributes):
             for key, *value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(value).lower()
-                if key == "role" and value in ROLES and not inside:
-                    self.place = ROLES[value]
-                elif key in ("class", "id") and name not in CONTENT and not HINTS.isdisjoint(WORD.findall(value)):
-                    self.place = False
+                if key == "role" and value in ROLES:
+                    role = value
+                elif key in ("class", "id") and not HINTS.isdisjoint(WORD.findall(value)):
+                    hinted = True
                 elif key == "aria-hidden" and value == "true":
-                    self.place = False
+                    hidden = True
+        content = ROLES[role] if role else True if name in CONTENT else False if name in FURNITURE else None
+        if self.real or hidden or content is False:
+            self.place, self.real, self.article = False, True, None
+        elif content and "main" in (name, role):
+            self.place, self.main, self.hints, self.article = True, True, 0, None
+        elif content and not self.hints:
+            self.place, self.article = True, 0
+        elif content:
+            self.article = self.hints + hinted if self.article is None else self.article
+        elif hinted:
+            self.place, self.hints, self.article = False, self.hints + 1, None
 
 
 class Block:
@@ -149,9 +164,28 @@ def blocks(page: str | None) -> list[Block]:
         elif name == "a" and links:
             links -= 1
     end()
+    settle(out)
     return out
 
 
+def settle(found: list[Block]) -> None:
+    """Takes back the marks by class or id around the articles (of main, if it has text) with the
+    fewest of them, which are the page's layout (beside text in main itself, of articles with one
+    mark only), and the outermost ones if all text is marked."""
+    inside = [b.parent for b in found if b.parent.main] or [b.parent for b in found]
+    least = min((e.article for e in inside if e.article is not None), default=None)
+    if least is not None and (least < 2 or not any(e.place for e in inside)):
+        for e in inside:
+            if e.article == least:
+                e.place = True
+    if all(b.parent.place is False for b in found):
+        marked = [b.parent for b in found if not b.parent.real]
+        least = min((e.hints for e in marked), default=0)
+        for e in marked:
+            if e.hints == least:
+                e.place = None
+
+
 def measures(b: Block) -> list[str]:
     """Names of the bins of a block's text measures."""
     n = len(b.text)

@@ -376,6 +376,31 @@ def test_furniture_inside_and_outside_the_article():
     assert html.extract(page, {}) == "Big & small\n\nFirst linked text goes on.\n\nSecond one.\n\nOne\n\nTwo"
 
 
+@pytest.mark.parametrize("wrapper", ["class='content-sidebar-wrap'", "class='has-sidebar'", "id='page-with-menu'", "class='post-comments-open'"])
+@pytest.mark.parametrize("name", ["<article>", "<main>", "<main><article class='tag-social'>", "<div role='main'>", "<div role=article>", "<article><div class=inner>"])
+def test_layout_wrapper_around_the_article(wrapper, name):
+    close = "".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", name)))
+    for inside in (f"<div {wrapper}>{{}}</div>", f"<body><div {wrapper}><section class='share-on'>{{}}</section></div>", f"<main><h1>T</h1><div {wrapper}>{{}}</div></main>"):
+        page = inside.format(f"<div class=sidebar><p>Other</p></div>{name}<p>First.</p><section class='comments'><article class='comment'>Nice</article></section>"
+                             f"<p>Second.</p>{close}<div class=related><article>Teaser</article></div><nav><article>Menu</article></nav>")
+        assert html.extract("<header>Site</header>" + page + "<footer>Foot</footer>", {}) == ("T\n\n" if "<h1>" in inside else "") + "First.\n\nSecond."
+
+
+def test_marked_articles_beside_the_main_text():
+    for name in ("article", "main"):
+        page = f"<{name}><p>Text.</p></{name}><div class='comments'><article>Nice</article></div><div class='related'><article>Teaser</article></div>"
+        assert html.extract(page, {}) == "Text."
+    assert html.extract("<aside><div class=has-sidebar><article>Aside</article></div></aside><form><main>Form</main></form>", {}) == ""
+    assert html.extract("<div id='page-with-menu' role='main'><p>Text.</p></div>", {}) == html.extract("<div role='main' id='page-with-menu'><p>Text.</p></div>", {}) == "Text."
+
+
+def test_layout_wrapper_without_landmarks(spark):
+    odds = html.learned(spark.read.parquet(f"{SF}/pages.parquet"))
+    words = sentence(random.Random(2), 60).capitalize() + "."
+    page = f"<header>Site</header><div class='has-sidebar'><div><p>{words}</p><p>{words}</p></div><div class='sidebar'><p>{words}</p></div></div>"
+    assert html.extract(page, odds) == f"{words}\n\n{words}"
+
+
 def test_pages_without_landmarks_use_the_learned_measures(spark):
     odds = html.learned(spark.read.parquet(f"{SF}/pages.parquet"))
     words = sentence(random.Random(2), 60).capitalize() + "."
