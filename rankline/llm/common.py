@@ -40,11 +40,20 @@ def row_key(text: str = "text") -> list[Column]:
     return [F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64(F.lit(7), text).alias("__th")]
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``row_key`` is in the written table ``dropped``."""
-    keys = row_key()
-    left = docs.withColumns({"__id": keys[0], "__th": keys[1]})
-    return small_join(left, dropped.select("__id", "__th").distinct(), ["__id", "__th"], "left_anti").drop("__id", "__th")
+WHOLE_KEY = ["__id", "__th", "__none"]
+
+
+def whole_key() -> list[Column]:
+    """``row_key`` and whether the row has no id, so that no id is not taken for -1."""
+    return [*row_key(), F.isnull("doc_id").alias("__none")]
+
+
+def without(docs: DataFrame, dropped: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` without the rows whose ``whole_key``, and further key columns that are never
+    null, are in the written table ``dropped``."""
+    names = [*WHOLE_KEY, *more]
+    left = docs.withColumns(dict(zip(WHOLE_KEY, whole_key())) | more)
+    return small_join(left, dropped.select(*names).distinct(), names, "left_anti").drop(*names)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankline.llm.common import WORD_BREAK, row_key, small_join, table, without
+from rankline.llm.common import WORD_BREAK, row_key, small_join, table, whole_key, without
 
 # Runs of one class, removed one after the other so that each scan is of what is left.
 CLASSES = [("lower", r"[a-z]+"), ("space", WORD_BREAK), ("upper", r"[A-Z]+"), ("digit", r"[0-9]+"),
@@ -116,6 +116,10 @@ def divergence(counts: Column, ref: Column) -> Column:
 
 def judge(docs: DataFrame, max_chars: float = MAX_CHARS_DISTANCE, max_words: float = MAX_WORDS_DISTANCE) -> DataFrame:
     """Counts, distances and verdict of every row of ``docs`` (doc_id, text, lang)."""
+    return _judged(docs, max_chars, max_words).drop("lang")
+
+
+def _judged(docs: DataFrame, max_chars: float = MAX_CHARS_DISTANCE, max_words: float = MAX_WORDS_DISTANCE) -> DataFrame:
     vocab = table(common_words(docs), "vocab")
     measured = table(measures(docs, vocab), "measured")
     refs = table(references(measured), "references")
@@ -123,11 +127,12 @@ def judge(docs: DataFrame, max_chars: float = MAX_CHARS_DISTANCE, max_words: flo
     d = d.withColumn("js_chars", F.when(F.col("word_chars") >= MIN_CHARS, divergence(F.col("chars"), F.col("ref_chars")))) \
         .withColumn("js_words", F.when(F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_WORDS, divergence(F.col("common"), F.col("ref_common"))))
     far = (F.coalesce("js_chars", F.lit(0.0)) > max_chars) | (F.coalesce("js_words", F.lit(0.0)) > max_words)
-    return d.select("doc_id", "__th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return d.select("doc_id", "__th", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
-    gone = judge(docs).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), "__th")
-    return without(docs, table(gone, "dropped"))
+    key = whole_key()
+    gone = _judged(docs).where(~F.col("kept")).select(key[0], "__th", key[2], F.col("lang").alias("__lang"))  # the verdict depends on text and language
+    return without(docs, table(gone, "dropped"), __lang=F.coalesce("lang", F.lit("")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankline.llm.common import connected_components, row_key, table, without
+from rankline.llm.common import connected_components, row_key, table, whole_key, without
 
 SEED = 42
 BLOCK = 2048  # fingerprints of one bucket that a task compares with another such block
@@ -139,5 +139,6 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     repeat the first document's id all stay; rows without an id stay only if no row of
     their component has one."""
     found = near_duplicates(docs, shingle, radius)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), "__th")
+    key = whole_key()
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key[0], "__th", key[2])
     return without(docs, table(gone, "dropped"))

@@ -115,6 +115,16 @@ def test_quality_odd_rows_and_empty(spark):
     assert quality.judge(empty).count() == 0 and quality.filtered(empty).count() == 0
 
 
+def test_quality_rows_of_one_id_and_text_are_judged_one_by_one(spark):
+    rng = random.Random(4)
+    clean, far = [" ".join(rng.choice(words.split()) for _ in range(150)) for words in ("the cat and dog run to a red hill in sun", "der hund und katze im wald bei nacht am see")]
+    few = sentence(rng, 5)
+    rows = [(i, " ".join(rng.sample(clean.split(), 150)), "en") for i in range(10, 60)] + [(i, " ".join(rng.sample(far.split(), 150)), "de") for i in range(60, 110)]
+    rows += [(1, far, "en"), (1, far, "de"), (-1, clean, "en"), (None, clean, "de"), (-1, few, "en"), (None, few, "en")]
+    got = Counter((r["doc_id"], r["text"], r["lang"]) for r in quality.filtered(documents(spark, rows)).collect())
+    assert got == Counter(r for r in rows if r not in {(1, far, "en"), (None, clean, "de"), (-1, few, "en"), (None, few, "en")})
+
+
 # Line dedup
 
 
