@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankline.llm.common import connected_components, row_key, table, whole_key, without
+from rankline.llm.common import WHOLE_KEY, connected_components, row_key, small_join, table, whole_key, without
 
 SEED = 42
 BLOCK = 2048  # fingerprints of one bucket that a task compares with another such block
@@ -122,23 +122,40 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
+def components(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, first, comp) per fingerprint of the written ``rows``: its smallest doc_id and its component."""
+    fps = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    linked = table(connected_components(near_edges(fps.select("fp"), radius)), "linked")
+    return fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, __th, fingerprint, component_id) per row; component_id is the smallest
     doc_id reachable over links of ``radius`` or fewer differing bits."""
     rows = table(fingerprints(docs, shingle), "fingerprints")
-    fps = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = table(connected_components(near_edges(fps.select("fp"), radius)), "linked")
-    placed = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
+    placed = components(rows, radius)
     named = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = table(placed.join(named, "comp").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "__th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` without the rows that are not their component's first document. Rows that
-    repeat the first document's id all stay; rows without an id stay only if no row of
-    their component has one."""
-    found = near_duplicates(docs, shingle, radius)
+    """One row of ``docs`` per component: that with the smallest doc_id (null after all others),
+    of rows that repeat the id the one whose text has the smallest hash, and of rows that
+    repeat the text too the smallest by all columns."""
+    rows = table(fingerprints(docs, shingle), "fingerprints")
     key = whole_key()
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key[0], "__th", key[2])
-    return without(docs, table(gone, "dropped"))
+    place = F.struct(key[2], key[0], "__th")
+    firsts = rows.groupBy("fp").agg(F.min(place).alias("place"))
+    placed = table(components(rows, radius).join(firsts, "fp").select("fp", "comp", "place"), "placed")
+    kept = table(placed.groupBy("comp").agg(F.min("place").alias("kept")), "kept")
+    named = table(placed.join(kept, "comp").select("fp", "kept"), "named")
+    found = rows.join(named, "fp").select(place.alias("place"), "kept")
+    left = without(docs, table(found.where("place <> kept").select("place.*"), "dropped"))
+    again = table(found.where("place = kept").groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place.*"), "repeated")
+    if again.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    some = small_join(docs.withColumns(dict(zip(WHOLE_KEY, key))), again, WHOLE_KEY, "left_semi")
+    one = some.groupBy(*WHOLE_KEY).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return without(left, again).unionByName(one)

@@ -277,6 +277,14 @@ def test_near_edges_with_small_blocks_and_a_dense_group(spark):
     assert max(groups.values()) >= 40
 
 
+def test_simhash_dedup_keeps_one_row_of_a_component(spark):
+    rng = random.Random(8)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(1, a, "en")] * 50 + [(1, a, "de"), (2, a, "en"), (None, a, "en")] + [(None, b, "en")] * 3 + [(None, b.upper(), "en")] + [(None, c, "en")] + [(3, d, "en"), (-1, c, "en"), (3, d.upper(), "en")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"].lower(), r["lang"]) for r in simhash.dedup(documents(spark, rows)).collect())
+    assert got == [(False, -1, c, "en"), (False, 1, a, "de"), (False, 3, d, "en"), (True, 0, b, "en")]
+
+
 def test_simhash_odd_rows_and_empty(spark):
     d = documents(spark, odd_rows())
     got = simhash.near_duplicates(d).collect()
