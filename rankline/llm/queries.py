@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankline.llm import embeddings, html, langid, licenses, lines, mixing, oracles, packing, quality, simhash, tokens
+from rankline.llm import align, embeddings, html, langid, licenses, lines, mixing, oracles, packing, quality, simhash, tokens, toxicity, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5("text").alias("text_md5"), F.concat_ws(",", F.col("__kept_in").cast("array<string>")).alias("kept_in"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(_read(spark, sf_dir, "embeddings"), k=32)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.summaries(_read(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_quality_rules, op3_token_files, op4_language_id, op5_embedding_dedup, op6_license_scan,
-        op7_simhash_dedup, op8_html_main_text, op9_packing, op10_line_dedup)
+        op7_simhash_dedup, op8_html_main_text, op9_packing, op10_line_dedup,
+        op11_embedding_whitening, op12_tokenizer_alignment, op13_toxicity)
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op10_line_dedup": oracles.line_dedup()}
