@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,8 @@ from rankline.llm.common import table
 from rankline.llm.tokens import NOT_PLAIN, PIECE
 
 CHUNK = 2_000_000  # pairs of a chunk, counted once for each document that holds them
-STRETCHES = 250_000  # different stretches that a worker keeps; beyond it they are learned anew
+STRETCHES = 300_000  # different stretches that a worker keeps; beyond it all but the first half are learned anew
+COUNTS = 5  # of a stretch: whether it has an alignment, tokens of A and of B, groups, links
 NO_BORDER = re.compile(r"  |\r|'(?:[std]|re|ve|m|ll)[^\W\d_]")
 PAIR = 1 << 24  # pair key: A id * PAIR + B id
 
@@ -98,21 +100,25 @@ class Alignment(NamedTuple):
 
     def digest(self) -> str:
         a, b = list(map(str, self.a)), list(map(str, self.b))
+        if len(self.groups) == 1:
+            return f"{','.join(a)}|{','.join(b)}"
         return ";".join([f"{','.join(a[i:m])}|{','.join(b[j:n])}" for i, m, j, n in self.groups])
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The different linked pairs as sorted keys, and how often each is linked."""
+    def links(self) -> tuple[list[int], list[int]]:
+        """The linked pairs as keys, and how often each is linked. A key may come again."""
+        if len(self.a) * len(self.b) <= 64 and len(self.groups) == 1:
+            keys = [x * PAIR + y for x in self.a for y in self.b]
+            return keys, [1] * len(keys)
         keys, times = [], []
         for i, m, j, n in self.groups:
-            if m - i == 1 or n - j == 1 or (m - i) * (n - j) <= 64:
+            if (m - i) * (n - j) <= 64:
                 keys += [x * PAIR + y for x in self.a[i:m] for y in self.b[j:n]]
                 times += [1] * ((m - i) * (n - j))
             else:  # a large group: its different ids only
                 ca, cb = Counter(self.a[i:m]), Counter(self.b[j:n])
                 keys += [x * PAIR + y for x in ca for y in cb]
                 times += [p * q for p in ca.values() for q in cb.values()]
-        found, at = np.unique(np.array(keys, dtype=np.int64), return_inverse=True)
-        return found, np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
+        return keys, times
 
 
 class Aligner:
@@ -128,7 +134,9 @@ class Aligner:
         form = {b: chr(b) for b in shown}
         form |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in form)}
         byte = {c: b for b, c in form.items()}
+        self.form = form
         self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
@@ -142,13 +150,28 @@ class Aligner:
         text = " " + text
         return PIECE.findall(text) if self.borders and not NOT_PLAIN.search(text) and not NO_BORDER.search(text) else None
 
-    def align(self, stretch: str, cut: bool = False) -> Alignment | None:
-        """The alignment of a text (space is put before it), or of a stretch as it is (``cut``);
-        None if the tokens of A or B do not give back its bytes."""
-        a = self.a.encode(stretch if cut else " " + stretch, add_special_tokens=False).ids
+    def align(self, text: str) -> Alignment | None:
+        """The alignment of a whole text; None if the tokens of A or B do not give back its bytes."""
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        return self.aligned(a, self.b.encode(text), (" " + text).encode("utf-8", "surrogatepass"))
+
+    def align_stretches(self, found: list[str]) -> Iterator[Alignment | None]:
+        """The alignments of stretches as they are, without a space before them. (Byte-level BPE
+        always gives back the bytes of a stretch, B's tokens are checked.)"""
         # A line feed is a byte token: nothing behind it depends on the space that B puts first.
-        b = self.b.encode("\n" + stretch)[2:] if cut else self.b.encode(stretch)
-        return self.aligned(a, b, (stretch if cut else " " + stretch).encode("utf-8", "surrogatepass"))
+        in_b = self.b.encode(["\n" + s for s in found], num_threads=1)
+        tokenize, form, size_a, bytes_b = self.a.model.tokenize, self.form, self.size_a, self.bytes_b
+        for s, b in zip(found, in_b):
+            raw = s.encode()
+            a = [t.id for t in tokenize(raw.decode("latin-1").translate(form))]
+            del b[:2]
+            parts = [bytes_b[i] for i in b]
+            if b"".join(parts) != raw:
+                yield None
+            elif len(a) == 1 or len(b) == 1:
+                yield Alignment(a, b, [(0, len(a), 0, len(b))])
+            else:
+                yield Alignment(a, b, groups(list(accumulate([size_a[i] for i in a])), ends(parts)))
 
     def aligned(self, a: list[int], b: list[int], raw: bytes) -> Alignment | None:
         in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
@@ -166,11 +189,7 @@ def kind(c: str) -> int:
 
 
 def ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
+    return list(accumulate(map(len, parts)))
 
 
 @lru_cache(maxsize=1)
@@ -178,80 +197,106 @@ def aligner(paths: tuple[str, str] | None = None) -> Aligner:
     return Aligner(*(paths or tokenizer_paths()))
 
 
-class Ragged:
-    """Arrays of different lengths, one behind the other."""
+class Numbers:
+    """A growing array of longs."""
 
     def __init__(self):
-        self.parts, self.size = [], [0]
-
-    def add(self, x: np.ndarray) -> None:
-        self.parts.append(x)
-        self.size.append(len(x))
+        self.held, self.size = np.empty(1 << 16, dtype=np.int64), 0
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The arrays at ``at`` joined, and their lengths."""
-        got = [self.parts[i] for i in at.tolist()]
-        return np.concatenate(got) if got else np.empty(0, dtype=np.int64), np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+    def extend(self, x: list[int]) -> None:
+        while self.size + len(x) > len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+        self.held[self.size:self.size + len(x)] = x
+        self.size += len(x)
 
 
 class Chunk:
-    """Stretches and documents since the last chunk row."""
+    """Stretches and documents since the last chunk row. A stretch has a number, under which
+    its links (runs of ``keys`` and ``times``) and its counts are kept."""
 
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
-        self.forget()
-        self.clear()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.digests: dict[str, str] = {}
-        self.keys, self.times, self.counts, self.held = Ragged(), Ragged(), [], 0
+        self.keys, self.times, self.starts, self.counts = Numbers(), Numbers(), Numbers(), Numbers()
+        self.starts.extend([0])
+        self.clear()
+
+    def forget(self, keep: int) -> None:
+        """Drops all but the first ``keep`` stretches, which are mostly the frequent ones."""
+        gone = [s for s, i in self.index.items() if i >= keep]
+        for s in gone:
+            del self.index[s], self.digests[s]
+        self.starts.size = keep + 1
+        self.keys.size = self.times.size = int(self.starts.held[keep])
+        self.counts.size = keep * COUNTS
 
     def clear(self) -> None:
         self.docs, self.pairs, self.n_pairs = [], [], 0
 
-    def learn(self, found: Alignment | None) -> int:
-        keys, times = found.links() if found else (np.empty(0, dtype=np.int64),) * 2
-        self.keys.add(keys)
-        self.times.add(times)
-        self.counts.append((len(found.a), len(found.b), len(found.groups), int(times.sum())) if found else None)
-        self.held += len(keys)
-        return len(self.counts) - 1
+    def learn(self, found: list[Alignment | None]) -> int:
+        """Numbers the stretches; returns the first number."""
+        first, at = self.starts.size - 1, self.keys.size
+        keys: list[int] = []
+        times: list[int] = []
+        starts: list[int] = []
+        counts: list[int] = []
+        for x in found:
+            if x:
+                k, t = x.links()
+                keys += k
+                times += t
+                counts += (1, len(x.a), len(x.b), len(x.groups), sum(t))
+            else:
+                counts += (0, 0, 0, 0, 0)
+            starts.append(at + len(keys))
+        for held, x in ((self.keys, keys), (self.times, times), (self.starts, starts), (self.counts, counts)):
+            held.extend(x)
+        return first
+
+    def links(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``keys`` of the links of some stretches, and how many each has."""
+        lo, hi = self.starts.held[codes], self.starts.held[codes + 1]
+        n = hi - lo
+        return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
     def full(self, stretches: int, size: int) -> bool:
-        return len(self.counts) >= stretches or self.held >= 2 * size
+        return self.starts.size > stretches or self.keys.size >= 2 * size
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         cut = self.aligner.stretches(text) if text else []
         if cut is None:  # the whole text is one stretch
             found = self.aligner.align(text)
-            codes, times = [self.learn(found)], [1]
+            codes, uses = np.array([self.learn([found])]), np.array([1])
             digest = found.digest() if found else ""
         else:
-            seen = Counter(cut)
-            for s in seen:
-                if s not in self.index:
-                    found = self.aligner.align(s, cut=True)
-                    self.index[s] = self.learn(found)
-                    self.digests[s] = found.digest() if found else ""
-            codes, times = list(map(self.index.__getitem__, seen)), list(seen.values())
+            seen, index = Counter(cut), self.index
+            new = [s for s in seen if s not in index]
+            if new:
+                found = list(self.aligner.align_stretches(new))
+                first = self.learn(found)
+                for i, (s, x) in enumerate(zip(new, found)):
+                    index[s] = first + i
+                    self.digests[s] = x.digest() if x else ""
+            codes = np.fromiter(map(index.__getitem__, seen), dtype=np.int64, count=len(seen))
+            uses = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
             digest = ";".join(map(self.digests.__getitem__, cut))
-        counts = [self.counts[c] for c in codes]
-        if not counts or None in counts:
-            self.docs.append((doc_id, 0, 0, 0, 0, "", [], []))
+        counts = self.counts.held[:self.counts.size].reshape(-1, COUNTS)[codes]
+        if not len(codes) or not counts[:, 0].all():
+            self.docs.append((doc_id, 0, 0, 0, 0, "", codes[:0], uses[:0]))
             return
-        totals = np.array(counts, dtype=np.int64).T @ np.array(times, dtype=np.int64)
-        self.docs.append((doc_id, *totals.tolist(), hashlib.sha256(digest.encode()).hexdigest(), codes, times))
-        self.pairs.append(np.unique(self.keys.take(np.array(codes))[0]))
+        self.docs.append((doc_id, *(uses @ counts)[1:].tolist(), hashlib.sha256(digest.encode()).hexdigest(), codes, uses))
+        self.pairs.append(np.unique(self.keys.held[self.links(codes)[0]]))
         self.n_pairs += len(self.pairs[-1])
 
     def row(self, chunk: int) -> pa.RecordBatch:
         """The chunk as one row. Stretches are numbered anew, pairs are named by their place."""
+        none = np.empty(0, dtype=np.int64)
         sizes = [len(d[6]) for d in self.docs]
-        used, codes = np.unique(np.array([c for d in self.docs for c in d[6]], dtype=np.int64), return_inverse=True)
-        pairs, docs = np.unique(np.concatenate(self.pairs) if self.pairs else np.empty(0, dtype=np.int64), return_counts=True)
-        keys, lengths = self.keys.take(used)
-        times, _ = self.times.take(used)
+        used, codes = np.unique(np.concatenate([none, *(d[6] for d in self.docs)]), return_inverse=True)
+        pairs, docs = np.unique(np.concatenate([none, *self.pairs]), return_counts=True)
+        at, lengths = self.links(used)
+        keys, times = self.keys.held[at], self.times.held[at]
 
         def packed(x: list | np.ndarray) -> pa.Array:
             return pa.array([pa.compress(np.asarray(x, dtype="<u4").tobytes(), codec="zstd", asbytes=True)], pa.binary())
@@ -262,7 +307,7 @@ class Chunk:
             columns[name] = one([d[k] for d in self.docs], pa.int64())
         columns["groups_sha256"] = one([d[5] for d in self.docs], pa.string())
         for name, x in (("lengths", lengths), ("places", np.searchsorted(pairs, keys)), ("times", times),
-                        ("sizes", sizes), ("codes", codes), ("uses", [t for d in self.docs for t in d[7]])):
+                        ("sizes", sizes), ("codes", codes), ("uses", np.concatenate([none, *(d[7] for d in self.docs)]))):
             columns[name] = pa.StructArray.from_arrays([pa.array([len(x)], pa.int64()), packed(x)], ["n", "raw"])
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -286,7 +331,7 @@ def chunks(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = CH
                     n += 1
                     held.clear()
                     if held.full(stretches, size):
-                        held.forget()
+                        held.forget(min(stretches // 2, held.starts.size - 1) if held.starts.size > stretches else 0)
         if held.docs:
             yield held.row(base + n)
 
