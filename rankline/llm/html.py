@@ -6,9 +6,12 @@ content are the node's terminal capacity; nodes next to each other, and nodes th
 ancestors, are joined by smoothness edges; a minimum cut gives the labels. The classifier is
 naive Bayes: its text measures are learned over all pages from blocks whose place in the page
 already tells what they are (inside article or main, inside nav, footer, aside, ...). A class or
-id that holds a furniture word marks an element as furniture, but main, and the articles that
+id that holds a furniture word (or aria-hidden) marks an element as furniture, but main, and the articles that
 stand in the fewest such marks, are content nevertheless: a wrapper "has-sidebar" around them
-is layout. Nothing undoes nav, footer, aside and the like. Where all text of a page is
+is layout. Inside main or an article a whole class or id marks an element; a furniture word that is only a part of
+one ("restaurant-menu") is a hint that lowers the score, and the cut decides. A form that holds
+every article and main of the page, or most text of a page without them, is layout; its labels
+and controls go. Nothing undoes nav, footer, aside, the attribute hidden and the like. Where all text of a page is
 marked, the classifier decides on what the outermost marks alone hold.
 
 Defined cases: a null or empty page has an empty text; markup that never ends is closed at the
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 SKIPPED = frozenset("script style noscript template head title svg iframe object select textarea button canvas audio video map math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-                   "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+                   "header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset("article main".split())
-FURNITURE = frozenset("nav footer aside header form menu dialog".split())
+FURNITURE = frozenset("nav footer aside header menu dialog label legend".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr "
                   "sidebar menu nav navigation navbar breadcrumb breadcrumbs footer header masthead comment comments reply replies respond discussion disqus "
@@ -44,16 +47,18 @@ ROLES = {"navigation": False, "banner": False, "contentinfo": False, "complement
          "dialog": False, "main": True, "article": True}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-NAMED = re.compile(r"(?i)\b(?:class|id|role|hidden|aria-hidden)\b")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMED = re.compile(r"(?i)\b(?:class|id|role|hidden|style)\b")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 PLACE_ODDS = 6.0  # log odds of a block whose place is known
+HINT_ODDS = 2.0  # what a hint takes from the log odds
 NEXT_TO, SHARED = 0.6, 0.8  # capacities of smoothness edges
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "place", "real", "main", "hints", "article")
+    __slots__ = ("name", "parent", "depth", "place", "real", "main", "hints", "article", "form", "soft")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
@@ -63,18 +68,23 @@ class Element:
         self.main = parent.main if parent else False
         self.hints = parent.hints if parent else 0  # marks by class or id around this, up to the next main
         self.article = parent.article if parent else None  # marks around the article that this is in; None: in no article, or marked inside it
-        role, hinted, hidden = None, False, False
+        self.form = self if name == "form" else parent.form if parent else None  # the innermost form
+        self.soft = parent.soft if parent else False  # hinted at inside main or an article
+        role, hinted, whole, unseen = None, False, False, False
         if attributes and name not in ("html", "body") and NAMED.search(attributes):
             for key, *value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(value).lower()
                 if key == "role" and value in ROLES:
                     role = value
                 elif key in ("class", "id") and not HINTS.isdisjoint(WORD.findall(value)):
-                    hinted = True
+                    hinted, whole = True, whole or not HINTS.isdisjoint(value.split())
                 elif key == "aria-hidden" and value == "true":
-                    hidden = True
+                    hinted = whole = True
+                elif key == "hidden" or (key == "style" and UNSEEN.search(value)):
+                    unseen = True
         content = ROLES[role] if role else True if name in CONTENT else False if name in FURNITURE else None
-        if self.real or hidden or content is False:
+        self.soft = self.soft and not content
+        if self.real or unseen or content is False:
             self.place, self.real, self.article = False, True, None
         elif content and "main" in (name, role):
             self.place, self.main, self.hints, self.article = True, True, 0, None
@@ -82,6 +92,8 @@ class Element:
             self.place, self.article = True, 0
         elif content:
             self.article = self.hints + hinted if self.article is None else self.article
+        elif hinted and not whole and (self.main or self.article is not None):
+            self.soft, self.hints = True, self.hints + 1
         elif hinted:
             self.place, self.hints, self.article = False, self.hints + 1, None
 
@@ -171,7 +183,8 @@ def blocks(page: str | None) -> list[Block]:
 def settle(found: list[Block]) -> None:
     """Takes back the marks by class or id around the articles (of main, if it has text) with the
     fewest of them, which are the page's layout (beside text in main itself, of articles with one
-    mark only), and the outermost ones if all text is marked."""
+    mark only), and the outermost ones if all text is marked. Forms that are not layout go."""
+    settle_forms(found)
     inside = [b.parent for b in found if b.parent.main] or [b.parent for b in found]
     least = min((e.article for e in inside if e.article is not None), default=None)
     if least is not None and (least < 2 or not any(e.place for e in inside)):
@@ -186,6 +199,27 @@ def settle(found: list[Block]) -> None:
                 e.place = None
 
 
+def settle_forms(found: list[Block]) -> None:
+    """Marks what is in a form as furniture, unless the form is the page's layout."""
+    size: dict[Element | None, int] = {}
+    named: dict[Element | None, bool] = {}
+    for b in found:
+        form, inside = b.parent.form, b.parent.main or b.parent.article is not None
+        while True:  # with the forms around it; None stands for the page
+            size[form] = size.get(form, 0) + len(b.text)
+            named[form] = named.get(form, 0) + inside
+            if form is None:
+                break
+            form = form.parent.form
+    layout = {f for f in size if f is None or (named[f] == named[None] if named[None] else 2 * size[f] > size[None])}
+    for e in {b.parent for b in found}:
+        form = e.form
+        while form in layout and form is not None:
+            form = form.parent.form
+        if form is not None:
+            e.place, e.real, e.article = False, True, None
+
+
 def measures(b: Block) -> list[str]:
     """Names of the bins of a block's text measures."""
     n = len(b.text)
@@ -202,7 +236,7 @@ def learned(pages: DataFrame) -> dict[str, float]:
         for b in batches:
             for page in b.column(0):
                 for block in blocks(page.as_py()):
-                    if block.parent.place is not None:
+                    if block.parent.place is not None and not block.parent.soft:
                         for name in ("", *measures(block)):
                             seen.setdefault(name, [0, 0])[block.parent.place] += 1
         if seen:
@@ -216,9 +250,9 @@ def learned(pages: DataFrame) -> dict[str, float]:
 
 
 def score(b: Block, odds: dict[str, float]) -> float:
-    if b.parent.place is not None:
+    if b.parent.place is not None and not (b.parent.soft and b.parent.place):
         return PLACE_ODDS if b.parent.place else -PLACE_ODDS
-    return sum(odds.get(m, 0.0) for m in measures(b)) / 2
+    return (-HINT_ODDS if b.parent.soft else 0.0) + sum(odds.get(m, 0.0) for m in measures(b)) / 2
 
 
 def _common(a: Element, b: Element) -> int:
@@ -231,39 +265,67 @@ def _common(a: Element, b: Element) -> int:
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: source side) of the minimum cut, by shortest augmenting paths. A node
-    with a positive cost is tied to the source by it, one with a negative cost to the sink."""
+    """Labels (True: source side) of the minimum cut. A node with a positive cost is tied to the
+    source by it, one with a negative cost to the sink. Maximum flow by blocking flows: all
+    shortest paths of one length are filled in one walk, in which no edge is tried again once
+    it is full, so the work grows with the nodes and the few lengths that occur."""
     n = len(costs)
     source, sink = n, n + 1
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
 
-    def tie(a: int, b: int, ab: float, ba: float) -> None:
-        room[a][b] = room[a].get(b, 0.0) + ab
-        room[b][a] = room[b].get(a, 0.0) + ba
+    def tie(a: int, b: int, ab: float, ba: float) -> None:  # an edge and its way back are neighbours
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((ab, ba))
 
     for i, c in enumerate(costs):
         tie(source, i, c, 0.0) if c > 0 else tie(i, sink, -c, 0.0)
     for a, b, w in edges:
         tie(a, b, w, w)
     while True:
-        before = {source: source}
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in before:
+        while queue:
             a = queue.popleft()
-            for b, w in room[a].items():
-                if w > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if sink not in before:
-            return [i in before for i in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+            for e in out[a]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        tried = [0] * (n + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                full = 0
+                for k in range(len(path) - 1, -1, -1):
+                    room[path[k]] -= flow
+                    room[path[k] ^ 1] += flow
+                    if room[path[k]] <= 1e-9:
+                        full = k
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[a] < len(out[a]):
+                e = out[a][tried[a]]
+                if room[e] > 1e-9 and level[to[e]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            else:  # a dead end
+                if a == source:
+                    break
+                e = path.pop()
+                a = to[e ^ 1]
+                tried[a] += 1
+                continue
+            path.append(e)
+            a = to[e]
 
 
 def extract(page: str | None, odds: dict[str, float]) -> str:
