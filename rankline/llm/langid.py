@@ -2,8 +2,8 @@
 
 A text's vector holds its hashed character n-grams (1 to 3 characters, words apart) as
 normalised TF-IDF. Document frequencies are counted over all training rows. Each language gets
-several centroids: spherical k-means on at most ``SAMPLE`` of its rows, those with the smallest id
-hashes. The nearest centroid by cosine names the language; ``rejected`` tells that the text is
+several centroids: spherical k-means on at most ``SAMPLE`` of its rows, those with the smallest
+hashes of id and text. The nearest centroid by cosine names the language; ``rejected`` tells that the text is
 further from it than nearly all of the centroid's own members were.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if
@@ -107,13 +107,23 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.nd
     return c, (x @ c.T).argmax(1)
 
 
+def fitted_rows(train: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, h, text): for each language the ``sample`` rows with the smallest hashes of id and text,
+    rows that repeat both counted once. A threshold on the hash, from the language's count
+    of different rows, leaves a few times as many before any row is moved."""
+    h = F.xxhash64("doc_id", "text")
+    sizes = table(train.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")), "sizes")
+    low = F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= 3.0 * sample / F.col("n")
+    some = small_join(train.select("lang", h.alias("h"), "text"), sizes, ["lang"]).where(low).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return some.withColumn("r", rank).where(F.col("r") <= sample).drop("r")
+
+
 def centroids(train: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int = CENTROIDS) -> list[tuple[str, np.ndarray, float]]:
     """(language, unit centroid, radius as a cosine): at most ``k`` rows per language."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = table(train.select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= sample).select("lang", "doc_id").distinct(), "sample")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = [v for t in rows["text"].head(2 * sample) if (v := vector(t, idf)) is not None]  # head: rows that repeat ids
+        x = [v for t in rows.sort_values("h")["text"] if (v := vector(t, idf)) is not None]
         if not x:
             return pd.DataFrame({"lang": [], "centroid": [], "radius": []})
         x = np.array(x)
@@ -122,8 +132,7 @@ def centroids(train: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int =
         return pd.DataFrame({"lang": key[0], "centroid": list(c), "radius": [
             float(np.quantile(near[own == i], REJECT_SHARE)) if (own == i).any() else 0.0 for i in range(len(c))]})
 
-    rows = small_join(train.select("lang", "doc_id", "text"), ids, ["lang", "doc_id"], "left_semi")
-    found = rows.groupBy("lang").applyInPandas(run, "lang string, centroid array<double>, radius double")
+    found = fitted_rows(train, sample).groupBy("lang").applyInPandas(run, "lang string, centroid array<double>, radius double")
     return sorted(((r["lang"], np.array(r["centroid"]), r["radius"]) for r in found.collect()), key=lambda x: (x[0], x[1].tolist()))
 
 
