@@ -48,12 +48,34 @@ def whole_key() -> list[Column]:
     return [*row_key(), F.isnull("doc_id").alias("__none")]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def without(docs: DataFrame, dropped: DataFrame, **more: Column) -> DataFrame:
     """``docs`` without the rows whose ``whole_key``, and further key columns that are never
     null, are in the written table ``dropped``."""
+    return by_key(docs, dropped, "left_anti", **more)
+
+
+def by_key(docs: DataFrame, rows: DataFrame, how: str, **more: Column) -> DataFrame:
+    """``docs`` joined (``left_semi`` or ``left_anti``) with the keys of the written table ``rows``."""
     names = [*WHOLE_KEY, *more]
-    left = docs.withColumns(dict(zip(WHOLE_KEY, whole_key())) | more)
-    return small_join(left, dropped.select(*names).distinct(), names, "left_anti").drop(*names)
+    own = free_names(docs, *names)
+    left = docs.withColumns(dict(zip(own, [*whole_key(), *more.values()])))
+    right = rows.select(*[F.col(n).alias(o) for n, o in zip(names, own)]).distinct()
+    return small_join(left, right, own, how).select(*own_columns(docs))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

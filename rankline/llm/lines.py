@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankline.llm.common import BROADCAST_ROWS, row_key, table
+from rankline.llm.common import BROADCAST_ROWS, free_names, own_columns, row_key, table
 
 MIN_WORDS = 5
 LAST = (1 << 63) - 1  # the place of rows without an id
@@ -120,22 +120,27 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc", "__th", "line", F.nullif(F.col("kept.doc"), F.lit(LAST)).alias("kept_doc"), F.col("kept.line").alias("kept_line"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, gone: str = "__gone", kept_in: str = "__kept_in") -> DataFrame:
     """``docs`` with the remaining lines as text (and n_chars, where there is one, counted
-    anew), and with ``__gone`` (line numbers) and ``__kept_in`` (doc_ids of the earlier
-    lines); both are null where no line goes."""
-    gone = table(dropped_lines(docs), "gone").groupBy("doc", "__th").agg(
-        F.sort_array(F.collect_set("line")).alias("__gone"), F.sort_array(F.collect_set("kept_doc")).alias("__kept_in"))
-    gone = gone.withColumnRenamed("doc", "__id")
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__th": row_key()[1]})
-    d = keyed.join(gone, ["__id", "__th"], "left")
-    parts = F.split("text", "\n")
-    ends = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(parts)))
-    d = d.withColumns({"__ends": ends, "__parts": parts})
-    runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda k: F.slice(
-        "__parts", F.get("__ends", k) + 2, F.get("__ends", k + 1) - F.get("__ends", k) - 1))
-    text = F.when(F.col("__gone").isNotNull(), F.array_join(F.flatten(runs), "\n")).otherwise(F.col("text"))
+    anew), and with the columns ``gone`` (line numbers) and ``kept_in`` (doc_ids of the earlier
+    lines), names that ``docs`` must not have; both are null where no line goes."""
+    lost = table(dropped_lines(docs), "gone").groupBy("doc", "__th").agg(
+        F.sort_array(F.collect_set("line")).alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
+    key, th, ends, parts = free_names(docs, "__id", "__th", "__ends", "__parts")
+    lost = lost.select(F.col("doc").alias(key), F.col("__th").alias(th), F.col("gone").alias(gone), F.col("kept_in").alias(kept_in))
+    keyed = docs.withColumns({key: F.coalesce("doc_id", F.lit(LAST)), th: row_key()[1]})
+    d = keyed.join(lost, [key, th], "left")
+    split = F.split("text", "\n")
+    d = d.withColumns({ends: F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(split))), parts: split})
+    runs = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(
+        parts, F.get(ends, k) + 2, F.get(ends, k + 1) - F.get(ends, k) - 1))
+    text = F.when(F.col(gone).isNotNull(), F.array_join(F.flatten(runs), "\n")).otherwise(F.col("text"))
     d = d.withColumn("text", text)
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[f"`{c}`" for c in docs.columns], "__gone", "__kept_in")
+        d = d.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*own_columns(docs), gone, kept_in)
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the remaining lines as text, and no further columns."""
+    return deduplicated(docs, *free_names(docs, "__gone", "__kept_in")).select(*own_columns(docs))

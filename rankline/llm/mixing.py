@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankline.llm.common import WORD_BREAK, row_key, table
+from rankline.llm.common import WORD_BREAK, free_names, own_columns, row_key, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.93, "low": 0.05, "toxic": 0.02}  # shares of the corpus' tokens
@@ -166,9 +166,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """``docs`` with each row as often as its copies say. The rate is a function of the row,
     so it is computed in place and no text is shuffled."""
     lists, model, steps, _ = fitted(docs, labels, targets)
-    f = docs.withColumn("__f", features(F.col("text"), lists))
-    p = f.withColumn("__p", posteriors(F.col("__f"), model)).withColumn("__r", rate(F.col("__p"), steps))
+    f, p, r, n, copy = free_names(docs, "__f", "__p", "__r", "__n", "__copy")
+    d = docs.withColumn(f, features(F.col("text"), lists))
+    d = d.withColumn(p, posteriors(F.col(f), model)).withColumn(r, rate(F.col(p), steps))
     # A row number in the expression keeps the optimizer from copying all of it, text scans
     # included, into a filter on the number of copies.
-    n = p.withColumn("__n", F.when(F.monotonically_increasing_id() >= 0, copies(F.col("__r"), *row_key())))
-    return n.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in docs.columns])
+    d = d.withColumn(n, F.when(F.monotonically_increasing_id() >= 0, copies(F.col(r), *row_key())))
+    return d.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*own_columns(docs))

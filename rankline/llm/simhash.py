@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankline.llm.common import WHOLE_KEY, connected_components, row_key, small_join, table, whole_key, without
+from rankline.llm.common import WHOLE_KEY, by_key, connected_components, free_names, own_columns, row_key, table, whole_key, without
 
 SEED = 42
 BLOCK = 2048  # fingerprints of one bucket that a task compares with another such block
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of ``docs`` per component: that with the smallest doc_id (null after all others),
     of rows that repeat the id the one whose text has the smallest hash, and of rows that
-    repeat the text too the smallest by all columns."""
+    repeat the text too the first as they are written."""
     rows = table(fingerprints(docs, shingle), "fingerprints")
     key = whole_key()
     place = F.struct(key[2], key[0], "__th")
@@ -155,7 +155,9 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     again = table(found.where("place = kept").groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place.*"), "repeated")
     if again.isEmpty():
         return left
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    some = small_join(docs.withColumns(dict(zip(WHOLE_KEY, key))), again, WHOLE_KEY, "left_semi")
-    one = some.groupBy(*WHOLE_KEY).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    repeated = by_key(docs, again, "left_semi")
+    number, *key = free_names(docs, "__row", *WHOLE_KEY)
+    numbered = table(repeated.withColumns({number: F.monotonically_increasing_id()} | dict(zip(key, whole_key()))), "numbered")  # written: numbers stay
+    first = numbered.groupBy(*key).agg(F.min(number).alias(number)).select(number)
+    one = numbered.join(first, number, "left_semi").select(*own_columns(docs))
     return without(left, again).unionByName(one)
