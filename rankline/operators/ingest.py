@@ -2,12 +2,10 @@
 (J2), the upsert outcomes (M1-M3) and their statistics (A3, A4, A10).
 
 Payloads of a batch are applied in ``seq`` order, and later ones see earlier effects.
-That fold is only needed where payloads interact: a payload whose identity component holds
-no other payload and at most one stored row (the *single* case) gets the same result from
-a plain set-based join. Singles run natively (joins + column rules); the remaining
-components are labelled by connected components over their identity keys and folded per
-component with ``applyInPandas`` on narrow columns (text rules are computed natively
-before, so Python does no text work).
+That order only matters where payloads interact. Chains, groups of payloads that can only reach
+one row, run natively (joins, lags and column rules); of the rest, identity components that a
+task can hold are folded in order, on narrow columns (text rules are computed natively
+before, so Python does no text work), and larger ones are settled as sets by ``settle``.
 """
 
 from __future__ import annotations
@@ -18,17 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankline.session import cut_lineage
 from pyspark.sql import types as T
 
+from rankline.session import cut_lineage
 from rankline.functions import text as TX
-from rankline.operators import rules
+from rankline.operators import rules, settle
 
 COMPARED = ["title", "company", "url", "description_raw", "location", "salary", "created_at"]
 PAYLOAD_COLS = ["seq", "external_id", "title", "company", "url", "source", "description_raw",
                 "search_keyword", "location", "salary", "created_at"]
 OUTCOMES = ["inserted", "updated", "skipped", "discarded", "failed"]
 GATE_THRESHOLD = 3
+LARGEST = 20_000  # payloads and rows of a component that one task folds
+LOOKUP = 250_000  # payloads whose key hashes or row ids (8 bytes each) are broadcast
 # Length limits enforced by the store (strings over them fail the payload alone).
 MAX_LEN = {"external_id": 255, "title": 255, "company": 255, "location": 255, "salary": 255,
            "source": 50}
@@ -57,23 +57,37 @@ def validate(payloads: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J1
-def _ext_join_key(col: Column, seq: Column) -> Column:
-    """Null external ids never match; give each a distinct key so the join does not pile
-    them into one partition."""
-    return F.coalesce(col, F.concat(F.lit("\u0000"), seq.cast("string")))
+def rows_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored rows with the ``ids`` (distinct, column ``id``). At most ``LOOKUP`` ids are
+    broadcast, so the stored rows are scanned but not shuffled; more are joined by a shuffle."""
+    ids = cut_lineage(ids)
+    few = ids.limit(LOOKUP + 1).count() <= LOOKUP
+    return stored.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _holders(stored: DataFrame, keys: Sequence[str], wanted: DataFrame, few: bool) -> DataFrame:
+    """Key columns and id of the stored rows that may hold one of the ``wanted`` keys: for few
+    payloads only those with the hash of one of them (8 bytes a payload are broadcast), so no
+    stored row is shuffled but the ones found."""
+    rows = stored.where(F.col(keys[-1]).isNotNull()).select(*keys, "id")
+    if not few:
+        return rows
+    hashes = wanted.where(F.col(keys[-1]).isNotNull()).select(F.xxhash64(*keys).alias("__h")).distinct()
+    return rows.withColumn("__h", F.xxhash64(*keys)).join(F.broadcast(hashes), "__h", "left_semi").drop("__h")
 
 
 def identity_match(stored: DataFrame, payloads: DataFrame) -> DataFrame:
     """``seq, e_id, u_id, matched_id, match_kind``. By ``(source, external_id)`` when
     the id is set, else (or when not found) by ``(source, url)``. Works on key columns only;
-    stored keys are unique, so each payload matches at most one row per key."""
-    p = payloads.select("seq", "source", "external_id", "url")
-    st_e = stored.where(F.col("external_id").isNotNull()).select(
-        "source", F.col("external_id").alias("__ek"), F.col("id").alias("e_id")
-    )
-    st_u = stored.select("source", "url", F.col("id").alias("u_id"))
-    m = p.withColumn("__ek", _ext_join_key(F.col("external_id"), F.col("seq")))
-    m = m.join(st_e, ["source", "__ek"], "left").join(st_u, ["source", "url"], "left")
+    stored keys are unique, so each payload matches at most one row per key. Payloads without
+    an id are not joined by it, so they do not pile into one partition."""
+    p = cut_lineage(payloads.select("seq", "source", "external_id", "url"))
+    few = p.limit(LOOKUP + 1).count() <= LOOKUP
+    st_e = _holders(stored, ["source", "external_id"], p, few).withColumnRenamed("id", "e_id")
+    st_u = _holders(stored, ["source", "url"], p, few).withColumnRenamed("id", "u_id")
+    named = p.where(F.col("external_id").isNotNull()).join(st_e, ["source", "external_id"], "left")
+    m = named.unionByName(p.where(F.col("external_id").isNull()).withColumn("e_id", F.lit(None).cast("long")))
+    m = m.join(st_u, ["source", "url"], "left")
     return m.select(
         "seq", "source", "external_id", "url", "e_id", "u_id",
         F.coalesce("e_id", "u_id").alias("matched_id"),
@@ -123,8 +137,9 @@ def chain_flags(matches: DataFrame, ext_chains: bool = True) -> DataFrame:
         )
         .groupBy("sid").agg(F.count(F.lit(1)).alias("n_touch"))
     )
-    x = m.join(n_e, ["source", "external_id"], "left").join(
-        n_eg, ["source", "url", "external_id"], "left")
+    # payloads without an id are not joined by it: they would all meet under one null key
+    x = m.where(has_ext).join(n_e, ["source", "external_id"]).join(n_eg, ["source", "url", "external_id"])
+    x = x.unionByName(m.where(~has_ext), allowMissingColumns=True)
     g = x.groupBy("source", "url").agg(
         F.count(F.lit(1)).alias("n_g"),
         F.max("u_id").alias("t_u"),
@@ -190,7 +205,8 @@ def _ext_chains(f: DataFrame) -> DataFrame:
           & (F.col("t_e").isNull() | (F.col("n_touch") == F.col("n_ge"))))
     g = g.where(ok).select("source", "external_id", F.col("t_e").alias("__t"),
                            F.col("n_ge").alias("__n"), F.lit(True).alias("__ext_chain"))
-    out = f.join(g, ["source", "external_id"], "left")
+    out = f.where(F.col("external_id").isNotNull()).join(g, ["source", "external_id"], "left")
+    out = out.unionByName(f.where(F.col("external_id").isNull()), allowMissingColumns=True)
     is_e = F.coalesce(F.col("__ext_chain"), F.lit(False)) & ~F.col("chain")
     return (
         out.withColumn("target", F.when(is_e, F.col("__t")).otherwise(F.col("target")))
@@ -253,7 +269,8 @@ def chain_path(
     without a target, classification for the chain's last writer). Chains of one payload
     (most of them) need no ordering and no grouping: they are computed row by row."""
     chain = flags.where("chain").select("seq", "target", "n_g", "chain_key")
-    cur = stored.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("cur"))
+    wide = rows_of(stored, chain.select(F.col("target").alias("id")).where("id is not null").distinct())
+    cur = wide.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("cur"))
     c = payloads.join(chain, "seq").withColumn("__f", F.struct(*COMPARED))
     ftype = c.schema["__f"].dataType
     one = (c.where(F.col("n_g") == 1).withColumn("__prev", F.lit(None).cast(ftype))
@@ -461,79 +478,73 @@ def _fold_component(pdf: pd.DataFrame) -> list[dict]:
     return recs
 
 
-def _fingerprint(df: DataFrame) -> Column:
-    """The compared fields themselves, as text (timestamps in their canonical form): the
-    fold compares real values, so no hash collision can hide a change. Only the interacting
-    payloads left to the fold carry them."""
-    return F.array(*[F.col(c).cast("string") for c in COMPARED])
+def _fingerprint() -> Column:
+    """A 128-bit hash of the compared fields: neither a round nor the fold sees their texts."""
+    return settle.hash128([F.col(c) for c in COMPARED])
 
 
 def folded_empty(spark) -> DataFrame:
     return spark.createDataFrame([], FOLD_SCHEMA)
 
 
-def fold_path(
-    stored: DataFrame, payloads: DataFrame, flags: DataFrame, as_of: Column
-) -> DataFrame:
-    """W4 for the non-single payloads: component labels over identity keys, then the exact
-    fold per component. Returns the same columns as ``chain_path``."""
-    multi = flags.where(~F.col("chain")).select("seq", "source", "external_id", "url",
-                                               "e_id", "u_id")
+def fold_path(stored: DataFrame, payloads: DataFrame, flags: DataFrame) -> DataFrame:
+    """W4 for the payloads outside chains, as ``FOLD_SCHEMA`` rows. Identity components of at
+    most ``LARGEST`` payloads and rows are folded in order, each in one task. Larger ones are
+    settled as sets over many tasks; a component of which some payloads still change after
+    the last round is folded in order too."""
+    multi = flags.where(~F.col("chain")).select("seq", "e_id", "u_id")
     if multi.limit(1).count() == 0:
         return folded_empty(stored.sparkSession)
-    pay_edges = multi.select(
-        F.col("seq").alias("pnode"), "source",
-        F.array(
-            F.when(F.col("external_id").isNotNull(), F.concat_ws("\u0001", F.lit("e"), "source", "external_id")),
-            F.concat_ws("\u0001", F.lit("u"), "source", "url"),
-        ).alias("keys"),
-    )
-    touched_ids = multi.select(F.col("e_id").alias("id")).unionByName(
-        multi.select(F.col("u_id").alias("id"))).where(F.col("id").isNotNull()).distinct()
-    st = stored.join(touched_ids, "id", "left_semi")
-    st_edges = st.select(
-        F.col("id").alias("snode"),
-        F.array(
+    p = cut_lineage(payloads.join(multi, "seq").select(
+        "seq", "source", "external_id", "url", "e_id", "u_id", F.col("search_keyword").alias("kw"),
+        "passes", "rule_status", "rule_reason", _fingerprint().alias("fp")))
+    touched = p.select(F.explode(F.array("e_id", "u_id")).alias("id")).where("id is not null").distinct()
+    rows = cut_lineage(rows_of(stored, touched).select(
+        "id", "source", "external_id", "url", _fingerprint().alias("fp"),
+        F.col("search_keywords").alias("keywords"), "status", "filter_reason"))
+    label = _labels(p, rows)
+    p = p.join(label.where("node % 2 = 1").select(((F.col("node") - 1) / 2).cast("long").alias("seq"), "comp"), "seq")
+    rows = rows.join(label.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("id"), "comp"), "id")
+    large = cut_lineage(label.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST).select("comp"))
+    if large.isEmpty():
+        return cut_lineage(_folded_in_order(p, rows))
+    p, rows = cut_lineage(p), cut_lineage(rows)
+    g, done = settle.settled(cut_lineage(p.join(large, "comp", "left_semi")), cut_lineage(rows.join(large, "comp", "left_semi")))
+    calm = large if done else cut_lineage(large.join(g.where("moved").select("comp").distinct(), "comp", "left_anti"))
+    sets = _folded(g.join(calm, "comp", "left_semi"), rows.join(calm, "comp", "left_semi"))
+    return cut_lineage(sets.unionByName(_folded_in_order(p.join(calm, "comp", "left_anti"), rows.join(calm, "comp", "left_anti"))))
+
+
+def _folded(g: DataFrame, rows: DataFrame) -> DataFrame:
+    """Settled payloads and the rows they leave, as ``FOLD_SCHEMA``."""
+    outs = g.select("seq", "outcome", F.col("row").alias("row_key"))
+    fin = settle.final_rows(g, rows).withColumnRenamed("row", "row_key").withColumn("outcome", F.lit("row"))
+    both = outs.unionByName(fin, allowMissingColumns=True).withColumn("comp", F.lit(None).cast("long"))
+    return both.select(*[F.col(f.name).cast(f.dataType) for f in FOLD_SCHEMA.fields])
+
+
+def _labels(p: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, comp): payloads as 2 * seq + 1 and stored rows as 2 * id (one id space)."""
+    def keys() -> Column:
+        return F.explode(F.array(
             F.when(F.col("external_id").isNotNull(), F.concat_ws("\u0001", F.lit("e"), "source", "external_id")),
-            F.concat_ws("\u0001", F.lit("u"), "source", "url"),
-        ).alias("keys"),
-    )
-    # node ids: payloads as 2*seq+1, stored rows as 2*id (one id space for the labels)
-    edges = (
-        pay_edges.select((F.col("pnode") * 2 + 1).alias("node"), F.explode("keys").alias("key"))
-        .unionByName(st_edges.select((F.col("snode") * 2).alias("node"), F.explode("keys").alias("key")))
-        .where(F.col("key").isNotNull())
-    )
-    lab = components(edges)
-    p_rows = (
-        payloads.join(multi.select("seq"), "seq", "left_semi")
-        .join(lab.where(F.col("node") % 2 == 1)
-              .select(((F.col("node") - 1) / 2).cast("long").alias("seq"), F.col("label").alias("comp")), "seq")
-        .select(
-            "comp", F.lit("p").alias("kind"), "seq", F.lit(None).cast("long").alias("id"),
-            "source", "external_id", "url", _fingerprint(payloads).alias("fp"),
-            F.lit(None).cast("array<string>").alias("keywords"), "search_keyword",
-            F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("filter_reason"),
-            "passes", "rule_status", "rule_reason",
-        )
-    )
-    s_rows = (
-        st.join(lab.where(F.col("node") % 2 == 0).select((F.col("node") / 2).cast("long").alias("id"),
-                                                         F.col("label").alias("comp")), "id")
-        .select(
-            "comp", F.lit("s").alias("kind"), F.lit(None).cast("long").alias("seq"), "id",
-            "source", "external_id", "url", _fingerprint(st).alias("fp"),
-            F.col("search_keywords").alias("keywords"), F.lit(None).cast("string").alias("search_keyword"),
-            "status", "filter_reason", F.lit(None).cast("boolean").alias("passes"),
-            F.lit(None).cast("string").alias("rule_status"), F.lit(None).cast("string").alias("rule_reason"),
-        )
-    )
-    # each component lands whole in one partition, rows of a component contiguous; the
-    # fold streams over the partition and runs one component at a time
-    n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = p_rows.unionByName(s_rows).repartition(n, "comp").sortWithinPartitions("comp")
-    folded = rows.mapInPandas(_fold_stream, FOLD_SCHEMA)
-    return cut_lineage(folded)
+            F.concat_ws("\u0001", F.lit("u"), "source", "url")))
+
+    edges = p.select((F.col("seq") * 2 + 1).alias("node"), keys().alias("key")).unionByName(rows.select((F.col("id") * 2).alias("node"), keys().alias("key")))
+    return components(edges.where(F.col("key").isNotNull())).withColumnRenamed("label", "comp")
+
+
+def _folded_in_order(p: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sequential fold per component. Each component lands whole in one partition, its rows
+    contiguous; the fold streams over the partition and runs one component at a time."""
+    fp = F.array("fp.a", "fp.b").alias("fp")
+    p_rows = p.select("comp", F.lit("p").alias("kind"), "seq", F.lit(None).cast("long").alias("id"), "source", "external_id", "url", fp,
+                      F.lit(None).cast("array<string>").alias("keywords"), F.col("kw").alias("search_keyword"), F.lit(None).cast("string").alias("status"),
+                      F.lit(None).cast("string").alias("filter_reason"), "passes", "rule_status", "rule_reason")
+    s_rows = rows.select("comp", F.lit("s").alias("kind"), "id", "source", "external_id", "url", fp, "keywords", "status", "filter_reason")
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = p_rows.unionByName(s_rows, allowMissingColumns=True).repartition(n, "comp").sortWithinPartitions("comp")
+    return both.mapInPandas(_fold_stream, FOLD_SCHEMA)
 
 
 def _fold_stream(batches):
@@ -561,7 +572,8 @@ def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_o
     fin = folded.where(F.col("outcome") == "row").select(
         "row_key", "src_seq", "keywords", F.col("status").alias("f_status"),
         F.col("filter_reason").alias("f_reason"), "first_seen_new", "touched", "row_ext")
-    cur = stored.select(F.col("id").alias("row_key"), F.struct(*stored.columns).alias("cur"))
+    wide = rows_of(stored, outs.where("row_key >= 0").select(F.col("row_key").alias("id")).distinct())
+    cur = wide.select(F.col("id").alias("row_key"), F.struct(*stored.columns).alias("cur"))
     src = payloads.select(F.col("seq").alias("src_seq"), F.struct(*payloads.columns).alias("src"))
     j = outs.join(fin, "row_key", "left").join(cur, "row_key", "left").join(src, "src_seq", "left")
     own = payloads.select(F.col("seq"), F.struct(*payloads.columns).alias("own"))
@@ -627,7 +639,7 @@ def upsert_outcomes(
         text_rules = cut_lineage(payload_rules(multi, include, exclude).select(
             "seq", "passes", "rule_status", "rule_reason"))
         multi = multi.join(text_rules, "seq")
-        folded = fold_path(stored, multi, flags, as_of)
+        folded = fold_path(stored, multi, flags)
         res = res.unionByName(fold_results(stored, multi, folded, as_of))
     res = res.withColumn("error", F.lit(None).cast("string"))
     failed = bad.select("seq", F.lit("failed").alias("outcome"), "source",
