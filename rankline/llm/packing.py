@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankline.llm.common import table
-from rankline.llm.tokens import END_ID, encoded
+from rankline.llm.tokens import END_ID, encoded, encoder
 
 CAPACITY = 1024
 
@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"])
+        encoder(path).rest()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long")

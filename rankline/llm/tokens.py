@@ -36,7 +36,10 @@ from pyspark.sql.window import Window
 from rankline.llm.common import table, work_folder
 
 END_ID = 2
-CACHE_PIECES = 1_000_000  # pieces kept by a worker; beyond it the cache starts anew
+CACHE_PIECES = 400_000  # pieces kept by a worker, about 300 bytes each; further ones are encoded each time
+IDLE_PIECES = 100_000  # of these, kept when a task ends: the first ones, which are mostly the frequent ones
+PART_BYTES = 256 << 20  # text of a part, about
+ROWS = 8192  # documents of a batch read back
 
 # The split pattern of the byte-level BPE, for texts of the plain characters below only.
 PIECE = re.compile(r"'(?:[std]|re|ve|m|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -61,7 +64,9 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         found = self.tokenize(piece.encode().decode("latin-1").translate(self.form))
-        self[piece] = ids = b"".join([self.raw[t.id] for t in found])
+        ids = b"".join([self.raw[t.id] for t in found])
+        if len(self) < CACHE_PIECES:
+            self[piece] = ids
         return ids
 
 
@@ -81,11 +86,15 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.cuts or NOT_PLAIN.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
+    def rest(self) -> None:
+        """Called at the end of a task: a worker that waits keeps few pieces."""
+        for piece in list(self.pieces)[IDLE_PIECES:]:
+            del self.pieces[piece]
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> Encoder:
     return Encoder(path or tokenizer_path())
@@ -113,23 +122,29 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
         fs, at = _open(folder)
         fs.create_dir(at, recursive=True)
-        offsets, ids = [0], []
-        with fs.open_output_stream(f"{at}/tokens-{name}.bin") as out:
+        n_docs, last = 0, 0
+        with (fs.open_output_stream(f"{at}/tokens-{name}.bin") as tokens, fs.open_output_stream(f"{at}/offsets-{name}.bin") as offsets,
+              fs.open_output_stream(f"{at}/ids-{name}.bin") as ids):
+            offsets.write(np.array([0], dtype="<i8").tobytes())
             for b in batches:
-                ids.append(b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-                for raw in encoded(b.column(1), path, end_id):
-                    out.write(np.frombuffer(raw, dtype="<u4").astype(kind).tobytes())
-                    offsets.append(offsets[-1] + len(raw) // 4)
-        for what, numbers in (("offsets", np.array(offsets)), ("ids", np.concatenate(ids or [np.empty(0)]))):
-            with fs.open_output_stream(f"{at}/{what}-{name}.bin") as out:
-                out.write(numbers.astype("<i8").tobytes())
-        if len(offsets) > 1:
-            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(offsets) - 1, "n_tokens": offsets[-1]}], schema=pa.schema([
+                ids.write(b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                ends = np.empty(b.num_rows, dtype="<i8")
+                for i, raw in enumerate(encoded(b.column(1), path, end_id)):
+                    tokens.write(np.frombuffer(raw, dtype="<u4").astype(kind).tobytes())
+                    last += len(raw) // 4
+                    ends[i] = last
+                offsets.write(ends.tobytes())
+                n_docs += b.num_rows
+        encoder(path).rest()
+        if n_docs:
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_tokens": last}], schema=pa.schema([
                 ("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    order = ["doc_id", F.xxhash64("text")]  # rows that share an id, or have none, are spread by their texts
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     made = table(ordered.mapInArrow(run, "part int, name string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
@@ -142,22 +157,30 @@ def read_files(manifest: DataFrame, folder: str, vocabulary: int = 50_257) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _open(folder)
+
+        def source(what: str, row: dict) -> pa.NativeFile:
+            file = f"{at}/{what}-{row['name']}.bin"
+            return pa.memory_map(file) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(file)
+
+        def numbers(file: pa.NativeFile, lo: int, hi: int, kind: np.dtype) -> np.ndarray:
+            file.seek(lo * kind.itemsize)
+            return np.frombuffer(file.read_buffer((hi - lo) * kind.itemsize), dtype=kind)
+
+        long = np.dtype("<i8")
         for b in batches:
             for row in b.to_pylist():
-                load = lambda what: np.frombuffer(fs.open_input_stream(f"{at}/{what}-{row['name']}.bin").read(), dtype="<i8")
-                offsets, ids = load("offsets"), load("ids")
-                file = f"{at}/tokens-{row['name']}.bin"
-                source = pa.memory_map(file) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(file)
-                crc = np.empty(len(ids), dtype=np.int64)
-                for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    source.seek(lo * kind.itemsize)
-                    crc[i] = zlib.crc32(np.frombuffer(source.read_buffer((hi - lo) * kind.itemsize), dtype=kind).astype("<u4").tobytes())
-                source.close()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crc),
-                ], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    some = manifest.select("name", "base").repartition("name")
+                with source("offsets", row) as at_offsets, source("ids", row) as at_ids, source("tokens", row) as at_tokens:
+                    for lo in range(0, row["n_docs"], ROWS):
+                        hi = min(lo + ROWS, row["n_docs"])
+                        offsets, ids = numbers(at_offsets, lo, hi + 1, long), numbers(at_ids, lo, hi, long)
+                        crc = np.array([zlib.crc32(numbers(at_tokens, x, y, kind).astype("<u4").tobytes())
+                                        for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crc),
+                        ], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    # a number of partitions that is given is kept: as many tasks as parts read
+    some = manifest.select("part", "name", "base", "n_docs").repartitionByRange(max(1, manifest.count()), "part")
     return some.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
