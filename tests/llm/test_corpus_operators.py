@@ -7,10 +7,12 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -390,10 +392,50 @@ def test_marked_articles_beside_the_main_text():
     for name in ("article", "main"):
         page = f"<{name}><p>Text.</p></{name}><div class='comments'><article>Nice</article></div><div class='related'><article>Teaser</article></div>"
         assert html.extract(page, {}) == "Text."
-    assert html.extract("<aside><div class=has-sidebar><article>Aside</article></div></aside><form><main>Form</main></form>", {}) == ""
+    assert html.extract("<aside><div class=has-sidebar><article>Aside</article></div></aside><form>Form</form><nav><main>Menu</main></nav>", {}) == ""
     assert html.extract("<div id='page-with-menu' role='main'><p>Text.</p></div>", {}) == html.extract("<div role='main' id='page-with-menu'><p>Text.</p></div>", {}) == "Text."
 
 
+@pytest.fixture(scope="module")
+def odds(spark):
+    return html.learned(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+SENTENCES = "A full sentence stands here and goes on for a while. " * 4
+BODY = f"<p>{SENTENCES}</p>"
+
+
+@pytest.mark.parametrize("page,n", [
+    (f"<form id='aspnetForm'><label>Search</label><input><button>go</button>{BODY * 3}</form>", 3),
+    (f"<form><article>{BODY * 2}</article></form>", 2),
+    (f"<form><div class='has-sidebar'><main>{BODY}</main><form><p>Sign up today, please.</p></form></div></form>", 1),
+    (f"<article>{BODY}</article><form><label>Name</label><p>Sign up for our list today, please.</p></form>", 1),
+    (f"{BODY * 2}<form><p>Sign up for our list today, please.</p></form>", 2),
+    (f"<div aria-hidden='true'><article>{BODY}</article></div><div role='dialog'><p>{SENTENCES}</p></div>", 1),
+    (f"<div aria-hidden=true>{BODY}</div><div role='dialog'>Take it</div>", 1),
+    (f"<article>{BODY}</article><div hidden>{BODY}</div><div style='display: none'>{BODY}</div><p style=visibility:hidden>{SENTENCES}</p>", 1),
+    (f"<article>{BODY}<div hidden>{BODY}</div>{BODY}</article>", 2),
+    (f"<article><section id='market-share'>{BODY * 2}</section></article>", 2),
+    (f"<article>{BODY}<div class='restaurant-menu'>{BODY * 2}</div></article>", 3),
+    (f"<article>{BODY}<div class='share-buttons'><a href=x>Tweet</a> <a href=y>Post</a></div>{BODY}</article>", 2),
+    (f"<article>{BODY}<div class='ad'>Buy now, cheap.</div>{BODY}</article>", 2),
+])
+def test_forms_hidden_blocks_and_hints(odds, page, n):
+    whole = f"<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>{page}<footer>(c) Site</footer></body></html>"
+    assert html.extract(whole, odds) == "\n\n".join([SENTENCES.strip()] * n)
+
+
+def test_time_of_a_long_page_grows_with_its_length(odds):
+    unit = BODY + "<ul><li><a href=x>One</a></li><li><a href=y>Two three</a></li></ul><div><a>ab</a></div>"
+
+    def seconds(n):
+        began = time.process_time()
+        assert html.extract("<body>" + unit * n, odds).count(SENTENCES.strip()) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 24 * max(seconds(1000), 0.05)
+
+
 def test_layout_wrapper_without_landmarks(spark):
     odds = html.learned(spark.read.parquet(f"{SF}/pages.parquet"))
     words = sentence(random.Random(2), 60).capitalize() + "."
@@ -433,6 +475,54 @@ def test_html_odd_rows_and_empty(spark):
     assert html.main_text(spark.createDataFrame([], schema)).count() == 0
 
 
+# Language ID against a plain version
+
+
+def plain_language_id(rows):
+    """Whole-table numpy version: every training row in one matrix per language."""
+    train = sorted({(lang, i, t) for i, t, lang in rows if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1}, key=str)
+    found = [(lang, langid.counts(t)) for lang, _, t in train]
+    held = [c > 0 for _, c in found if c is not None]
+    idf = np.log((1 + len(held)) / (1 + np.sum(held, axis=0))) + 0.05
+    parts = []
+    for lang in sorted({x[0] for x in train}):
+        x = np.array([langid.vector(t, idf) for n, _, t in train if n == lang and langid.counts(t) is not None])
+        c, _ = langid._cluster(x, langid.CENTROIDS)
+        parts += [(lang, y) for y in c]
+    out = {}
+    for i, t, _ in rows:
+        v = langid.vector(t, idf)
+        near = [(y @ v, lang) for lang, y in parts] if v is not None else []
+        out[i] = max(near)[1] if near else "und"
+    return out
+
+
+def test_language_id_agrees_with_a_plain_version(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(documents(spark, rows)).collect()}
+    want = plain_language_id(rows)  # the same rows, in another order of the start
+    assert np.mean([got[i] == want[i] for i in want]) > 0.99
+
+
+def test_language_sample_of_repeated_rows(spark):
+    rows = [(i % 7, f"the same row {i % 7}", "en") for i in range(3000)] + [(10 + i, f"ein anderer Satz {i}", "de") for i in range(900)]
+    got = langid.fitted_rows(documents(spark, rows), sample=50).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"en": 7, "de": 50}
+
+
+# Token files: tasks that read
+
+
+def test_as_many_tasks_read_as_there_are_parts(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"text {i}", "en") for i in range(400)]  # a third without an id
+    made = tokens.write_files(documents(spark, rows), str(tmp_path))
+    parts = made.collect()
+    assert len(parts) == 8 and max(p["n_docs"] for p in parts) < 120
+    read = tokens.read_files(made, str(tmp_path))
+    assert read.count() == 400
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() >= 7
+
+
 # Pipeline
 
 
@@ -464,6 +554,21 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in five)
 
 
+def test_pipeline_keeps_columns_with_clashing_names(spark):
+    import corpus_pipeline as c
+
+    names = ["__id", "__th", "__none", "__lang", "__gone", "__kept_in", "__n", "__copy", "__ends", "__parts", "__row", "___id"]
+    d = documents(spark, [*odd_rows(), *[(50 + i, sentence(random.Random(i), 40) + "\nfirst second third fourth fifth", "en") for i in range(30)]])
+    d = d.withColumns({n: F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-5)).cast("string")) for n in names})
+    d = d.withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    for title, stage in c.STAGES[:-1]:
+        after = stage(spark, d, SF)
+        assert after.columns == d.columns, title
+        for r in after.collect():
+            assert all(r[n] == f"{n}{-5 if r['doc_id'] is None else r['doc_id']}" for n in names) and r["tags"] == {"a": r["doc_id"]}, title
+        d = after
+
+
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline as c
 
