@@ -24,6 +24,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import Counter
@@ -194,6 +195,7 @@ def ends(parts: list[bytes]) -> list[int]:
 
 @lru_cache(maxsize=1)
 def aligner(paths: tuple[str, str] | None = None) -> Aligner:
+    gc.set_threshold(200_000, 50, 50)  # a worker's many short lists hold no cycles
     return Aligner(*(paths or tokenizer_paths()))
 
 
