@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of ``docs`` per component: that with the smallest doc_id (null after all others),
     of rows that repeat the id the one whose text has the smallest hash, and of rows that
-    repeat the text too the first as they are written."""
+    repeat the text too the smallest by all columns but maps (of equal ones the first as they are written)."""
     rows = table(fingerprints(docs, shingle), "fingerprints")
     key = whole_key()
     place = F.struct(key[2], key[0], "__th")
@@ -158,6 +158,8 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     repeated = by_key(docs, again, "left_semi")
     number, *key = free_names(docs, "__row", *WHOLE_KEY)
     numbered = table(repeated.withColumns({number: F.monotonically_increasing_id()} | dict(zip(key, whole_key()))), "numbered")  # written: numbers stay
-    first = numbered.groupBy(*key).agg(F.min(number).alias(number)).select(number)
+    ordered = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(ordered)], F.col(number).alias("number"))
+    first = numbered.groupBy(*key).agg(F.min(place).alias("place")).select(F.col("place.number").alias(number))
     one = numbered.join(first, number, "left_semi").select(*own_columns(docs))
     return without(left, again).unionByName(one)
