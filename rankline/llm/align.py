@@ -28,7 +28,7 @@ import gc
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
@@ -47,6 +47,7 @@ STRETCHES = 300_000  # different stretches that a worker keeps; beyond it all bu
 COUNTS = 5  # of a stretch: whether it has an alignment, tokens of A and of B, groups, links
 NO_BORDER = re.compile(r"  |\r|'(?:[std]|re|ve|m|ll)[^\W\d_]")
 PAIR = 1 << 24  # pair key: A id * PAIR + B id
+SHORT = 12  # tokens of both lists up to which a worker remembers the groups of two lists of ends
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -55,7 +56,7 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
     """Indices in ``a`` and in ``b`` (both strictly ascending) of the numbers that both hold."""
     if len(a) > len(b):
         j, i = common_ends(b, a)
@@ -78,13 +79,30 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return at_a, at_b
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
+def groups(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int, int, int]]:
     """(from and upto in a, from and upto in b) of each group of tokens between common ends."""
     at_a, at_b = common_ends(ends_a, ends_b)
     upto = [(i + 1, j + 1) for i, j in zip(at_a, at_b)]
     return [(i, m, j, n) for (i, j), (m, n) in zip([(0, 0), *upto], upto)]
 
 
+@lru_cache(maxsize=20_000)
+def short_groups(ends_a: tuple[int, ...], ends_b: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
+    """``groups`` of short lists: different words mostly have ends that another word had."""
+    return groups(ends_a, ends_b)
+
+
+class Decimals(dict):
+    """Ids as decimal strings, at most one for each entry of a vocabulary."""
+
+    def __missing__(self, i: int) -> str:
+        self[i] = str(i)
+        return self[i]
+
+
+DECIMALS = Decimals()
+
+
 def overlaps(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """For each token of a, the range (from, upto) of b's tokens that share a byte with it."""
     b = np.array(ends_b, dtype=np.int64)
@@ -100,7 +118,7 @@ class Alignment(NamedTuple):
     groups: list[tuple[int, int, int, int]]
 
     def digest(self) -> str:
-        a, b = list(map(str, self.a)), list(map(str, self.b))
+        a, b = list(map(DECIMALS.__getitem__, self.a)), list(map(DECIMALS.__getitem__, self.b))
         if len(self.groups) == 1:
             return f"{','.join(a)}|{','.join(b)}"
         return ";".join([f"{','.join(a[i:m])}|{','.join(b[j:n])}" for i, m, j, n in self.groups])
@@ -141,6 +159,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.size_b = list(map(len, self.bytes_b))
         whole = [x for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         # Borders are sure if no entry of B holds two kinds of characters, or white space but at its front.
         self.borders = not any(kind(x) != kind(y) for n in whole for x, y in zip(n.lstrip("▁"), n.lstrip("▁")[1:]) if not NOT_PLAIN.search(x + y)) \
@@ -161,18 +180,18 @@ class Aligner:
         always gives back the bytes of a stretch, B's tokens are checked.)"""
         # A line feed is a byte token: nothing behind it depends on the space that B puts first.
         in_b = self.b.encode(["\n" + s for s in found], num_threads=1)
-        tokenize, form, size_a, bytes_b = self.a.model.tokenize, self.form, self.size_a, self.bytes_b
+        tokenize, form, size_a, bytes_b, size_b = self.a.model.tokenize, self.form, self.size_a, self.bytes_b, self.size_b
         for s, b in zip(found, in_b):
             raw = s.encode()
             a = [t.id for t in tokenize(raw.decode("latin-1").translate(form))]
             del b[:2]
-            parts = [bytes_b[i] for i in b]
-            if b"".join(parts) != raw:
+            if b"".join([bytes_b[i] for i in b]) != raw:
                 yield None
             elif len(a) == 1 or len(b) == 1:
                 yield Alignment(a, b, [(0, len(a), 0, len(b))])
             else:
-                yield Alignment(a, b, groups(list(accumulate([size_a[i] for i in a])), ends(parts)))
+                find = short_groups if len(a) + len(b) <= SHORT else groups
+                yield Alignment(a, b, find(tuple(accumulate([size_a[i] for i in a])), tuple(accumulate([size_b[i] for i in b]))))
 
     def aligned(self, a: list[int], b: list[int], raw: bytes) -> Alignment | None:
         in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
