@@ -2,7 +2,9 @@
 
 Templates and texts are word sequences (lower-case letters and digits). A template's k-grams
 are winnowed: of every ``WINDOW`` neighbours the one with the smallest hash is kept, and an inverted
-index leads from it to its places in templates. A text's k-grams are looked up in it; hits of
+index leads from it to its places in templates. Of a template below ``SHORT`` words all pairs of
+neighbours are kept: a fifth of its words may change without leaving two neighbouring k-grams
+whole, while a longer one always has four words in a row left. A text's k-grams are looked up; hits of
 one template on neighbouring diagonals are a candidate. In a band around the candidate's diagonal
 the words are aligned (longest common subsequence), and a match reports how many of the
 template's words it covers and from where to where it runs. Of overlapping matches the one with
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 GRAM, WINDOW = 3, 2
+SHORT, SHORT_GRAM = 16, 2
 BAND = 8
 LEAST_COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+")
@@ -57,32 +61,32 @@ class Index:
         words = [[m[0] for m in WORD.finditer(templates[n].lower())] for n in self.names]
         self.number = {w: i + 1 for i, w in enumerate(sorted(set().union(*words)))}  # 0: any other word
         self.texts = [[self.number[w] for w in t] for t in words]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: defaultdict(list), SHORT_GRAM: defaultdict(list)}
         for t, text in enumerate(self.texts):
-            grams = self.grams(np.array(text, dtype=np.int64))
-            hashed = [zlib.crc32(int(g).to_bytes(8, "little")) for g in grams]
-            kept = {min(range(i, min(i + WINDOW, len(hashed))), key=lambda j: (hashed[j], -j)) for i in range(max(1, len(hashed) - WINDOW + 1)) if hashed}
-            for i in kept:
-                self.places[int(grams[i])].append((t, i))
-        self.known = np.array(sorted(self.places), dtype=np.int64)
+            size = SHORT_GRAM if len(text) < SHORT else GRAM
+            grams = self.grams(np.array(text, dtype=np.int64), size)
+            for i in range(len(grams)) if len(text) < SHORT else winnowed(grams):
+                self.places[size][int(grams[i])].append((t, i))
+        self.known = {size: np.array(sorted(places), dtype=np.int64) for size, places in self.places.items()}
 
     def band(self, t: int) -> int:
         """Copies of a template are its length apart, so a band below half of it keeps them apart."""
         return min(BAND, max(1, len(self.texts[t]) // 4))
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        base, out = len(self.number) + 1, np.zeros(max(0, len(ids) - GRAM + 1), dtype=np.int64)
-        for k in range(GRAM):
+    def grams(self, ids: np.ndarray, size: int) -> np.ndarray:
+        base, out = len(self.number) + 1, np.zeros(max(0, len(ids) - size + 1), dtype=np.int64)
+        for k in range(size):
             out = out * base + ids[k:k + len(out)]
         return out
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(template, diagonal): one for each cluster of hits within a band."""
-        grams = self.grams(ids)
         by: dict[int, list[int]] = defaultdict(list)
-        for i in np.flatnonzero(np.isin(grams, self.known)).tolist():
-            for t, p in self.places[int(grams[i])]:
-                by[t].append(i - p)
+        for size, places in self.places.items():
+            grams = self.grams(ids, size)
+            for i in np.flatnonzero(np.isin(grams, self.known[size])).tolist():
+                for t, p in places[int(grams[i])]:
+                    by[t].append(i - p)
         for t, diagonals in by.items():
             diagonals.sort()
             band = self.band(t)
@@ -95,6 +99,24 @@ class Index:
             yield t, (first + last) // 2
 
 
+def winnowed(grams: np.ndarray) -> set[int]:
+    """Places of the grams with the smallest hash of ``WINDOW`` neighbours, ties to the last."""
+    hashed = [zlib.crc32(int(g).to_bytes(8, "little")) for g in grams]
+    return {min(range(i, min(i + WINDOW, len(hashed))), key=lambda j: (hashed[j], -j)) for i in range(max(1, len(hashed) - WINDOW + 1)) if hashed}
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of overlapping matches (covered, first, last, template) the better ones, by first word."""
+    kept: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []  # of the kept ones, ascending; no two of them overlap
+    for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1], f[3])):
+        k = bisect(starts, f[2])  # only the last one that starts up to the end of f can reach into f
+        if not k or kept[k - 1][2] < f[1]:
+            starts.insert(k, f[1])
+            kept.insert(k, f)
+    return kept
+
+
 def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(covered, first, last): words of the template in the best common subsequence in the
     band around the diagonal, and the places of its first and last word; ties to the
@@ -130,11 +152,7 @@ def scan(text: str | None, index: Index, least: float = LEAST_COVERAGE) -> list[
         covered, first, last = align(index.texts[t], ids, diagonal, index.band(t))
         if covered >= least * len(index.texts[t]):
             found.append((covered, first, last, t))
-    kept: list[tuple[int, int, int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1], f[3])):
-        if all(f[2] < k[1] or f[1] > k[2] for k in kept):
-            kept.append(f)
-    return [(index.names[t], words[a].start(), words[b].end(), n, n / len(index.texts[t])) for n, a, b, t in sorted(kept, key=lambda f: f[1])]
+    return [(index.names[t], words[a].start(), words[b].end(), n, n / len(index.texts[t])) for n, a, b, t in apart(found)]
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:

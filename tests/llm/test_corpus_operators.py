@@ -345,6 +345,35 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         assert licenses.align(a, b, 0, band=10)[0] == table[-1, -1]
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_with_a_fifth_of_its_words_changed_is_a_candidate(name):
+    rng = np.random.default_rng(5)
+    index = licenses.Index({name: licenses.TEMPLATES[name]})
+    words = [m[0] for m in licenses.WORD.finditer(licenses.TEMPLATES[name])]
+    for _ in range(200):
+        changed = list(words)
+        for i in rng.choice(len(words), size=len(words) // 5, replace=False):
+            changed[i] = "zzz"
+        text = "some words before " + " ".join(changed) + " and some behind"
+        assert [m[0] for m in licenses.scan(text, index)] == [name], changed
+
+
+def test_short_notice_with_another_article():
+    found = licenses.scan("Released under a MIT License", licenses.Index(licenses.TEMPLATES))
+    assert [(m[0], m[3], m[4]) for m in found] == [("mit", 4, 0.8)]
+
+
+def test_overlapping_matches_as_by_trying_every_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        found = [(int(c), int(a), int(a + n), int(t)) for c, a, n, t in rng.integers([1, 0, 0, 0], [9, 60, 12, 4], size=(25, 4))]
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1], f[3])):
+            if all(f[2] < k[1] or f[1] > k[2] for k in kept):
+                kept.append(f)
+        assert licenses.apart(found) == sorted(kept, key=lambda f: f[1])
+
+
 def test_licenses_odd_rows_and_empty(spark):
     assert licenses.matches(documents(spark, odd_rows())).count() == 0
     assert licenses.matches(documents(spark, [])).count() == 0
