@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankline.functions import text as T
+from rankline.session import cut_lineage
 
 STATUSES = ("pending", "ready_for_ai", "discarded", "analyzed")
 EXCLUDED_REASON_PREFIX = "Palavra excluida: "
@@ -168,15 +171,14 @@ def keyword_hits(
 
     ``keywords`` has ``list_name, pos, keyword``. A few keywords (``max_literal_keywords``, a
     checked bound) become literal expressions: each posting generates its (keyword, hit) rows
-    with ``inline`` and keeps the hits, without a join. More keywords find the same hits, by
-    an equi-join on character n-grams.
+    with ``inline`` and keeps the hits, without a join. More keywords find the same hits by
+    an equi-join (``hits_by_join``).
     """
-    n = keywords.count()
     d = df.select(F.col(key), content_col(title, description).alias("__content"))
     kw = keywords.select(
         F.col("list_name").cast("string"), F.col("pos").cast("int"), F.col("keyword").cast("string"),
     )
-    if n <= max_literal_keywords:
+    if max_literal_keywords and keywords.limit(max_literal_keywords + 1).count() <= max_literal_keywords:
         rows = kw.collect()
         if not rows:
             return d.select(
@@ -200,23 +202,101 @@ def keyword_hits(
     return hits_by_join(d, kw, key)
 
 
-GRAM = 3
+# Keywords whose table is sent to every task, runs that a task remembers, texts
+# that it answers at once, and the piece a long run is cut into.
+MANY_KEYWORDS, REMEMBERED, AT_ONCE, PIECE = 500_000, 100_000, 500, 256
+_RUNS = r"(?U)\w+|\W+"
 
 
-def hits_by_join(d: DataFrame, kw: DataFrame, key: str) -> DataFrame:
-    """Exact hits for keyword tables of any size (see ``keyword_hits``). A keyword that is a
-    substring has its first ``GRAM`` characters (all of them, if it is shorter) among the
-    text's n-grams of that length; the text comes back only for such pairs."""
+def _substrings(run: Column, lengths: Sequence[int]) -> Column:
+    """Substrings of ``run`` of the given lengths (in characters). Long runs are read in
+    overlapping pieces, since a place in a text is found by walking to it."""
+    def of(piece: Column) -> Column:
+        n = F.length(piece)
+
+        def each(k: int) -> Column:
+            found = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(piece, i, F.lit(k)))
+            return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[each(k) for k in lengths]))
+
+    starts = F.sequence(F.lit(0), F.floor((F.length(run) - 1) / PIECE).cast("int"))
+    pieces = F.transform(starts, lambda j: F.substring(run, j * PIECE + 1, F.lit(PIECE + max(lengths) - 1)))
+    return F.when(F.length(run) <= PIECE, of(run)).otherwise(F.flatten(F.transform(pieces, of)))
+
+
+def hits_by_join(d: DataFrame, kw: DataFrame, key: str, many: int = MANY_KEYWORDS) -> DataFrame:
+    """Exact hits for keyword tables of any size (see ``keyword_hits``). Texts and keywords are
+    cut into runs of word and of other characters. A keyword's longest run, its anchor, is a
+    substring of a run of every text that holds the keyword, so anchors are looked up among the
+    substrings that the text's runs have of their lengths. For a keyword that is one run of
+    word characters this is the hit, and the whole run the word hit; other candidates are
+    checked against the text. Up to ``many`` anchors are sent to every task, so no text is
+    shuffled; more are joined with the different runs of all texts."""
     kf = kw.withColumn("kw_fold", T.casefold(F.col("keyword"))).where("kw_fold <> ''")
-    kf = kf.withColumn("gram", F.substring("kw_fold", 1, GRAM))
-    chars = F.col("__chars")
-    at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 1, F.lit(0)))
-    grams = [F.transform(at, lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])) for n in range(1, GRAM + 1)]
-    cut = d.select(F.col(key), F.split("__content", "").alias("__chars"))
-    found = cut.select(F.col(key), F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-    cand = found.join(kf, "gram").select(key, "list_name", "pos", "keyword", "kw_fold")
+    runs = F.regexp_extract_all("kw_fold", F.lit(_RUNS), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r.rlike(r"(?U)^\w").alias("w"), F.length(r).alias("n"), r.alias("r"))))
+    kf = kf.withColumn("anchor", longest["r"])
+    kf = cut_lineage(kf.withColumn("plain", longest["w"] & (F.col("anchor") == F.col("kw_fold"))))
+    held = d.select(key, F.array_distinct(F.regexp_extract_all("__content", F.lit(_RUNS), F.lit(0))).alias("runs"))
+    anchors = kf.select("anchor").distinct()
+    if anchors.limit(many + 1).count() <= many:
+        found = _lookup(held, [r.anchor for r in anchors.collect()], key)
+        hit = found.join(F.broadcast(kf), "anchor")
+    else:
+        lengths = sorted(r.n for r in anchors.select(F.length("anchor").alias("n")).distinct().collect())
+        held = held.select(key, F.explode("runs").alias("run"))
+        subs = held.select("run").distinct().select("run", F.explode(F.array_distinct(_substrings(F.col("run"), lengths))).alias("anchor"))
+        by_run = subs.join(kf, "anchor").withColumn("whole", F.col("run") == F.col("anchor"))
+        hit = held.join(by_run, "run").groupBy(key, *kf.columns).agg(F.max("whole").alias("whole"))
+    same = [F.col(key), "list_name", "pos", "keyword", F.lit(True).alias("substring_hit")]
+    out = hit.where("plain").select(*same, F.col("whole").alias("word_hit"))
+    if kf.where(~F.col("plain")).isEmpty():
+        return out
     safe = F.regexp_replace("kw_fold", r"([^\w\s])", r"\\$1")
     pattern = F.concat(F.lit("(?U)\\b"), safe, F.lit("\\b"))
-    hit = cand.join(d, key).where(F.contains(F.col("__content"), F.col("kw_fold")))
-    return hit.select(F.col(key), "list_name", "pos", "keyword", F.lit(True).alias("substring_hit"),
-                      F.regexp_like(F.col("__content"), pattern).alias("word_hit"))
+    checked = hit.where(~F.col("plain")).join(d, key).where(F.contains(F.col("__content"), F.col("kw_fold")))
+    return out.unionByName(checked.select(*same, F.regexp_like(F.col("__content"), pattern).alias("word_hit")))
+
+
+def _lookup(held: DataFrame, anchors: list[str], key: str) -> DataFrame:
+    """``key, anchor, whole`` for the ``anchors`` that are substrings of a row's ``runs``; a task
+    looks a run up once while it remembers it."""
+    table = held.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches):
+        names = pa.array(table.value, pa.string())
+        place = {a: i for i, a in enumerate(table.value)}
+        lengths = sorted({len(a) for a in place})
+        known: dict[str, np.ndarray] = {}
+
+        def places(r: str) -> np.ndarray:
+            """Places of the anchors in a run, twice and one more if it is the whole run."""
+            n = len(r)
+            subs = {r[i : i + k] for k in lengths if k <= n for i in range(n - k + 1)}
+            got = np.array([2 * place[s] + (s == r) for s in subs if s in place], dtype=np.int64)
+            if len(known) >= REMEMBERED:
+                known.clear()
+            if n <= PIECE:
+                known[r] = got
+            return got
+
+        for batch in batches:
+            keys = batch.column(0)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = batch.column(1).slice(at, AT_ONCE)
+                hits, counts = [], []
+                for runs in rows.to_pylist():
+                    found = [known[r] if r in known else places(r) for r in runs or ()]
+                    both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+                    # the whole run sorts behind the part of a run
+                    last = np.append(both[1:] // 2 != both[:-1] // 2, True)[: len(both)]
+                    hits.append(both[last])
+                    counts.append(len(hits[-1]))
+                flat = np.concatenate(hits)
+                which = pa.array(np.repeat(np.arange(at, at + len(counts)), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(which), names.take(pa.array(flat // 2)), pa.array(flat % 2 == 1)], names=[key, "anchor", "whole"])
+
+    kind = held.schema[key].dataType.simpleString()
+    return held.mapInArrow(run, f"`{key}` {kind}, anchor string, whole boolean")

@@ -29,7 +29,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") % 5 == 0, F.lit(None).cast("string"))
         .otherwise(ext_base.cast("string"))
         .alias("external_id"),
-        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
         F.concat(F.lit("co"), (F.col("doc_id") % 50).cast("string")).alias("company"),
         F.concat(F.lit("https://example.com/jobs/"), F.md5(F.col("text"))).alias("url"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("feed_a")).otherwise(F.lit("feed_b")).alias("source"),

@@ -73,6 +73,19 @@ def test_keyword_hits_do_not_depend_on_the_number_of_keywords(spark):
     assert few == many and ("++" in {r[3] for r in many}) and (1, "x", 0, "go", True, False) in many
 
 
+def test_many_keywords_are_found_by_whole_runs_without_shuffling_texts(spark):
+    texts = ["golang dev\nc++ a.b a++b x++", "\u65e5\u672c\u8a9e" * 200 + "\u7d42", "x" * 700 + "yz", "o d  o\td \u00b5s \u00b2x _y", ""]
+    df = spark.createDataFrame([(i, t, None if i % 2 else t[::-1]) for i, t in enumerate(texts)], "seq long, title string, description_raw string")
+    words = ["go", "gol", "golang", "golf", "++", "c++", "a.b", "d", "o d", "\u00b5", " ", "\u672c", "\u7d42", "xyz", "\u00b2", "_y", "\n"]
+    kw = spark.createDataFrame([("x", i, k) for i, k in enumerate(words)], "list_name string, pos int, keyword string")
+    texts = df.select("seq", rules.content_col().alias("__content"))
+    want = sorted(map(tuple, rules.keyword_hits(df, kw).collect()))
+    assert want == sorted(map(tuple, rules.hits_by_join(texts, kw, "seq").collect())) == sorted(map(tuple, rules.hits_by_join(texts, kw, "seq", many=0).collect()))
+    plain = rules.keyword_hits(df, kw.where("keyword rlike '^[a-z]+$'"), max_literal_keywords=0)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "MapInArrow" in plan
+
+
 def test_many_profiles(spark):
     p = spark.createDataFrame([(1, "python dev", "")], "seq long, title string, description_raw string")
     profiles = spark.createDataFrame([(i, [], ["python"], [], None) for i in range(2 * CF.PROFILES_PER_SCAN + 3)], CF.PROFILE_SCHEMA)
