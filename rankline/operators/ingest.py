@@ -97,6 +97,15 @@ def identity_match(stored: DataFrame, payloads: DataFrame) -> DataFrame:
     )
 
 
+def left_by(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``; rows without a key are spread by their ``seq`` instead of meeting
+    in the one task of the null key."""
+    none = F.col(key).isNull()
+    df = df.withColumns({"__at": F.coalesce(F.col(key), F.col("seq")), "__none": none})
+    other = other.withColumnRenamed(key, "__at").withColumn("__none", F.lit(False))
+    return df.join(other, ["__at", "__none"], "left").drop("__at", "__none")
+
+
 # ------------------------------------------------------------------ J2
 def change_columns(joined: DataFrame, cur: str = "cur") -> DataFrame:
     """J2 on a payload row joined with its stored row (struct ``cur``): ``changed_fields``
@@ -286,14 +295,16 @@ def _chain_part(
     c: DataFrame, cur: DataFrame, as_of: Column, include, exclude, single: bool
 ) -> DataFrame:
     keys = ["chain_key"]
-    c = c.join(cur, "target", "left")
+    c = left_by(c, cur, "target")
     has_t = F.col("target").isNotNull()
-    gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD)
+    # texts are folded once a row, in a column of their own, and only where a rule asks
+    gate = rules.gate_passes(list(dict.fromkeys(include)), GATE_THRESHOLD, text="__text")
     kw = F.col("search_keyword")
     if single:
-        c = c.withColumn("f_seq", F.when(~has_t & gate, F.col("seq")))
+        c = c.withColumn("__text", F.when(~has_t, rules.content_col()))
+        c = c.withColumn("f_seq", F.when(~has_t & gate, F.col("seq"))).drop("__text")
     else:
-        firsts = c.where(~has_t).groupBy(*keys).agg(
+        firsts = c.where(~has_t).withColumn("__text", rules.content_col()).groupBy(*keys).agg(
             F.min(F.when(gate, F.col("seq"))).alias("f_seq"))
         c = c.join(firsts, keys, "left")
     applied = has_t | (F.col("f_seq").isNotNull() & (F.col("seq") >= F.col("f_seq")))
@@ -332,10 +343,12 @@ def _chain_part(
             F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_keyword"))),
                         lambda x: x["search_keyword"]).alias("new_kws"))
         r = c.join(fin.join(newkw, keys, "left"), keys)
-    status, reason = rules.classification(include, exclude, "w.title", "w.description_raw")
     c_analysed = F.coalesce(F.col("c0.status") == "analyzed", F.lit(False))
     has_w = F.col("w").isNotNull()
     disc = F.col("outcome") == "discarded"
+    asked = ~disc & has_w & ~c_analysed
+    r = r.withColumn("__text", F.when(asked, rules.content_col("w.title", "w.description_raw")))
+    status, reason = rules.classification(include, exclude, text="__text")
     kw_arr = F.when(kw.isNotNull(), F.array(kw)).otherwise(F.array().cast("array<string>"))
     fin_kws = F.concat(F.coalesce(F.col("c0.search_keywords"), F.array().cast("array<string>")),
                        F.coalesce(F.col("new_kws"), F.array().cast("array<string>")))
@@ -575,7 +588,7 @@ def fold_results(stored: DataFrame, payloads: DataFrame, folded: DataFrame, as_o
     wide = rows_of(stored, outs.where("row_key >= 0").select(F.col("row_key").alias("id")).distinct())
     cur = wide.select(F.col("id").alias("row_key"), F.struct(*stored.columns).alias("cur"))
     src = payloads.select(F.col("seq").alias("src_seq"), F.struct(*payloads.columns).alias("src"))
-    j = outs.join(fin, "row_key", "left").join(cur, "row_key", "left").join(src, "src_seq", "left")
+    j = left_by(left_by(left_by(outs, fin, "row_key"), cur, "row_key"), src, "src_seq")
     own = payloads.select(F.col("seq"), F.struct(*payloads.columns).alias("own"))
     j = j.join(own, "seq", "left")
     has_src = F.col("src_seq").isNotNull()

@@ -118,3 +118,26 @@ def test_another_run_scores_anew_and_returns_the_asked_rows(spark, tmp_path):
     assert [(r.id, r.score) for r in again] == [(1, 8)]
     same = SC.score_and_stage(jobs.where("id = 2"), scorer(9), ["python"], [], staging, run="a").collect()
     assert [(r.id, r.score) for r in same] == [(2, 3)]
+
+
+def test_payloads_without_a_target_are_spread(spark):
+    left = spark.range(2000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, F.col("id") * 2).alias("target"))
+    right = spark.range(4000).where("id % 3 <> 0").select(F.col("id").alias("target"), F.struct("id").alias("cur"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = IG.left_by(left, right, "target")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "target", "left").select("seq", "target", "cur").collect()), key=str)
+        rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(rows) == 8 and max(rows) < 500
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_a_text_is_folded_once_for_all_keywords(spark):
+    df = spark.createDataFrame([("Straße PHP", "python")], "title string, description_raw string").withColumn("t", rules.content_col())
+    status, reason = rules.classification(["python", "x"], ["php", "y"], text="t")
+    assert tuple(df.select(status, reason).first()) == ("discarded", rules.EXCLUDED_REASON_PREFIX + "php")
+    assert "lower" not in str(status) and "lower" not in str(reason) and "lower" not in str(rules.gate_passes(["python"], 1, text="t"))
