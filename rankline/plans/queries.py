@@ -655,17 +655,17 @@ STREAM_FILES = 4
 
 
 def land_postings(spark, sf_dir, landing: str, parts: int = STREAM_FILES) -> None:
-    """Lands the postings as ``parts`` Parquet files in ``seq`` ranges (oldest first), one
-    file per directory ``part=k`` so a trigger of one file takes one range."""
+    """Lands the postings in ``parts`` folders ``part=k`` by ``seq`` ranges (oldest first), all
+    in one job: each task writes the ranges it reads, a file a range, so no range is written
+    by one task alone. A table that is one small task lands a file a range, which a trigger
+    of one file takes."""
     p = TD.postings(spark, sf_dir).select(
         "seq", "external_id", "title", "company", "url", "source", "description_raw",
         "search_keyword", F.lit(None).cast("string").alias("location"),
         F.lit(None).cast("string").alias("salary"), "created_at")
     lo, hi = p.agg(F.min("seq"), F.max("seq")).collect()[0]
     step = (hi - lo) // parts + 1
-    for k in range(parts):
-        (p.where((F.col("seq") >= lo + k * step) & (F.col("seq") < lo + (k + 1) * step))
-         .coalesce(1).write.mode("overwrite").parquet(f"{landing}/part={k}"))
+    p.withColumn("part", F.expr(f"(seq - {lo}) div {step}").cast("int")).write.mode("overwrite").partitionBy("part").parquet(landing)
 
 
 _LANDED = f"SELECT *, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS salary FROM ({S.POSTINGS})"

@@ -118,3 +118,20 @@ def test_idle_polls_stop_the_stream(spark):
     q, log = IS.start(spark, f"{run}/landing", f"{run}/jobs", f"{run}/_ck", [], [], available_now=False, poll_seconds=1)
     assert IS.run_until(q, log, max_duration_seconds=120, max_empty_cycles=3, poll=0.2) == "max_empty_cycles"
     assert log.cycles == 1 and log.stats[0]["inserted"] == 1
+
+
+def test_a_range_is_landed_by_all_tasks_that_read_it(spark):
+    run = shared_path(spark, "test_land", uuid.uuid4().hex)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{run}/sf/documents.parquet")
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a task a file
+        Q.land_postings(spark, f"{run}/sf", f"{run}/landing", parts=2)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+    landed = spark.read.schema(IS.PAYLOAD_SCHEMA).parquet(f"{run}/landing")
+    assert sorted(r.seq for r in landed.select("seq").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    for k in range(2):
+        files = spark.read.parquet(f"{run}/landing/part={k}").select(F.col("_metadata.file_path").alias("f"), "seq").groupBy("f").agg(F.max("seq"), F.min("seq")).collect()
+        assert len(files) > 1
