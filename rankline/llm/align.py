@@ -30,7 +30,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +48,7 @@ STRETCHES = 300_000  # different stretches that a worker keeps; beyond it all bu
 COUNTS = 5  # of a stretch: whether it has an alignment, tokens of A and of B, groups, links
 NO_BORDER = re.compile(r"  |\r|'(?:[std]|re|ve|m|ll)[^\W\d_]")
 PAIR = 1 << 24  # pair key: A id * PAIR + B id
-SHORT = 12  # tokens of both lists up to which a worker remembers the groups of two lists of ends
+SHORT = 12  # tokens of both lists up to which a worker remembers the shape of two lists of ends
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -86,10 +87,28 @@ def groups(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int,
     return [(i, m, j, n) for (i, j), (m, n) in zip([(0, 0), *upto], upto)]
 
 
+class Shape:
+    """What groups of tokens make of any ids: their digest and which tokens they link. The ids
+    are named by their place in the list of both, those of ``a`` first. Only for short lists."""
+
+    def __init__(self, found: list[tuple[int, int, int, int]]):
+        _, n_a, _, n_b = found[-1]
+        self.form = ";".join([",".join(["%d"] * (m - i)) + "|" + ",".join(["%d"] * (n - j)) for i, m, j, n in found])
+        self.pick = itemgetter(*[x for i, m, j, n in found for x in (*range(i, m), *range(n_a + j, n_a + n))])
+        links = [(x, y) for i, m, j, n in found for x in range(i, m) for y in range(j, n)]
+        self.in_a, self.in_b = [x for x, _ in links], [y for _, y in links]
+        self.counts = (1, n_a, n_b, len(found), len(links))
+
+
 @lru_cache(maxsize=20_000)
-def short_groups(ends_a: tuple[int, ...], ends_b: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
-    """``groups`` of short lists: different words mostly have ends that another word had."""
-    return groups(ends_a, ends_b)
+def shape(ends_a: tuple[int, ...], ends_b: tuple[int, ...]) -> Shape:
+    """Of the groups of short lists: different words mostly have ends that another word had."""
+    return Shape(groups(ends_a, ends_b))
+
+
+@lru_cache(maxsize=None)  # for numbers that add up to SHORT at most
+def one_group(n_a: int, n_b: int) -> Shape:
+    return Shape([(0, n_a, 0, n_b)])
 
 
 class Decimals(dict):
@@ -140,6 +159,18 @@ class Alignment(NamedTuple):
         return keys, times
 
 
+class Tokens(NamedTuple):
+    """The ids of stretches one after the other, where each stretch starts (and the last one ends),
+    and where each token ends within its stretch."""
+
+    a: np.ndarray
+    starts_a: np.ndarray
+    b: np.ndarray
+    starts_b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+
+
 class Aligner:
     """Tokenizer A is byte-level BPE, B a sentencepiece model with byte fallback."""
 
@@ -155,11 +186,14 @@ class Aligner:
         byte = {c: b for b, c in form.items()}
         self.form = form
         self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
+        self.size_a = np.zeros(max(self.bytes_a) + 1, dtype=np.int64)
+        for i, x in self.bytes_a.items():
+            self.size_a[i] = len(x)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.size_b = list(map(len, self.bytes_b))
+        self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        self.line_feed = self.b.encode("\n")  # its token comes last, what B puts first before it
         whole = [x for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         # Borders are sure if no entry of B holds two kinds of characters, or white space but at its front.
         self.borders = not any(kind(x) != kind(y) for n in whole for x, y in zip(n.lstrip("▁"), n.lstrip("▁")[1:]) if not NOT_PLAIN.search(x + y)) \
@@ -178,20 +212,33 @@ class Aligner:
     def align_stretches(self, found: list[str]) -> Iterator[Alignment | None]:
         """The alignments of stretches as they are, without a space before them. (Byte-level BPE
         always gives back the bytes of a stretch, B's tokens are checked.)"""
-        # A line feed is a byte token: nothing behind it depends on the space that B puts first.
-        in_b = self.b.encode(["\n" + s for s in found], num_threads=1)
-        tokenize, form, size_a, bytes_b, size_b = self.a.model.tokenize, self.form, self.size_a, self.bytes_b, self.size_b
-        for s, b in zip(found, in_b):
+        for s, b in zip(found, self.b.encode(["\n" + s for s in found], num_threads=1)):
             raw = s.encode()
-            a = [t.id for t in tokenize(raw.decode("latin-1").translate(form))]
-            del b[:2]
-            if b"".join([bytes_b[i] for i in b]) != raw:
+            a = [t.id for t in self.a.model.tokenize(raw.decode("latin-1").translate(self.form))]
+            del b[:len(self.line_feed)]
+            if b"".join([self.bytes_b[i] for i in b]) != raw:
                 yield None
-            elif len(a) == 1 or len(b) == 1:
-                yield Alignment(a, b, [(0, len(a), 0, len(b))])
             else:
-                find = short_groups if len(a) + len(b) <= SHORT else groups
-                yield Alignment(a, b, find(tuple(accumulate([size_a[i] for i in a])), tuple(accumulate([size_b[i] for i in b]))))
+                yield Alignment(a, b, groups(self.size_a[a].cumsum().tolist(), self.size_b[b].cumsum().tolist()))
+
+    def tokenize_stretches(self, found: list[str]) -> Tokens | None:
+        """The tokens of stretches without line feeds, tokenized by B as the lines of one text: a
+        line feed is a byte token, and nothing behind it depends on what is before it. None if B's
+        tokens do not give back that text."""
+        lines = "\n" + "\n".join(found)
+        raw = lines.encode()
+        b = self.b.encode(lines)[len(self.line_feed) - 1:]
+        if b"".join([self.bytes_b[i] for i in b]) != raw or b.count(self.line_feed[-1]) != len(found):
+            return None
+        tokenize = self.a.model.tokenize
+        in_a = [[t.id for t in tokenize(x)] for x in raw[1:].decode("latin-1").translate(self.form).split(self.form[10])]
+        a = np.array([i for x in in_a for i in x], dtype=np.int64)
+        b = np.array(b, dtype=np.int64)
+        feeds = np.flatnonzero(b == self.line_feed[-1])
+        starts_b = feeds - np.arange(len(feeds))
+        b = np.delete(b, feeds)
+        starts_a = np.cumsum([0, *map(len, in_a)])
+        return Tokens(a, starts_a, b, np.append(starts_b, len(b)), ends_within(self.size_a[a], starts_a[:-1]), ends_within(self.size_b[b], starts_b))
 
     def aligned(self, a: list[int], b: list[int], raw: bytes) -> Alignment | None:
         in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
@@ -208,6 +255,12 @@ def kind(c: str) -> int:
     return 0 if c.isalpha() else 1 if c.isdigit() else 2
 
 
+def ends_within(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums of sizes that begin anew at each of the ascending starts."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return upto[1:] - np.repeat(upto[starts], np.diff(np.append(starts, len(sizes))))
+
+
 def ends(parts: list[bytes]) -> list[int]:
     return list(accumulate(map(len, parts)))
 
@@ -224,7 +277,7 @@ class Numbers:
     def __init__(self):
         self.held, self.size = np.empty(1 << 16, dtype=np.int64), 0
 
-    def extend(self, x: list[int]) -> None:
+    def extend(self, x: list[int] | np.ndarray) -> None:
         while self.size + len(x) > len(self.held):
             self.held = np.concatenate([self.held, np.empty_like(self.held)])
         self.held[self.size:self.size + len(x)] = x
@@ -238,7 +291,7 @@ class Chunk:
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
         self.index: dict[str, int] = {}
-        self.digests: dict[str, str] = {}
+        self.digests: list[str] = []
         self.keys, self.times, self.starts, self.counts = Numbers(), Numbers(), Numbers(), Numbers()
         self.starts.extend([0])
         self.clear()
@@ -247,7 +300,8 @@ class Chunk:
         """Drops all but the first ``keep`` stretches, which are mostly the frequent ones."""
         gone = [s for s, i in self.index.items() if i >= keep]
         for s in gone:
-            del self.index[s], self.digests[s]
+            del self.index[s]
+        del self.digests[keep:]
         self.starts.size = keep + 1
         self.keys.size = self.times.size = int(self.starts.held[keep])
         self.counts.size = keep * COUNTS
@@ -273,8 +327,46 @@ class Chunk:
             starts.append(at + len(keys))
         for held, x in ((self.keys, keys), (self.times, times), (self.starts, starts), (self.counts, counts)):
             held.extend(x)
+        self.digests += [x.digest() if x else "" for x in found]
         return first
 
+    def learn_stretches(self, new: list[str]) -> None:
+        """Numbers stretches that have no number yet."""
+        lines = [s for s in new if "\n" not in s]
+        made = self.aligner.tokenize_stretches(lines) if lines else None
+        long = self.learn_short(lines, made) if made else lines
+        rest = [*long, *[s for s in new if "\n" in s]] if len(long) or len(lines) < len(new) else []
+        if rest:
+            first = self.learn(list(self.aligner.align_stretches(rest)))
+            self.index.update(zip(rest, range(first, first + len(rest))))
+
+    def learn_short(self, found: list[str], made: Tokens) -> list[str]:
+        """Numbers the stretches of at most ``SHORT`` tokens; returns the others."""
+        a, b, ends_a, ends_b = made.a.tolist(), made.b.tolist(), made.ends_a.tolist(), made.ends_b.tolist()
+        starts_a, starts_b = made.starts_a.tolist(), made.starts_b.tolist()
+        shapes, digests, places, long = [], [], [], []
+        for place, (i, m, j, n) in enumerate(zip(starts_a, starts_a[1:], starts_b, starts_b[1:])):
+            if m - i + n - j > SHORT:
+                long.append(found[place])
+                continue
+            x = one_group(m - i, n - j) if m - i == 1 or n - j == 1 else shape(tuple(ends_a[i:m]), tuple(ends_b[j:n]))
+            shapes.append(x)
+            digests.append(x.form % x.pick(a[i:m] + b[j:n]))
+            places.append(place)
+        counts = np.array([x.counts for x in shapes], dtype=np.int64).reshape(-1, COUNTS)
+        links, at = counts[:, -1], np.array(places, dtype=np.int64)
+        total = int(links.sum())
+        in_a = np.fromiter(chain.from_iterable([x.in_a for x in shapes]), np.int64, total) + np.repeat(made.starts_a[at], links)
+        in_b = np.fromiter(chain.from_iterable([x.in_b for x in shapes]), np.int64, total) + np.repeat(made.starts_b[at], links)
+        first, size = self.starts.size - 1, self.keys.size
+        self.keys.extend(made.a[in_a] * PAIR + made.b[in_b])
+        self.times.extend(np.ones(total, dtype=np.int64))
+        self.starts.extend(size + np.cumsum(links))
+        self.counts.extend(counts.ravel())
+        self.digests += digests
+        self.index.update(zip([found[k] for k in places] if long else found, range(first, first + len(places))))
+        return long
+
     def links(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in ``keys`` of the links of some stretches, and how many each has."""
         lo, hi = self.starts.held[codes], self.starts.held[codes + 1]
@@ -289,19 +381,19 @@ class Chunk:
         if cut is None:  # the whole text is one stretch
             found = self.aligner.align(text)
             codes, uses = np.array([self.learn([found])]), np.array([1])
-            digest = found.digest() if found else ""
+            digest, self.digests[-1] = self.digests[-1], ""  # of no further use
         else:
-            seen, index = Counter(cut), self.index
-            new = [s for s in seen if s not in index]
-            if new:
-                found = list(self.aligner.align_stretches(new))
-                first = self.learn(found)
-                for i, (s, x) in enumerate(zip(new, found)):
-                    index[s] = first + i
-                    self.digests[s] = x.digest() if x else ""
-            codes = np.fromiter(map(index.__getitem__, seen), dtype=np.int64, count=len(seen))
+            seen = Counter(cut)
+            codes = np.fromiter(map(self.index.get, seen, repeat(-1)), dtype=np.int64, count=len(seen))
+            unknown = np.flatnonzero(codes < 0)
+            if len(unknown):
+                names = list(seen)
+                new = [names[k] for k in unknown.tolist()]
+                self.learn_stretches(new)
+                codes[unknown] = list(map(self.index.__getitem__, new))
             uses = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-            digest = ";".join(map(self.digests.__getitem__, cut))
+            of = dict(zip(seen, map(self.digests.__getitem__, codes.tolist())))
+            digest = ";".join(map(of.__getitem__, cut))
         counts = self.counts.held[:self.counts.size].reshape(-1, COUNTS)[codes]
         if not len(codes) or not counts[:, 0].all():
             self.docs.append((doc_id, 0, 0, 0, 0, "", codes[:0], uses[:0]))

@@ -175,6 +175,38 @@ def test_alignment_of_the_table_and_of_odd_texts(spark, size):
     assert align.summaries(docs.limit(0)).count() == 0
 
 
+def test_new_stretches_are_aligned_together_as_one_by_one(monkeypatch):
+    """B is asked once a document for its new stretches without line feeds; stretches that are long,
+    hold line feeds or are not given back by B are aligned one by one."""
+    made, rng = align.aligner(), random.Random(9)
+    texts = ["".join(rng.choice(" abcdefgé1!'.") for _ in range(rng.randrange(1, 300))) for _ in range(60)]
+    texts += ["\n".join(texts[:3]), "a\n\n b\n", "-" * 200 + " on " + "qxz" * 40, "x", "one two two one"]
+    alone, calls = [made.whole(t) for t in texts], []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(made.b, name)
+
+        def encode(self, x, **kw):
+            calls.append(x)
+            return made.b.encode(x, **kw)
+
+    apart = align.Aligner(*align.tokenizer_paths())
+    for lossy in (False, True):
+        chunk = align.Chunk(apart)
+        monkeypatch.setattr(apart, "tokenize_stretches", (lambda found: None) if lossy else align.Aligner.tokenize_stretches.__get__(apart))
+        for k, (text, x) in enumerate(zip(texts, alone)):
+            chunk.add(k, text)
+            keys, times = x.links()
+            assert chunk.docs[-1][1:6] == (len(x.a), len(x.b), len(x.groups), sum(times), hashlib.sha256(x.digest().encode()).hexdigest())
+            assert sorted(set(keys)) == chunk.pairs[-1].tolist()
+    with monkeypatch.context() as m:
+        m.setattr(apart, "b", Counted())
+        m.setattr(apart, "tokenize_stretches", align.Aligner.tokenize_stretches.__get__(apart))
+        align.Chunk(apart).add(1, "some few words that none of the others has, none of them long")
+    assert [type(x) for x in calls] == [str]
+
+
 def test_alignment_rows(spark):
     made = align.aligner()
     docs = documents(spark, [(1, "Hello wörld 日本", "en"), (2, None, "en"), (3, "▁", "en")])
