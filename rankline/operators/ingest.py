@@ -386,16 +386,20 @@ def _chain_part(
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of a bipartite graph ``edges(node, key)``: returns
     ``node, label`` with ``label`` = least node of its component. Min-label propagation
-    through the keys, then each label is replaced by its own label, so the rounds grow with
-    the logarithm of the longest path; every round is checkpointed to the shared checkpoint
+    through the keys: the least label at a key goes to every node of it and to the node that
+    each of them was labelled with (else a region hears of a smaller label one hop a round),
+    then each label is replaced by its own label. So the rounds grow with the logarithm of the
+    longest path; every round is checkpointed to the shared checkpoint
     folder (lineage stays short and a lost executor recomputes one round). Ends when no
     label changes, whatever the number of rounds."""
-    edges = cut_lineage(edges)
+    # read twice a round: as many parts as its rows fill, not as the tables behind it had
+    edges = cut_lineage(edges.hint("rebalance"))
     lab = cut_lineage(edges.groupBy("node").agg(F.min("node").alias("label")))
     while True:
-        key_lab = edges.join(lab, "node").groupBy("key").agg(F.min("label").alias("kl"))
-        near = edges.join(key_lab, "key").groupBy("node").agg(F.min("kl").alias("label"))
-        near = cut_lineage(near)
+        at = edges.join(lab, "node")
+        key_lab = at.groupBy("key").agg(F.min("label").alias("kl"))
+        near = at.join(key_lab, "key").select(F.explode(F.array("node", "label")).alias("node"), "kl")
+        near = cut_lineage(near.groupBy("node").agg(F.min("kl").alias("label")))
         far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = cut_lineage(near.join(far, "label").select("node", F.least("label", "far").alias("label")))
         changed = new.join(lab.withColumnRenamed("label", "was"), "node").where("label <> was")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,10 +53,18 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *[p.strip("/") for p in parts]])
 
 
-
-
 def cut_lineage(df):
     """``df.checkpoint()`` into the shared checkpoint folder (eager): the plan is computed
-    once, written reliably, and later reads start from the files."""
+    once, written reliably, and later reads start from the files.
+
+    A checkpoint keeps the size estimate of the plan it cuts, and that of a join is the product
+    of its sides. Where rounds join what earlier rounds left, its digits double with every round
+    (25 rounds: numbers of many megabytes on the driver). Past 64 bits it tells nothing and is
+    dropped: the rows then count as of unknown size, and AQE goes by what it measures."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    plan = cut._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() < 64:
+        return cut
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.logical().rdd(), cut._jdf.schema(), False), spark)
