@@ -172,7 +172,8 @@ def chain_flags(matches: DataFrame, ext_chains: bool = True) -> DataFrame:
     out = m.join(g, ["source", "url"]).withColumn(
         "chain_key", F.concat_ws("\u0001", F.lit("u"), "source", "url"))
     out = out.withColumn("single", F.col("chain") & (F.col("n_g") == 1))
-    return _ext_chains(out) if ext_chains else out
+    # the second shape counts over the first in four places: one plan of both has 28 stages
+    return _ext_chains(cut_lineage(out)) if ext_chains else out
 
 
 def _ext_chains(f: DataFrame) -> DataFrame:
@@ -652,10 +653,8 @@ def upsert_outcomes(
     res = chain_path(stored, good, flags, as_of, include, exclude, singles_only=not fold)
     if fold:
         multi = good.join(flags.where(~F.col("chain")).select("seq"), "seq", "left_semi")
-        # text rules of the interacting payloads, kept narrow for the fold
-        text_rules = cut_lineage(payload_rules(multi, include, exclude).select(
-            "seq", "passes", "rule_status", "rule_reason"))
-        multi = multi.join(text_rules, "seq")
+        # the interacting payloads with their text rules: the fold and three joins after it read them
+        multi = cut_lineage(payload_rules(multi, include, exclude).select(*multi.columns, "passes", "rule_status", "rule_reason"))
         folded = fold_path(stored, multi, flags)
         res = res.unionByName(fold_results(stored, multi, folded, as_of))
     res = res.withColumn("error", F.lit(None).cast("string"))

@@ -65,7 +65,8 @@ def look_again(guess: DataFrame, rows: DataFrame, sliced: bool) -> DataFrame:
     home = rows.select(F.col("id").alias("row"), F.col("url").alias("__url"))
     writes = guess.where(F.col("outcome").isin(*WRITES))
     moves = last_before(writes.select("source", "row", "seq", "url"), ["row"], "url", sliced).join(home, "row", "left")
-    moves = moves.select("source", F.coalesce("__last", "__url").alias("left"), "url", "seq").where("left <> url")
+    # a round in three plans: in one, each use of a look-up repeats all that is before it (half a megabyte of plan)
+    moves = cut_lineage(moves.select("source", F.coalesce("__last", "__url").alias("left"), "url", "seq").where("left <> url"))
     # who stands at a url: arrivals are rows of the payloads themselves
     at = guess.select("source", "url", "seq", F.when(F.col("outcome").isin(*WRITES), F.struct(F.col("row").alias("who"))).alias("event"), F.lit(True).alias("asks"))
     gone = moves.select("source", F.col("left").alias("url"), "seq", F.struct(F.lit(None).cast("long").alias("who")).alias("event"), F.lit(False).alias("asks"))
@@ -77,6 +78,7 @@ def look_again(guess: DataFrame, rows: DataFrame, sliced: bool) -> DataFrame:
     named = g.where("external_id is not null").join(given, ["source", "external_id"], "left")
     g = named.unionByName(g.where("external_id is null").withColumn("born", F.lit(None).cast("long")))
     g = g.withColumn("row", F.coalesce("e_id", F.when(F.col("born") < F.col("seq"), -F.col("born") - 1), "holder")).drop("born")
+    g = cut_lineage(g)
     # what the row holds
     asks = g.select("row", "seq", F.lit(None).cast(g.schema["fp"].dataType).alias("held"), F.lit(True).alias("asks")).where("row is not null")
     tells = writes.select("row", "seq", F.col("fp").alias("held"), F.lit(False).alias("asks"))
